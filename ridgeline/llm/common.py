@@ -79,3 +79,15 @@ def utf8(column) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.binary()).to_pylist()
+
+
+def kept(name, make):
+    """A value that a Python worker makes once and keeps between tasks (functions come anew with each task)."""
+    import sys
+
+    held = sys.__dict__.setdefault("_ridgeline_kept", {})
+    if name not in held:
+        if len(held) >= 8:
+            held.clear()
+        held[name] = make()
+    return held[name]

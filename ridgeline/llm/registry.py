@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import chat, exact_dedup, licenses, mixing, url_filter
+from ridgeline.llm import bpe, chat, exact_dedup, licenses, mixing, topk, url_filter
 
 QUERIES = {
+    "op1_topk": topk.query,
     "op2_mixing": mixing.query,
     "op3_licenses": licenses.query,
     "op5_preferences": chat.query,
+    "op7_bpe": bpe.query,
     "op8_exact_dedup": exact_dedup.query,
     "op10_url_filter": url_filter.query,
 }
 SQL = {
+    "op1_topk": topk.SQL,
     "op2_mixing": mixing.SQL,
     "op3_licenses": licenses.SQL,
     "op5_preferences": chat.SQL,
