@@ -21,12 +21,17 @@ def fold(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder of spark.checkpoint.dir, without their lineage."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset (tests, a single machine)."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        # unset only in tests and on a single machine
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder, without their lineage."""
+    shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -66,12 +71,10 @@ class WordHash(dict):
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word shingles, in order; with fewer words, of the whole sequence."""
     k = min(k, len(words))
-    if not k:
-        return np.empty(0, U)
-    out = np.zeros(len(words) - k + 1, U)
+    out = np.zeros(max(len(words) - k + 1, 0) if k else 0, U)
     for i in range(k):
-        out = mix(out + U(k)) + words[i : len(words) - k + 1 + i]
-    return mix(out)
+        out = out * U(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i]
+    return mix(out + U(k))
 
 
 def utf8(column) -> list[bytes | None]:
