@@ -41,7 +41,7 @@ def targets(totals: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: fl
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = SEED) -> DataFrame:
-    """Per row: id, size, source_size, target, copies, taken (copies * size).
+    """Per row: id, size, source_size, target, copies, taken (copies * size), own (a hash of the text).
 
     Every document of a source has the same expected number of copies, target / source_size. The documents lie in a row by
     size and id; a document is taken once for each whole number that the running sum of expected copies, begun at a random offset of the
@@ -53,7 +53,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each range adds the rows of its source in the ranges before it. A source with a third of all rows thus spreads over many ranges.
     """
     n = splits(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), sizes(docs, text_col).alias("size"), F.xxhash64(text_col).alias("own"))
     base = cut(base)
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     base = base.withColumn("tie", F.monotonically_increasing_id())
@@ -71,13 +71,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     u = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor(F.col("n") * F.col("rate") + u) - F.floor((F.col("n") - 1) * F.col("rate") + u)
     rows = rows.withColumn("copies", copies.cast("long"))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "own")
 
 
-def mixture(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes it. Ids must tell rows apart."""
-    taken = mix_sources(docs, id_col, **how).filter("copies > 0").select(F.col(id_col).alias("__id"), F.col("copies").alias("__copies"))
-    out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")))
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it. Rows that repeat both id and text are taken alike: as the one of them taken most."""
+    taken = mix_sources(docs, id_col, text_col, **how).groupBy(F.col(id_col).alias("__id"), F.col("own").alias("__own")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
+    out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__own")))
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.llm import bpe, chat, exact_dedup, langid, licenses, mixing, near_dedup, topk, url_filter
+from ridgeline.llm import bpe, chat, exact_dedup, langid, licenses, mixing, near_dedup, substring, topk, url_filter
 
 QUERIES = {
     "op1_topk": topk.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_langid": langid.query,
     "op7_bpe": bpe.query,
     "op8_exact_dedup": exact_dedup.query,
+    "op9_substring": substring.query,
     "op10_url_filter": url_filter.query,
 }
 SQL = {
