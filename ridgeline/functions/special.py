@@ -6,8 +6,18 @@ import math
 
 import numpy as np
 
-_erfc = np.vectorize(math.erfc, otypes=[float])
-lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _each(f, x):
+    x = np.asarray(x, float)
+    return np.array([f(v) for v in x.ravel().tolist()], float).reshape(x.shape)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
+
+
+def lgamma(x):
+    return _each(math.lgamma, x)
 
 
 def norm_cdf(x):

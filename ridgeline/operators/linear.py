@@ -188,7 +188,7 @@ class Meats:
             factor = (n - 1) / df if self.iid_n1 and df > 0 else self.rss / df if df > 0 else math.nan
             return b * factor, df
         if key == "hetero":
-            scale = F.sqrt(self.w) if self.p.kind == "fweights" else self.w
+            scale = self.w if self.p.kind != "fweights" else F.sqrt(self.w) if not self.iid_n1 else self.w / F.sqrt(F.col("w"))
             rows = self.rows.select(*[(scale * F.col(self.e) * F.col(h)).alias(f"s{i}") for i, h in enumerate(self.h)])
             df = n - k
             return b @ self.outer(rows, [f"s{i}" for i in range(len(self.h))]) @ b * (n / df if df > 0 else math.nan), df

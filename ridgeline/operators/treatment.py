@@ -1,0 +1,181 @@
+"""Covariate balance, inverse-probability weights, influence-function variances: all aggregations over rows."""
+
+from __future__ import annotations
+
+import itertools
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ridgeline.plans.absorb import gram
+from ridgeline.sources import source
+
+
+def effective_sizes(data, group: str, weight: str | None = None) -> DataFrame:
+    """group, n, ess: Kish's effective size (sum w)^2 / sum w^2 of each arm."""
+    df = source(data)
+    w = F.col(weight) if weight else F.lit(1.0)
+    return df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("arm")).agg(F.count("*").alias("n"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
+
+
+def weighted_balance(data, treat: str, covariates: list[str], weight: str | None = None, scale: str = "pooled") -> DataFrame:
+    """covariate, mean_1, mean_0, var_1, var_0, smd, var_ratio, ecdf_mean, ecdf_max between rows with treat and those without.
+
+    Weighted variances use (sum w - sum w^2 / sum w). smd divides by the root of the mean of both variances (pooled) or by an arm's
+    ("treated", "control"); a difference whose scale vanishes is not divided. The gaps between the weighted distribution functions are taken over
+    distinct values. Rows of null treat, covariate or weight are left out of that covariate.
+    """
+    df = source(data)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    long = df.select(F.col(treat).cast("boolean").alias("t"), w.alias("w"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates])).alias("s")).select("t", "w", "s.*").dropna()
+    arm = lambda flag, c: F.sum(F.when(F.col("t") == flag, c))
+    x, w = F.col("x"), F.col("w")
+    agg = long.groupBy("covariate").agg(*[e.alias(f"{n}{k}") for k, flag in ((1, True), (0, False)) for n, e in (("w", arm(flag, w)), ("q", arm(flag, w * w)), ("m", arm(flag, w * x)))])
+    means = agg.select("covariate", "w1", "w0", "q1", "q0", (F.col("m1") / F.col("w1")).alias("mean_1"), (F.col("m0") / F.col("w0")).alias("mean_0"))
+    dev = long.join(F.broadcast(means.select("covariate", "mean_1", "mean_0")), "covariate")  # a row for each covariate
+    d = F.when(F.col("t"), x - F.col("mean_1")).otherwise(x - F.col("mean_0"))
+    var = dev.groupBy("covariate").agg(arm(True, w * d * d).alias("s1"), arm(False, w * d * d).alias("s0"))
+    out = means.join(var, "covariate").withColumns({f"var_{k}": F.col(f"s{k}") / F.nullif(F.col(f"w{k}") - F.col(f"q{k}") / F.col(f"w{k}"), F.lit(0.0)) for k in (1, 0)})
+    size = {"pooled": F.sqrt((F.col("var_1") + F.col("var_0")) / 2), "treated": F.sqrt("var_1"), "control": F.sqrt("var_0")}[scale]
+    gap = F.col("mean_1") - F.col("mean_0")
+    out = out.withColumn("smd", F.when(size > math.sqrt(np.finfo(float).eps), gap / size).otherwise(gap))
+    out = out.withColumn("var_ratio", F.col("var_1") / F.nullif("var_0", F.lit(0.0)))
+    steps = long.join(F.broadcast(means.select("covariate", "w1", "w0")), "covariate").groupBy("covariate", "x").agg(F.sum(F.when(F.col("t"), w / F.col("w1")).otherwise(-w / F.col("w0"))).alias("step"))
+    run = F.abs(F.sum("step").over(Window.partitionBy("covariate").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    ecdf = steps.withColumn("g", run).groupBy("covariate").agg(F.avg("g").alias("ecdf_mean"), F.max("g").alias("ecdf_max"))
+    return out.join(ecdf, "covariate").select("covariate", "mean_1", "mean_0", "var_1", "var_0", "smd", "var_ratio", "ecdf_mean", "ecdf_max")
+
+
+def ipw_weight(treat: Column, prob: Column, estimand: str = "ATE", trim: float = 0.0) -> Column:
+    """Inverse-probability weight of a row; null beyond the trimming bounds of prob."""
+    t = treat.cast("boolean")
+    w = {"ATE": F.when(t, 1 / prob).otherwise(1 / (1 - prob)), "ATT": F.when(t, F.lit(1.0)).otherwise(prob / (1 - prob)), "ATC": F.when(t, (1 - prob) / prob).otherwise(F.lit(1.0))}[estimand]
+    return F.when((prob > trim) & (prob < 1 - trim), w)
+
+
+def ipw_weights(data, treat: str, prob: str, estimand: str = "ATE", trim: float = 0.0, name: str = "ipw", normalise: bool = True) -> DataFrame:
+    """Adds weights; normalised: to mean 1 within each arm. An arm's sums are joined to its rows, so that arms of any size are aggregated first."""
+    df = source(data).withColumn(name, ipw_weight(F.col(treat), F.col(prob), estimand, trim))
+    if not normalise:
+        return df
+    sums = df.groupBy(F.col(treat).alias("__t")).agg((F.count(name) / F.sum(name)).alias("__f"))
+    return df.join(F.broadcast(sums), F.col(treat) == F.col("__t"), "left").withColumn(name, F.col(name) * F.col("__f")).drop("__t", "__f")  # two rows
+
+
+def if_vcov(data, phi: list[str], clusters: list[str] | None = None, k: int | None = None) -> np.ndarray:
+    """Sum of outer products of influence columns, by rows or by clusters in any number of ways (inclusion and exclusion);
+    times G / (G - 1) for the least number of clusters and (n - 1) / (n - k) if k is given. Null influences are an error."""
+    df = source(data)
+    bad = df.agg(*[F.sum(F.col(p).isNull().cast("int")).alias(p) for p in phi], F.count("*").alias("n")).first()
+    if any(bad[p] for p in phi):
+        raise ValueError("influence columns hold nulls")
+    n, small = bad["n"], 1.0
+    if k is not None:
+        small = (n - 1) / (n - k)
+    if not clusters:
+        return gram(df, phi, None)[0] * (small if k is not None else 1.0)
+    counts = [df.select(c).distinct().count() for c in clusters]
+    out = np.zeros((len(phi), len(phi)))
+    for m in range(1, len(clusters) + 1):
+        for by in itertools.combinations(clusters, m):
+            s = df.groupBy(*by).agg(*[F.sum(p).alias(p) for p in phi])
+            out += (-1) ** (m + 1) * gram(s, phi, None)[0]
+    return out * min(counts) / (min(counts) - 1) * small
+
+
+def joint_if_vcov(tables: list, phis: list[list[str]], clusters: list[str]) -> np.ndarray:
+    """Covariance of estimates from different samples that share clusters: tables are stacked, with zero influence where a row is of another."""
+    out, names = None, [f"t{i}_{p}" for i, ps in enumerate(phis) for p in ps]
+    for i, (t, ps) in enumerate(zip(tables, phis, strict=True)):
+        own = source(t).select(*clusters, *[F.col(p).alias(f"t{i}_{p}") for p in ps])
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return if_vcov(out.fillna(0.0, names), names, clusters)
+
+
+def group_mean_phis(data, y: str, group: str, weight: str | None = None, name: str = "phi") -> DataFrame:
+    """Adds name_1 and name_0: each row's influence on its arm's weighted mean of y."""
+    df = source(data)
+    w = F.col(weight) if weight else F.lit(1.0)
+    g = F.col(group).cast("boolean")
+    s = df.agg(*[F.sum(F.when(g == f, c)) for f in (True, False) for c in (w, w * F.col(y))]).first()
+    part = lambda f, sw, sy: F.when(g == f, w * (F.col(y) - sy / sw) / sw).otherwise(0.0)
+    return df.withColumns({f"{name}_1": part(True, s[0], s[1]), f"{name}_0": part(False, s[2], s[3])})
+
+
+def weighted_mean_difference(data, y: str, group: str, weight: str | None = None, clusters: list[str] | None = None) -> dict:
+    """Difference of weighted means of the arms and its influence-function standard error."""
+    df = source(data).filter(F.col(y).isNotNull() & F.col(group).isNotNull())
+    w = F.col(weight) if weight else F.lit(1.0)
+    g = F.col(group).cast("boolean")
+    m = df.agg(*[F.sum(F.when(g == f, w * F.col(y))) / F.sum(F.when(g == f, w)) for f in (True, False)]).first()
+    rows = group_mean_phis(df, y, group, weight).withColumn("phi", F.col("phi_1") - F.col("phi_0"))
+    v = if_vcov(rows, ["phi"], clusters)[0, 0]
+    return {"estimate": m[0] - m[1], "mean_1": m[0], "mean_0": m[1], "std_error": math.sqrt(v)}
+
+
+class BinaryFirstStage:
+    """A fitted logit or probit as the first stage of an estimate: probabilities, scores and what they add to influences."""
+
+    def __init__(self, fit):
+        if fit.family not in ("logit", "probit") or fit.fe:
+            raise ValueError("a first stage is a logit or probit without fixed effects")
+        self.fit, self.names = fit, fit.names
+
+    def prob(self, data=None) -> DataFrame:
+        return self.fit.predict(data, "response").withColumnRenamed("prediction", "prob")
+
+    def _terms(self) -> dict[str, Column]:
+        return {n: self.fit.parts["design"].x[n].cast("double") for n in self.names}
+
+    def scores(self, data=None) -> DataFrame:
+        """Adds prob and s0..: the rows' scores."""
+        y = F.col(self.fit.outcome).cast("double")
+        df = self.prob(data)
+        p = F.col("prob")
+        if self.fit.family == "probit":
+            from ridgeline.operators.families import pdf
+
+            link = sum((F.lit(float(b)) * c for b, c in zip(self.fit.beta, self._terms().values(), strict=True)), F.lit(0.0))
+            g = (y - p) * pdf(link) / (p * (1 - p))
+        else:
+            g = y - p
+        return df.withColumns({f"s{i}": g * c for i, c in enumerate(self._terms().values())})
+
+    @property
+    def information(self) -> np.ndarray:
+        return np.linalg.inv(self.fit.parts["bread"])
+
+    def slope(self) -> Column:
+        """Derivative of prob by the link, given prob (logit) or the terms (probit)."""
+        p = F.col("prob")
+        if self.fit.family == "logit":
+            return p * (1 - p)
+        from ridgeline.operators.families import pdf
+
+        return pdf(sum((F.lit(float(b)) * c for b, c in zip(self.fit.beta, self._terms().values(), strict=True)), F.lit(0.0)))
+
+    def corrected(self, df: DataFrame, phi: str, jacobian: np.ndarray) -> DataFrame:
+        """phi + J H^-1 s: influences with the estimation of the first stage in them; df as from scores()."""
+        c = np.linalg.solve(self.information, np.asarray(jacobian, float))
+        return df.withColumn(phi, F.col(phi) + sum((F.lit(float(v)) * F.col(f"s{i}") for i, v in enumerate(c)), F.lit(0.0)))
+
+
+def ipw_mean_difference(data, y: str, first: BinaryFirstStage, estimand: str = "ATE", trim: float = 0.0, clusters: list[str] | None = None) -> dict:
+    """Difference of Hajek means under inverse-probability weights, with a standard error that counts the estimation of the probabilities."""
+    treat = first.fit.outcome
+    df = first.scores(source(data))
+    t = F.col(treat).cast("boolean")
+    df = df.withColumn("w", ipw_weight(F.col(treat), F.col("prob"), estimand, trim)).filter(F.col("w").isNotNull() & F.col(y).isNotNull())
+    s = df.agg(*[F.sum(F.when(t == f, c)) for f in (True, False) for c in (F.col("w"), F.col("w") * F.col(y))]).first()
+    m1, m0 = s[1] / s[0], s[3] / s[2]
+    share = lambda f, sw, m: F.when(t == f, (F.col(y) - m) / sw).otherwise(0.0)
+    p, dp = F.col("prob"), first.slope()
+    dw = {"ATE": F.when(t, -1 / (p * p)).otherwise(1 / ((1 - p) * (1 - p))), "ATT": F.when(t, F.lit(0.0)).otherwise(1 / ((1 - p) * (1 - p))), "ATC": F.when(t, -1 / (p * p)).otherwise(F.lit(0.0))}[estimand]
+    own = share(True, s[0], m1) - share(False, s[2], m0)
+    terms = list(first._terms().values())
+    jac = np.array(df.agg(*[F.sum(own * dw * dp * c) for c in terms]).first(), float)
+    rows = first.corrected(df.withColumn("phi", F.col("w") * own), "phi", jac)
+    v = if_vcov(rows, ["phi"], clusters)[0, 0]
+    return {"estimate": m1 - m0, "mean_1": m1, "mean_0": m0, "std_error": math.sqrt(v), "n": rows.count()}
