@@ -138,7 +138,8 @@ def _estimate(fml: str, data, family_name: str, vcov=None, cluster=None, fe_dof:
     if family_name not in FAMILIES:
         raise ValueError(f"families are {', '.join(FAMILIES)}; for gaussian use feols")
     family = FAMILIES[family_name]
-    df = with_row_id(source(data))
+    df = source(data)
+    df = df if "row_id" in df.columns else with_row_id(df)
     if vcov is None and cluster:
         vcov = {"CRV1": cluster}
     if isinstance(vcov, dict) and "CRV3" in vcov:

@@ -61,7 +61,8 @@ def leave_out_kss(fml: str, data, psi: str | None = None, n_draws: int = 250, se
     same draws so that they add to one, with the correction of order 1/draws of their ratio; the bias is the trace of
     B diag(sigma_i^2), by random vectors through both sides' effects. Draws run as columns, `block` at a time.
     """
-    df = with_row_id(source(data))
+    df = source(data)
+    df = df if "row_id" in df.columns else with_row_id(df)
     m = fo.parse(fml)[0]
     if len(m.fe) != 2:
         raise ValueError("two fixed effects are expected")

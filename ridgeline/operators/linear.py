@@ -400,7 +400,8 @@ def attach(fit: FitResult, p: Panel, d: fo.Design, absorber, effects) -> None:
 
 def feols(fml: str, data, vcov=None, cluster=None, fe_dof: str = "exact", weights=None, weights_type: str = "aweights", stream: str | None = None, connected: str | None = None, connected_fe: tuple[int, int] | None = None, min_degree=None, fixef_rm: str = "singleton", tol: float = 1e-10, bootcluster: str | None = None) -> FitResult | MultiFit:
     """Linear models of a formula; instruments by ``| endogenous ~ instruments``. See README for the options."""
-    df = with_row_id(source(data))
+    df = source(data)
+    df = df if "row_id" in df.columns else with_row_id(df)
     if vcov is None and cluster:
         vcov = {"CRV1": cluster if isinstance(cluster, str) else "+".join(cluster)}
     clusters = cluster_columns([vcov, *([{"CRV1": cluster}] if isinstance(cluster, str) else [{"CRV1": c} for c in cluster or []]), *([{"CRV1": bootcluster}] if bootcluster else [])])
