@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import U, WordHash, cut, kept, mix, shingles, table, utf8
+from ridgeline.llm.common import U, WordHash, cut, kept, mix, release, shingles, table, utf8
 from ridgeline.llm.components import components
 
 COORDINATES, MATCHES, THRESHOLD, WORDS = 48, 25, 80, 2
 PREFIX = COORDINATES - MATCHES + 1
-STARS = 2
-NIBBLES = 12  # of 32 four-bit values of a signature's digest, those that must agree
+STARS = 2  # rounds after the first
+#: Of 32 four-bit values of a signature's digest, those that must agree: of two documents, and of a document and a hub that it is compared to.
+NIBBLES, NEAR_HUB = 12, 11
+BITS = [f"c{i}" for i in range(8)]
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,14 +45,13 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), set_a, set_b (128-bit hash of the set), keys (a posting for each coordinate), m1, m2 (4 bits of 32 coordinates)."""
+    """id, n (set size), set_a, set_b (128-bit hash of the set), sig (a value for each coordinate), m1, m2 (4 bits of 32 coordinates)."""
 
     def run(batches):
         import pyarrow as pa
 
         words = kept("words", WordHash)
         a, b = permutations(COORDINATES)
-        coordinate = np.arange(COORDINATES, dtype=U) << U(32)
         shift = np.arange(16, dtype=U) * U(4)
         for batch in batches:
             n, h, keys, minis = [], [], [], []
@@ -58,14 +59,14 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 sig = signature(s, a, b)
                 n.append(len(s))
                 h.append((int(np.bitwise_xor.reduce(mix(s + U(1)), initial=0)), int(np.add.reduce(mix(s + U(2)), dtype=U))))
-                keys.append(mix(coordinate | sig.astype(U)).view(np.int64))
+                keys.append(sig.view(np.int32))
                 nib = (mix(sig.astype(U)) & U(15))[:32]
                 minis.append((int(np.bitwise_or.reduce(nib[:16] << shift)), int(np.bitwise_or.reduce(nib[16:] << shift))))
             long = lambda v: pa.array(np.array(v, U).view(np.int64))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), long([x for x, _ in h]), long([x for _, x in h]), flat, long([x for x, _ in minis]), long([x for _, x in minis])], names=["id", "n", "set_a", "set_b", "keys", "m1", "m2"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), long([x for x, _ in h]), long([x for _, x in h]), flat, long([x for x, _ in minis]), long([x for _, x in minis])], names=["id", "n", "set_a", "set_b", "sig", "m1", "m2"])
 
-    return docs.mapInArrow(run, "id long, n long, set_a long, set_b long, keys array<long>, m1 long, m2 long")
+    return docs.mapInArrow(run, "id long, n long, set_a long, set_b long, sig array<int>, m1 long, m2 long")
 
 
 def agree(x: str, y: str) -> Column:
@@ -79,30 +80,74 @@ def agree(x: str, y: str) -> Column:
     return out
 
 
-def alike(x: str, y: str, percent: int) -> Column:
+def alike(x: str, y: str, percent: int, nibbles: int = NIBBLES) -> Column:
     """Sizes allow the similarity, and signature digests agree well enough."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return (small * 100 >= large * percent) & (agree(x, y) >= NIBBLES)
+    return (small * 100 >= large * percent) & (agree(x, y) >= nibbles)
 
 
-def confirmed(pairs: DataFrame, content: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, content: DataFrame) -> DataFrame:
+    """For pairs (a, b): sizes na, nb, both (the intersection) and what b has beyond a, hashed into 512 bits c0..c7."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            good = []
-            for x, y in zip(batch["s"].to_pylist(), batch["t"].to_pylist(), strict=True):
+            out, bits = [], np.zeros((batch.num_rows, 8), U)
+            for r, (x, y) in enumerate(zip(batch["s"].to_pylist(), batch["t"].to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
+                common = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                own = y[~common] & U(511)
+                np.bitwise_or.at(bits[r], (own >> U(6)).astype(np.int64), U(1) << (own & U(63)))
+                out.append((len(x), len(y), int(common.sum())))
+            n = np.array(out, np.int64).reshape(-1, 3)
+            columns = [batch["a"], batch["b"], *(pa.array(n[:, j]) for j in range(3)), *(pa.array(bits[:, j].view(np.int64)) for j in range(8))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["a", "b", "na", "nb", "both", *BITS]
     joined = pairs.join(content.select(F.col("id").alias("a"), F.col("content").alias("s")), "a").join(content.select(F.col("id").alias("b"), F.col("content").alias("t")), "b")
-    return joined.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "s", "t").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def within_reach(x: str, y: str, percent: int) -> Column:
+    """Whether x and y of a list can be alike, by what is known of either against the list's hub; true where that is unknown.
+
+    Their intersection is at most the smaller of both intersections with the hub, and what they share beyond it. Each bit that x sets and
+    y doesn't stands for an element of x beyond the hub that y has not; so what they share beyond the hub is at most x's number of such
+    elements less those bits, and likewise for y. The bound loses no pair.
+    """
+    beyond = lambda p, q: F.col(f"{p}.n") - F.col(f"{p}.both") - sum((F.bit_count(F.col(f"{p}.{c}").bitwiseAND(F.bitwise_not(f"{q}.{c}"))) for c in BITS), F.lit(0))
+    most = F.least(f"{x}.both", f"{y}.both") + F.least(beyond(x, y), beyond(y, x))
+    return F.coalesce((100 + percent) * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")), F.lit(True))
+
+
+def listed(reps: DataFrame, prefix: int) -> DataFrame:
+    """(key, id, n, m1, m2): postings of the prefix of each document, in lists of two or more.
+
+    Postings that no other document has order first and lead nowhere: of m others, m - (48 - prefix) are left in the prefix.
+    """
+    posts = reps.select("id", F.posexplode("sig").alias("c", "v")).select("id", F.shiftleft(F.col("v").cast("long"), 8).bitwiseOR(F.col("c")).alias("key"))
+    often = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    own = posts.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("l"))
+    own = own.withColumn("left", F.size("l") - (COORDINATES - prefix)).filter("left > 0").select("id", F.explode(F.slice("l", F.lit(1), F.col("left"))["key"]).alias("key"))
+    lists = cut(own.join(reps.select("id", "n", "m1", "m2"), "id"))
+    return cut(lists.join(lists.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key"))
+
+
+def contents(rows: DataFrame, lists: DataFrame, words: int) -> DataFrame:
+    """(id, content): the whole sorted sets of the documents that stand in lists."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held = kept("words", WordHash)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([s.tobytes() for s in sets(utf8(part["text"]), words, held)], pa.binary())], names=["id", "content"])
+
+    texts = rows.join(lists.select("id").distinct(), "id", "left_semi")
+    return cut(texts.mapInArrow(run, "id long, content binary"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
@@ -117,72 +162,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents of similarity 0.8 agree in 38 on average, and in 25 or more but for 3 pairs in a million: for other thresholds the needed number follows.
     Documents order their postings by global frequency, rarest first; those that agree in 25 of 48 share one of the first 24 of both
     (prefix), so that the longer lists are skipped and never merged. Pairs of a list whose sizes and 128-bit signature digests allow it
-    are confirmed on full sets. So that a group of m copies costs about m pairs, lists are first read as stars about one member, twice; only
-    lists that then still hold several components are read in full, and then for pairs of different components alone.
+    are confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest id, its
+    hub, then about another member; only lists that then still hold several components are read in full, for pairs of different components
+    that what is known against the hub does not rule out (within_reach): edits that two copies don't share rule them out.
     """
     need = max(1, int(np.floor(COORDINATES * percent / 100 - 5 * np.sqrt(COORDINATES * percent * (100 - percent)) / 100))) if percent != THRESHOLD else MATCHES
     prefix = COORDINATES - need + 1
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     p = cut(profiles(rows, words))
-    rep = F.struct("id", "keys", "m1", "m2")
+    rep = F.struct("id", "sig", "m1", "m2")
     reps = cut(p.filter("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min(rep).alias("r"), F.count("*").alias("members")).select("set_a", "set_b", "n", "members", "r.*"))
 
-    # Postings that no other document has order first and lead nowhere: of m others, m - (48 - prefix) are left in the prefix.
-    posts = reps.select("id", F.explode("keys").alias("key"))
-    often = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
-    own = posts.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("l"))
-    own = own.withColumn("left", F.size("l") - (COORDINATES - prefix)).filter("left > 0").select("id", F.explode(F.slice("l", F.lit(1), F.col("left"))["key"]).alias("key"))
-    lists = own.join(reps.select("id", "n", "m1", "m2"), "id")
-    lists = cut(lists)
-    lists = cut(lists.join(lists.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key"))
-
-    needed = lists.select("id").distinct()
-    texts = rows.join(needed, "id", "left_semi")
-
-    def contents(batches):
-        import pyarrow as pa
-
-        held = kept("words", WordHash)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([s.tobytes() for s in sets(utf8(part["text"]), words, held)], pa.binary())], names=["id", "content"])
-
-    content = cut(texts.mapInArrow(contents, "id long, content binary"))
-
-    labels = None  # node, label: of what is linked so far
-    for r in range(STARS + 1):
-        comp = lists.withColumn("comp", F.col("id")) if labels is None else lists.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        comp = cut(comp)
+    lists = listed(reps, prefix)
+    release(docs.sparkSession)
+    content = contents(rows, lists, words)
+    release(docs.sparkSession)
+
+    # Each list's hub is its smallest id. Members near it are compared to it in full; the result also bounds what two members can share.
+    hubs = lists.groupBy("key").agg(F.min(F.struct("id", "n", "m1", "m2")).alias("h")).select("key", "h.*")
+    x_hub = lists.alias("x").join(hubs.alias("y"), "key")
+    pairs = x_hub.filter((F.col("x.id") != F.col("y.id")) & alike("x", "y", 65, NEAR_HUB)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
+    near = cut(compared(pairs, content))
+    release(docs.sparkSession)
+    linked = lambda df: df.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    labels = cut(components(linked(near)))
+
+    name = lambda labels, side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}l"))
+    hub_of = hubs.select("key", F.col("id").alias("a"))
+    known = near.select("a", F.col("b").alias("id"), "both", *BITS)
+    for r in range(1, STARS + 1):
+        # lists that still hold several components, and the largest of them
+        comp = lists.join(name(labels, "id"), "id", "left").withColumn("comp", F.coalesce("idl", "id")).drop("idl")
         groups = comp.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").select("key", "major")
-        still = cut(comp.join(groups, "key"))
+        still = comp.join(groups, "key").join(hub_of, "key").join(known, ["a", "id"], "left")
+        is_hub = F.col("id") == F.col("a")
+        still = cut(still.withColumns({"both": F.when(is_hub, F.col("n")).otherwise(F.col("both"))} | {c: F.when(is_hub, F.lit(0).cast("long")).otherwise(F.col(c)) for c in BITS}).drop("a"))
         if not still.limit(1).count():
             break
+        apart = (F.col("x.comp") != F.col("y.comp")) & alike("x", "y", percent) & within_reach("x", "y", percent)
         if r < STARS:
-            draw = F.col("id") if not r else F.xxhash64("id", F.lit(r))
-            hubs = still.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "id", "n", "m1", "m2", "comp")).alias("h")).select("key", "h.*")
-            pairs = still.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & alike("x", "y", percent))
+            own = still.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("d"), "id", "n", "m1", "m2", "comp", "both", *BITS)).alias("h")).select("key", "h.*")
+            pairs = still.alias("x").join(own.alias("y"), "key").filter(apart)
         else:
-            minor = still.filter("comp <> major")
             once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
-            pairs = minor.alias("x").join(still.alias("y"), "key").filter((F.col("x.comp") != F.col("y.comp")) & once & alike("x", "y", percent))
+            pairs = still.filter("comp <> major").alias("x").join(still.alias("y"), "key").filter(once & apart)
         pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        found = cut(confirmed(pairs, content, percent))
-        if labels is None:
-            labels = cut(components(found))
-            continue
+        found = linked(cut(compared(pairs, content)))
+        release(docs.sparkSession)
         # The links found now join components: their labels are nodes of a smaller graph.
-        name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}l"))  # noqa: B023, E731
-        joined = found.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b")).filter("a <> b")
-        over = components(joined)
+        joined = found.join(name(labels, "a"), "a", "left").join(name(labels, "b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b")).filter("a <> b")
+        over = cut(components(cut(joined)))
         nodes = labels.union(over.select("node", "node")).toDF("node", "label").groupBy("node").agg(F.min("label").alias("label"))
         labels = cut(nodes.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
 
     classes = reps.select("set_a", "set_b", "n", "members", F.col("id").alias("rep"))
-    if labels is not None:
-        classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
-    else:
-        classes = classes.withColumn("component", F.col("rep"))
+    classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     # Single documents that no link moves need no row here.
     classes = classes.filter("members > 1 OR component <> rep").select("set_a", "set_b", "n", "component")
     out = p.select("id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"], "left")
