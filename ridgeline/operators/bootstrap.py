@@ -82,7 +82,7 @@ def wild_cluster(fit, param: str, cluster: str | None, reps: int, kind: str, nul
         a = np.einsum("i,gib->gb", bread[j], own)
         draws[b : b + 256] = (delta[j, b : b + 256] + (beta0[j] - (0 if null else fit.beta[j]))) / np.sqrt(adj * (a * a).sum(axis=0))
     p_value = float((np.abs(draws) >= abs(stat) * (1 - 1e-10)).mean())
-    return {"param": param, "statistic": float(stat), "p_value": p_value, "reps": len(draws), "clusters": g, "impose_null": null, "draws": draws}
+    return {"param": param, "t": float(stat), "p_value": p_value, "reps": len(draws), "clusters": g, "impose_null": null, "draws": draws}
 
 
 def resample_groups(data, unit: str, draw: int, cluster: str | None = None, seed: int = 1, id_name: str = "unit_id") -> DataFrame:
@@ -108,39 +108,64 @@ class RefitResult:
     """Estimates of the draws and of the draws that failed."""
 
     estimate: pd.Series
-    draws: pd.DataFrame
-    failures: dict[int, str] = field(default_factory=dict)
-    reps: int = 0
+    values: np.ndarray  # a row for each draw; NaN where it failed
+    ledger: list = field(default_factory=list)
+    warned: list = field(default_factory=list)
+
+    def _valid(self, allow_incomplete: bool) -> np.ndarray:
+        if self.ledger and not allow_incomplete:
+            raise ValueError(f"{len(self.ledger)} of {len(self.values)} draws failed: see failures(); allow_incomplete=True goes on without them")
+        own = self.values[np.isfinite(self.values).all(axis=1)]
+        if len(own) < 2:
+            raise ValueError("two draws are needed")
+        return own
+
+    def se(self, allow_incomplete: bool = False) -> pd.Series:
+        return pd.Series(self._valid(allow_incomplete).std(axis=0, ddof=1), self.estimate.index)
+
+    def confint(self, alpha: float = 0.05, method: str = "percentile", allow_incomplete: bool = False) -> pd.DataFrame:
+        from ridgeline.functions.special import norm_ppf
 
-    def _complete(self, incomplete: bool) -> None:
-        if self.failures and not incomplete:
-            raise ValueError(f"{len(self.failures)} of {self.reps} draws failed: pass incomplete=True to go on without them")
+        own, b = self._valid(allow_incomplete), self.estimate.to_numpy(float)
+        lo, hi = np.quantile(own, [alpha / 2, 1 - alpha / 2], axis=0)  # linear interpolation
+        if method == "basic":
+            lo, hi = 2 * b - hi, 2 * b - lo
+        elif method == "normal":
+            z = norm_ppf(1 - alpha / 2) * own.std(axis=0, ddof=1)
+            lo, hi = b - z, b + z
+        elif method != "percentile":
+            raise ValueError("method is percentile, basic or normal")
+        return pd.DataFrame({"Coefficient": self.estimate.index, "Estimate": b, "Lower": lo, "Upper": hi})
 
-    def se(self, incomplete: bool = False) -> pd.Series:
-        self._complete(incomplete)
-        return self.draws.std(ddof=1)
+    def tidy(self, alpha: float = 0.05, method: str = "percentile", allow_incomplete: bool = False) -> pd.DataFrame:
+        own = self._valid(allow_incomplete)
+        out = self.confint(alpha, method, allow_incomplete)
+        return out.assign(**{"Std. Error": own.std(axis=0, ddof=1), "Bootstrap Mean": own.mean(axis=0), "Bias": own.mean(axis=0) - self.estimate.to_numpy(float), "Successful Reps": len(own)})
 
-    def confint(self, kind: str = "percentile", level: float = 0.95, incomplete: bool = False) -> pd.DataFrame:
-        from ridgeline.functions.special import norm_ppf
+    def draws(self) -> pd.DataFrame:
+        return pd.DataFrame({"draw": np.arange(len(self.values)), "successful": np.isfinite(self.values).all(axis=1)} | {n: self.values[:, j] for j, n in enumerate(self.estimate.index)})
 
-        self._complete(incomplete)
-        lo, hi = (self.draws.quantile(q) for q in ((1 - level) / 2, (1 + level) / 2))  # linear interpolation
-        if kind == "basic":
-            lo, hi = 2 * self.estimate - hi, 2 * self.estimate - lo
-        elif kind == "normal":
-            z = norm_ppf((1 + level) / 2) * self.se(incomplete)
-            lo, hi = self.estimate - z, self.estimate + z
-        return pd.DataFrame({"conf_low": lo, "conf_high": hi})
+    def failures(self) -> pd.DataFrame:
+        return pd.DataFrame(self.ledger, columns=["draw", "error_type", "reason"])
+
+    def refit_warnings(self) -> pd.DataFrame:
+        return pd.DataFrame(self.warned, columns=["draw", "category", "message"])
 
 
 def refit_bootstrap(data, fit, unit: str, reps: int = 99, cluster: str | None = None, seed: int = 1) -> RefitResult:
     """Runs fit(DataFrame) -> Series on the data and on draws of whole groups. Numerical failures of a draw are noted; other errors end the run."""
+    import warnings
+
     df = source(data)
-    base, rows, failures = fit(df), {}, {}
+    base = fit(df)
+    values, ledger, warned = np.full((reps, len(base)), np.nan), [], []
     for r in range(reps):
-        try:
-            rows[r] = fit(resample_groups(df, unit, r, cluster, seed))
-        except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
-            failures[r] = str(e)
-            log.info("draw %d failed: %s", r, e)
-    return RefitResult(base, pd.DataFrame(rows).T, failures, reps)
+        with warnings.catch_warnings(record=True) as seen:
+            warnings.simplefilter("always")
+            try:
+                values[r] = fit(resample_groups(df, unit, r, cluster, seed)).reindex(base.index).to_numpy(float)
+            except (ValueError, FloatingPointError, np.linalg.LinAlgError) as e:
+                ledger.append((r, type(e).__name__, str(e)))
+                log.info("draw %d failed: %s", r, e)
+        warned += [(r, w.category.__name__, str(w.message)) for w in seen]
+    return RefitResult(base, values, ledger, warned)

@@ -108,27 +108,22 @@ def fit_glm(p: Panel, d: fo.Design, family, vcov, rule: str, tol: float, most: i
         stats["pseudo_r2_within"] = 1 - ll / base["loglik"] if base["loglik"] else math.nan
     fit = FitResult(d.outcome, keep, s["beta"], vcovs, dfs, vcov_key(default), n, stats, [f.name for f in p.fe], {}, [x for x in xs if x not in keep], family.name, text)
     out = s["out"].withColumn("resid_response", F.col(p.variables[d.outcome]) - family.mean(F.col("eta")))
-    working = s["effects"]
     fit.parts |= {"rows": out, "panel": p, "make_vcov": meats.make, "meats": meats, "design": d, "irls": s, "family": family, "weight": weight, "bread": bread}
-
-    class View:
-        """The working response in the outcome's place, for the code that linear fits use."""
-
-        tables = working.tables if working is not None else {}
-
-    view = Panel(**{**p.__dict__})
-    view.variables = {d.outcome: "z"} | {x: p.variables[x] for x in xs}
-    view.means = {v: 0.0 for v in view.variables.values()}
-    attach(fit, view, d, s["absorber"], View)
-    fit.parts["resid"] = lambda: out.select("row_id", F.col("resid_response").alias("resid"), family.mean(F.col("eta")).alias("fitted"), F.col("eta").alias("link"), *[F.col(f"c_{c}").alias(c) for c in p.clusters])
-    base_predict = fit.parts["predict"]
-
-    def predict(data=None, kind: str = "link") -> DataFrame:
-        df = base_predict(data, "link")
-        link = F.col("prediction")
+    solved = s["effects"]
+    view = Panel(**p.__dict__)
+    view.variables, view.weights = {d.outcome: p.variables[d.outcome]} | {x: p.variables[x] for x in xs}, None
+    attach(fit, view, d, s["absorber"], solved, y="z")
+    effects_ = [F.col(f"fe_{dim}").alias(f"fe_{f.name}") for dim, f in zip(p.dims, p.fe, strict=True)]
+    weights = [F.col(p.weights).alias("weights")] if p.weights else []
+    fit.parts["resid"] = lambda: fit.parts["with_effects"]().select(*view.carried(), "row_id", *weights, F.col(p.variables[d.outcome]).alias(d.outcome), *effects_, "xb", F.col("resid_response").alias("resid"), "eta", family.mean(F.col("eta")).alias("fitted"), F.col("e").alias("resid_working"))
+    linear = fit.parts["predict"]
+
+    def predict(newdata=None, type: str = "link", name: str = "prediction") -> DataFrame:
+        df = linear(newdata, type, name)
+        link = F.col(name)
         if fit.parts.get("offset") is not None:
             link = link + fit.parts["offset"].cast("double")
-        return df.withColumn("prediction", link if kind == "link" else family.mean(link))
+        return df.withColumn(name, link if type == "link" else family.mean(link))
 
     fit.parts["predict"] = predict
     return fit
@@ -155,7 +150,9 @@ def _estimate(fml: str, data, family_name: str, vcov=None, cluster=None, fe_dof:
         lo, hi, odd = p.rows.agg(F.min(y), F.max(y), F.sum((~F.col(y).isin(0.0, 1.0)).cast("int"))).first()
         family.check(lo, hi, odd)
         if separation_check and p.dims:
-            rows = separated(p.rows, p.dims, y, family.name)
+            rows, gone = separated(p.rows, p.dims, y, family.name)
+            if gone is not None:
+                p.gone = gone if p.gone is None else p.gone.union(gone)
             n = rows.agg(F.count("*"), F.sum("w") if p.weights else F.lit(0.0)).first()
             p.lost["separation"], p.rows = p.n - n[0], rows
             p.n, p.n_obs = n[0], n[1] if p.weights and weights_type == "fweights" else n[0]

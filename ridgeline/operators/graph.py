@@ -7,11 +7,12 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ridgeline.plans.cache import cut
 from ridgeline.sources import source
 
-MOST_PAIRS = 20_000_000
+MOST_PAIRS, MOST_SMALL = 20_000_000, 500_000
 
 
 def distinct_pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -28,9 +29,14 @@ def present(df: DataFrame, name: str):
 def label_pairs(pairs: DataFrame) -> DataFrame:
     """Adds component to pairs: the smallest level of a that the pair's levels reach.
 
-    Labels pass from a to b and back by the minimum, and each label of a then takes the label that its own label has, which
+    Up to MOST_SMALL pairs are labelled on the driver. With more, labels pass from a to b and back by the minimum, and each label of a then takes the label that its own label has, which
     shortens paths by half each round. Each round is an aggregation on each side; hubs are summed before they are sent.
     """
+    few = pairs.select("a", "b").limit(MOST_SMALL + 1).toPandas()
+    if len(few) <= MOST_SMALL:
+        (a, a_names), (b, b_names) = (_codes(few[c]) for c in ("a", "b"))
+        names = pairs.sparkSession.createDataFrame([(x, y) for x, y in zip(a_names.tolist(), a_names[min_labels(a, b, len(a_names), len(b_names))].tolist(), strict=True)], StructType([StructField("a", pairs.schema["a"].dataType), StructField("component", pairs.schema["a"].dataType)]))
+        return pairs.join(names, "a")
     labels = cut(pairs.select("a").distinct().withColumn("label", F.col("a")))
     while True:
         over = pairs.join(labels, "a").groupBy("b").agg(F.min("label").alias("m"))
@@ -44,6 +50,20 @@ def label_pairs(pairs: DataFrame) -> DataFrame:
             return pairs.join(labels, "a").withColumnRenamed("label", "component")
 
 
+def min_labels(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
+    """The smallest code of a that each code of a reaches through pairs."""
+    label = np.arange(na)
+    while True:
+        over = np.full(nb, na)
+        np.minimum.at(over, b, label[a])
+        new = label.copy()
+        np.minimum.at(new, a, over[b])
+        new = np.minimum(new, new[new])
+        if (new == label).all():
+            return label
+        label = new
+
+
 def peel(pairs: DataFrame, degrees: tuple[int, int]) -> DataFrame:
     """The largest set of pairs in which each a has degrees[0] distinct partners, and each b degrees[1]; a round removes all that fall short."""
     while True:
@@ -112,7 +132,7 @@ def ranked(labelled: DataFrame, by: str = "n") -> DataFrame:
     return size.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(key), "component")))
 
 
-def leave_one_out(pairs: DataFrame) -> DataFrame:
+def leave_one_out_pairs(pairs: DataFrame) -> DataFrame:
     """The largest component that stays connected when any one level of a is taken out: a's with one row and a's that are cut vertices go, again and again.
 
     An a with one partner is never a cut vertex, so that only pairs of a's with more (movers) come to the driver, MOST_PAIRS at most.
@@ -143,47 +163,70 @@ def _codes(values) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ConnectedComponents:
-    """Components of the graph of two columns' levels."""
+    """Components of the graph of two dimensions' levels, numbered from 0 by size; pairs: levels a, b, their rows n and their component's smallest a."""
 
     data: DataFrame
     fe: tuple[str, str]
     pairs: DataFrame
     rank_by: str = "n"
 
+    def numbered(self) -> DataFrame:
+        return self.pairs.join(ranked(self.pairs, self.rank_by).select("component", (F.col("rank") - 1).alias("__c")), "component").select("a", "b", "n", F.col("__c").alias("component"))
+
     def sizes(self) -> DataFrame:
-        """component (its smallest level of the first column), n, a_levels, b_levels, rank."""
-        return ranked(self.pairs, self.rank_by)
+        """component, rows and the number of levels of each dimension."""
+        r = ranked(self.pairs, self.rank_by)
+        return r.select((F.col("rank") - 1).alias("component"), F.col("n").alias("rows"), F.col("a_levels").alias(self.fe[0]), F.col("b_levels").alias(self.fe[1]))
+
+    @property
+    def n_components(self) -> int:
+        return self.pairs.select("component").distinct().count()
+
+    def levels(self, name: str) -> DataFrame:
+        """Levels of a dimension and their component."""
+        side = "ab"[self.fe.index(name)]
+        return self.numbered().select(F.col(side).alias(name), "component").distinct()
+
+    def _on(self, df: DataFrame):
+        a, b = (effect(f).level for f in self.fe)
+        return (a == F.col("__a")) & (b == F.col("__b"))
+
+    def label(self, data=None) -> DataFrame:
+        """The data with component (null for rows in none) and in_largest."""
+        df = self.data if data is None else source(data)
+        p = self.numbered().select(F.col("a").alias("__a"), F.col("b").alias("__b"), "component")
+        return df.join(p, self._on(df), "left").drop("__a", "__b").withColumn("in_largest", F.coalesce(F.col("component") == 0, F.lit(False)))
+
+    def largest(self, data=None) -> DataFrame:
+        """Rows of the largest component."""
+        df = self.data if data is None else source(data)
+        first = self.numbered().filter("component = 0").select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+        return df.join(first, self._on(df), "left_semi")
 
-    def levels(self, which: int = 0) -> DataFrame:
-        """Levels of a column and their component."""
-        side = "ab"[which]
-        return self.pairs.select(F.col(side).alias(self.fe[which]), "component").distinct()
+    def summary(self) -> str:
+        top = self.sizes().orderBy("component").limit(2).collect()
+        lines = [f"connected components of {self.fe[0]} x {self.fe[1]}: {self.n_components}"]
+        lines += [f"  {'largest' if not r['component'] else 'next largest'}: {r['rows']} rows, {r[self.fe[0]]} {self.fe[0]}, {r[self.fe[1]]} {self.fe[1]}" for r in top]
+        return "\n".join(lines)
 
-    def label(self, name: str = "component") -> DataFrame:
-        """The data with each row's component; null for rows in none."""
-        a, b = self.fe
-        p = self.pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b"), F.col("component").alias(name))
-        return self.data.join(p, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left").drop("__a", "__b")
 
-    def largest(self) -> DataFrame:
-        """Rows of the largest component."""
-        a, b = self.fe
-        first = self.pairs.join(self.sizes().filter("rank = 1").select("component"), "component", "left_semi").select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-        return self.data.join(first, (F.col(a) == F.col("__a")) & (F.col(b) == F.col("__b")), "left_semi")
+def effect(name: str):
+    from ridgeline.functions.formula import fixed_effect
+
+    return fixed_effect(name)
 
-    def summary(self) -> dict:
-        top = self.sizes().orderBy("rank").limit(1).collect()
-        n = self.pairs.select("component").distinct().count()
-        return {"components": n, "largest": top[0].asDict() if top else None}
 
+def connected_components(data, fe, min_degree=(1, 1), leave_one_out: bool = False, rank_by: str = "rows") -> ConnectedComponents:
+    """Components of two dimensions' levels ("a + b^c", or both names), after peeling to min_degree and, if asked, to the leave-one-out connected set.
 
-def connected_components(data, fe: tuple[str, str] | list[str], min_degree: tuple[int, int] = (1, 1), leave_one_out_set: bool = False, rank_by: str | None = None) -> ConnectedComponents:
-    """Components of two columns' levels, after peeling to min_degree and, if asked, to the leave-one-out connected set."""
+    Ranked by rows, or by the levels of the dimension that rank_by names; ties go to the smallest level of the first."""
     df = source(data)
-    pairs = cut(distinct_pairs(df, *fe))
-    if max(min_degree) > 1:
-        pairs = peel(pairs, tuple(min_degree))
-    if leave_one_out_set:
-        pairs = leave_one_out(pairs)
-    by = "n" if rank_by is None else "ab"[list(fe).index(rank_by)]
-    return ConnectedComponents(df, tuple(fe), cut(label_pairs(pairs)), by)
+    fe = tuple(effect(f).name for f in (fe.split("+") if isinstance(fe, str) else fe))
+    degrees = (min_degree, min_degree) if isinstance(min_degree, int) else tuple(min_degree)
+    rows = df.select(*[effect(f).level.alias(side) for f, side in zip(fe, "ab", strict=True)])
+    pairs = cut(distinct_pairs(rows, "a", "b"))
+    if max(degrees) > 1:
+        pairs = peel(pairs, degrees)
+    if leave_one_out:
+        pairs = leave_one_out_pairs(pairs)
+    return ConnectedComponents(df, fe, cut(label_pairs(pairs)), "n" if rank_by == "rows" else "ab"[fe.index(rank_by)])

@@ -5,9 +5,10 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,30 @@ class Panel:
     n_obs: float
     lost: dict
     means: dict
+    gone: DataFrame | None = None  # cells of levels that the sample's restriction took out, with the reason
+    keep: tuple[str, ...] = ()
+    labels: dict = field(default_factory=dict)
+
+    def components(self, a: int, b: int) -> tuple[int, DataFrame]:
+        """How many components two dimensions' levels make, and the pairs with theirs; kept."""
+        if (a, b) not in self.labels:
+            pairs = cut(self.rows.groupBy(F.col(self.dims[a]).alias("a"), F.col(self.dims[b]).alias("b")).agg(F.count("*").alias("n")))
+            labelled = cut(graph.label_pairs(pairs))
+            self.labels[a, b] = labelled.select("component").distinct().count(), labelled
+        return self.labels[a, b]
+
+    def keys(self, i: int) -> list:
+        """Source columns of a dimension."""
+        f = self.fe[i]
+        return [F.col(self.dims[i]).alias(f.keys[0])] if len(f.keys) == 1 else [F.col(f"s_{k}").alias(k) for k in f.keys]
+
+    def carried(self) -> list:
+        """Source columns of all dimensions and clusters, and those to keep; each once."""
+        out = {k: c for i, f in enumerate(self.fe) for k, c in zip(f.keys, self.keys(i), strict=True)}
+        for c in self.clusters:
+            ks = c.split("^")
+            out |= {k: (F.col(f"c_{c}") if len(ks) == 1 else F.col(f"s_{k}")).alias(k) for k in ks if k not in out}
+        return [*out.values(), *[F.col(f"s_{k}").alias(k) for k in self.keep if k not in out]]
 
 
 def cluster_columns(kinds) -> list[str]:
@@ -49,7 +74,7 @@ def cluster_columns(kinds) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weights=None, weights_type: str = "aweights", clusters: list[str] | None = None, stream: str | None = None, extra: dict | None = None, **how) -> Panel:
+def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weights=None, weights_type: str = "aweights", clusters: list[str] | None = None, stream: str | None = None, extra: dict | None = None, keep: tuple[str, ...] = (), **how) -> Panel:
     """Codes the columns of the models, drops rows with missing values and restricts the sample."""
     if "row_id" not in df.columns:
         df = with_row_id(df)
@@ -63,6 +88,8 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
     select += [fo.expression(t).alias(f"t{j}") for j, t in enumerate(sloped[0].slopes if sloped else ())]
     select += [fo.FixedEffect(c, tuple(re.split(r"\^", c))).level.alias(f"c_{c}") for c in clusters]
     select += [c.cast("double").alias(n) for n, c in (extra or {}).items()]
+    composite = [k for f in fe if len(f.keys) > 1 for k in f.keys] + [k for c in clusters if "^" in c for k in c.split("^")]
+    select += [F.col(f"`{k}`").alias(f"s_{k}") for k in dict.fromkeys([*composite, *keep])]
     if weights is not None:
         select.append((fo.expression(weights) if isinstance(weights, str) else weights).cast("double").alias("w"))
     coded = df.select(*select)
@@ -90,14 +117,14 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
         rows, coded, fe = swap(rows), swap(coded), [fe[i] for i in order]
         pair = how.get("connected_fe")
         how["connected_fe"] = tuple(order.index(i) for i in (pair or (0, 1)))
-    rows, lost = restrict(rows, dims, **how)
+    rows, lost, gone = restrict(rows, dims, **how)
     if lost and any(lost.values()):
         rows = cut(rows)
     stats = rows.agg(F.count("*"), F.sum("w") if weights is not None else F.lit(0.0), *[F.avg(v) for v in values]).first()
     if not stats[0]:
         raise ValueError("no rows are left after singletons and components are taken out")
     n_obs = stats[1] if weights is not None and weights_type == "fweights" else stats[0]
-    return Panel(rows, coded, {n: f"v{i}" for i, n in enumerate(names)}, dims, fe, slopes, "w" if weights is not None else None, weights_type, clusters, stats[0], n_obs, lost, dict(zip(values, stats[2:], strict=True)))
+    return Panel(rows, coded, {n: f"v{i}" for i, n in enumerate(names)}, dims, fe, slopes, "w" if weights is not None else None, weights_type, clusters, stats[0], n_obs, lost, dict(zip(values, stats[2:], strict=True)), gone, tuple(keep))
 
 
 def fe_parameters(p: Panel, rule: str = "exact") -> tuple[int, list[int], list[list[bool]]]:
@@ -111,10 +138,7 @@ def fe_parameters(p: Panel, rule: str = "exact") -> tuple[int, list[int], list[l
         sizes[0] += sum(spread.agg(*[F.sum(b) for b in a.basis]).first())
     redundant = len(p.dims) - 1
     if rule == "exact" and len(p.dims) > 1:
-        parts = []
-        for a, b in itertools.combinations(p.dims, 2):
-            pairs = cut(p.rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")))
-            parts.append(graph.label_pairs(pairs).select("component").distinct().count())
+        parts = [p.components(a, b)[0] for a, b in itertools.combinations(range(len(p.dims)), 2)]
         redundant = max(parts) + len(p.dims) - 2
     return sum(sizes) - redundant, sizes
 
@@ -170,11 +194,7 @@ class Meats:
         redundant = len(self.p.dims) - 1
         if self.rule == "exact" and len(self.p.dims) > 1:
             parts = [1]
-            for (i, a), (j, b) in itertools.combinations(enumerate(self.p.dims), 2):
-                if inside[i] and inside[j]:
-                    continue
-                pairs = cut(self.p.rows.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n")))
-                parts.append(graph.label_pairs(pairs).select("component").distinct().count())
+            parts += [self.p.components(i, j)[0] for i, j in itertools.combinations(range(len(self.p.dims)), 2) if not (inside[i] and inside[j])]
             redundant = max(parts) + len(self.p.dims) - 2
         own = [s for s, x in zip(self.sizes, inside, strict=True) if x]
         return self.k + total - redundant - sum(own) + len(own)
@@ -323,82 +343,116 @@ def fit_linear(p: Panel, d: fo.Design, within: tuple, vcov, clusters, rule: str,
     return fit
 
 
-def attach(fit: FitResult, p: Panel, d: fo.Design, absorber, effects) -> None:
-    """fixef, resid, sample and predict of a linear fit."""
+def group_slopes(rows: DataFrame, dim: str, value: str, slopes: list[str], w) -> DataFrame:
+    """level, c0.. : of each level, the regression of value on an intercept and the slopes; sums first, solved where they lie."""
+    names = ["__one", *slopes]
+    cols = {"__one": F.lit(1.0)} | {t: F.col(t) for t in slopes}
+    k = len(names)
+    at = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.sum(w * cols[names[i]] * cols[names[j]]).alias(f"a{n}") for n, (i, j) in enumerate(at)] + [F.sum(w * cols[m] * F.col(value)).alias(f"b{i}") for i, m in enumerate(names)]
+    own = rows.groupBy(F.col(dim).alias("level")).agg(*sums)
+
+    def solve(batches):
+        for t in batches:
+            m, b = np.zeros((len(t), k, k)), t[[f"b{i}" for i in range(k)]].to_numpy(float)
+            for n, (i, j) in enumerate(at):
+                m[:, i, j] = m[:, j, i] = t[f"a{n}"]
+            c = np.einsum("nij,nj->ni", np.linalg.pinv(m, rcond=1e-12, hermitian=True), b) if len(t) else b
+            out = t[["level"]].copy()
+            for i in range(k):
+                out[f"c{i}"] = c[:, i]
+            yield out
+
+    return own.mapInPandas(solve, f"level {dict(own.dtypes)['level']}, " + ", ".join(f"c{i} double" for i in range(k)))
+
+
+def attach(fit: FitResult, p: Panel, d: fo.Design, absorber, effects, y: str | None = None) -> None:
+    """fixef, resid, sample and predict of a fit. y: the column that the effects add up to (a GLM's working response); the outcome otherwise."""
     scored, names = fit.parts["rows"], list(p.variables)
-    tables = {}
-    shift = p.means[p.variables[fit.outcome]] - sum(b * p.means[p.variables[n]] for b, n in zip(fit.beta, fit.names, strict=True)) if p.dims else 0.0
+    y = y or p.variables[fit.outcome]
+    w = F.col(p.weights) if p.weights else F.lit(1.0)
+    made: dict = {}
 
-    def solved() -> dict:
-        """Effects of the dimensions solved for, at mean zero over rows."""
-        out = {}
-        for dim in p.dims[1:]:
+    def with_effects() -> DataFrame:
+        """Rows with xb and the effect fe_<dim> of each dimension: the first solved one has mean zero within components, further ones overall."""
+        if "rows" in made:
+            return made["rows"]
+        rows = scored.withColumn("xb", sum((F.lit(float(b)) * F.col(p.variables[n]) for b, n in zip(fit.beta, fit.names, strict=True)), F.lit(0.0)))
+        for k, dim in enumerate(p.dims[1:], 1):
             levels, g = effects.tables[dim]
             own = g[:, names.index(fit.outcome)] - sum((b * g[:, names.index(n)] for b, n in zip(fit.beta, fit.names, strict=True)), np.zeros(len(levels)))
-            out[dim] = levels, own
-        return out
-
-    def with_effects() -> DataFrame:
-        import pandas as pd
-
-        rows = scored.withColumn("linear", sum((F.lit(float(b)) * F.col(p.variables[n]) for b, n in zip(fit.beta, fit.names, strict=True)), F.lit(0.0)))
-        for dim, (levels, own) in solved().items():
             t = rows.sparkSession.createDataFrame(pd.DataFrame({"__l": levels, f"fe_{dim}": own}))
-            mean = rows.join(t, F.col(dim) == F.col("__l")).agg(F.sum(meats.w * F.col(f"fe_{dim}")) / F.sum(meats.w)).first()[0]
-            tables[dim] = t.select(F.col("__l").alias("level"), (F.col(f"fe_{dim}") - mean).alias("effect"))
-            rows = rows.join(t, F.col(dim) == F.col("__l")).drop("__l").withColumn(f"fe_{dim}", F.col(f"fe_{dim}") - mean)
-        rest = F.col(p.variables[fit.outcome]) - F.col("linear") - F.col("e")
-        for dim in p.dims[1:]:
-            rest = rest - F.col(f"fe_{dim}")
-        return rows.withColumn("fe_f0", rest) if p.dims else rows
-
-    meats = fit.parts.get("meats")
-
-    def fixef() -> dict[str, DataFrame]:
-        if not p.dims:
-            return {}
-        rows = with_effects()
-        out = {}
-        for i, f in enumerate(p.fe):
-            if i or not p.slopes:
-                out[f.name] = tables[f"f{i}"] if i else rows.groupBy(F.col("f0").alias("level")).agg(F.avg("fe_f0").alias("effect"))
+            rows = rows.join(t, F.col(dim) == F.col("__l")).drop("__l")
+            mean = F.sum(w * F.col(f"fe_{dim}")) / F.sum(w)
+            if k == 1 and p.components(0, 1)[0] > 1:
+                rows = rows.join(component_of(dim), dim)
+                means = rows.groupBy("component").agg(mean.alias("__m"))
+                rows = rows.join(means, "component").withColumn(f"fe_{dim}", F.col(f"fe_{dim}") - F.col("__m")).drop("__m", "component")
             else:
-                t = [F.col(s) for s in p.slopes]
-                if len(t) > 1:
-                    raise NotImplementedError("slopes of one variable are reported; with more, resid() holds each row's total")
-                slope = F.covar_samp("fe_f0", t[0]) / F.nullif(F.var_samp(t[0]), F.lit(0.0))
-                own = rows.groupBy(F.col("f0").alias("level")).agg(slope.alias("slope"), F.avg("fe_f0").alias("m"), F.avg(t[0]).alias("tm"))
-                out[f.name] = own.select("level", (F.col("m") - F.coalesce("slope", F.lit(0.0)) * F.col("tm")).alias("effect"), F.coalesce("slope", F.lit(0.0)).alias("slope"))
-        return out
+                rows = rows.withColumn(f"fe_{dim}", F.col(f"fe_{dim}") - F.lit(rows.agg(mean).first()[0]))
+        if p.dims:
+            rows = rows.withColumn("fe_f0", sum((-F.col(f"fe_{dim}") for dim in p.dims[1:]), F.col(y) - F.col("xb") - F.col("e")))
+        made["rows"] = cut(rows)
+        return made["rows"]
+
+    def component_of(dim: str) -> DataFrame:
+        """Levels of the first solved dimension and their component, numbered by size from 0."""
+        labelled = p.components(0, 1)[1]
+        return labelled.join(graph.ranked(labelled).select("component", (F.col("rank") - 1).alias("__c")), "component").select(F.col("b").alias(dim), F.col("__c").alias("component")).distinct()
+
+    def table(i: int) -> DataFrame:
+        """level, the source columns, fe_<name> (and fe_<name>[slope]) and n_obs of a dimension."""
+        rows, f, dim = with_effects(), p.fe[i], p.dims[i]
+        own = rows.select(F.col(dim).alias("level"), *([c for c in p.keys(i)]), F.col(f"fe_{dim}").alias("__e"))
+        t = own.groupBy("level").agg(*[F.first(k).alias(k) for k in f.keys], F.avg("__e").alias(f"fe_{f.name}"), F.count("*").alias("n_obs"))
+        if i == 0 and p.slopes:
+            g = group_slopes(rows, dim, f"fe_{dim}", p.slopes, w)
+            g = g.select(F.col("level").alias("__l"), F.col("c0"), *[F.col(f"c{j + 1}").alias(f"fe_{f.name}[{s}]") for j, s in enumerate(f.slopes)])
+            t = t.join(g, F.col("level") == F.col("__l")).select("level", *f.keys, F.col("c0").alias(f"fe_{f.name}"), *[F.col(f"`fe_{f.name}[{s}]`") for s in f.slopes], "n_obs")
+        return t
+
+    def fixef(name: str | None = None):
+        if name is None:
+            return {f.name: fixef(f.name) for f in p.fe}
+        at = {f.name: i for i, f in enumerate(p.fe)}
+        if name not in at:
+            raise KeyError(f"{name!r} is not a fixed effect of this model: {list(at)}")
+        t = table(at[name])
+        if at[name] == 1:
+            t = t.join(component_of("level"), "level")
+        return t.drop("level")
 
     def resid() -> DataFrame:
-        rows = with_effects()
-        keep = [F.col(f"fe_{dim}").alias(f"fe_{f.name}") for dim, f in zip(p.dims, p.fe, strict=True)]
-        return rows.select("row_id", F.col("e").alias("resid"), (F.col(p.variables[fit.outcome]) - F.col("e")).alias("fitted"), *keep, *[F.col(f"c_{c}").alias(c) for c in p.clusters])
+        effects_ = [F.col(f"fe_{dim}").alias(f"fe_{f.name}") for dim, f in zip(p.dims, p.fe, strict=True)]
+        weights = [F.col(p.weights).alias("weights")] if p.weights else []
+        return with_effects().select(*p.carried(), "row_id", *weights, F.col(p.variables[fit.outcome]).alias(fit.outcome), *effects_, "xb", F.col("e").alias("resid"))
 
     def sample() -> DataFrame:
-        from ridgeline.plans.sample import REASONS
-
-        used = scored.select("row_id", F.lit(True).alias("used"))
-        kept = [r for r in REASONS[1:] if p.lost.get(r)]
-        reason = F.when(~F.col("ok"), F.lit("missing")).otherwise(F.lit(kept[0] if len(kept) == 1 else "restricted"))
-        return p.coded.select("row_id", "ok").join(used, "row_id", "left").select("row_id", F.coalesce("used", F.lit(False)).alias("in_sample"), F.when(F.col("used").isNull(), reason).alias("reason"))
-
-    def predict(data=None, kind: str = "link") -> DataFrame:
-        df = fit.parts["source"] if data is None else source(data)
-        out = df
-        total = sum((F.lit(float(b)) * (d.x | d.endog)[n].cast("double") for b, n in zip(fit.beta, fit.names, strict=True)), F.lit(0.0))
-        for i, (f, t) in enumerate((f, fixef()[f.name]) for f in p.fe):
-            t = t.select(F.col("level").alias(f"__l{i}"), F.col("effect").alias(f"__e{i}"), *([F.col("slope").alias("__slope")] if "slope" in t.columns else []))
+        src = fit.parts["source"]
+        flags = p.coded.select("row_id", "ok", *p.dims)
+        flags = flags.join(p.gone, p.dims, "left") if p.gone is not None else flags.withColumn("gone", F.lit(None).cast("string"))
+        flags = flags.select("row_id", F.when(~F.col("ok"), F.lit("missing")).otherwise(F.col("gone")).alias("dropped_because"))
+        rest = [c for c in src.columns if c != "row_id"]
+        return src.join(flags, "row_id").select("row_id", *rest, F.col("dropped_because").isNull().alias("in_sample"), "dropped_because")
+
+    def predict(newdata=None, type: str = "link", name: str = "prediction") -> DataFrame:
+        if type not in ("link", "response"):
+            raise ValueError("type is 'link' or 'response'")
+        df = fit.parts["source"] if newdata is None else source(newdata)
+        if name in df.columns:
+            raise ValueError(f"newdata has a column {name}; pass another name=")
+        out, columns = df, d.x | d.endog
+        total = sum((F.lit(float(b)) * columns[n].cast("double") for b, n in zip(fit.beta, fit.names, strict=True)), F.lit(0.0))
+        for i, f in enumerate(p.fe):
+            t = table(i).select(F.col("level").alias(f"__l{i}"), F.col(f"`fe_{f.name}`").alias(f"__e{i}"), *[F.col(f"`fe_{f.name}[{s}]`").alias(f"__s{j}") for j, s in enumerate(f.slopes)])
             out = out.join(t, f.level == F.col(f"__l{i}"), "left")
-            total = total + F.col(f"__e{i}") + (F.col("__slope") * fo.expression(f.slopes[0]) if "__slope" in t.columns else F.lit(0.0))
-        link = total if kind == "link" or fit.family == "gaussian" else F.exp(total) if fit.family == "poisson" else 1 / (1 + F.exp(-total))
-        return out.select(*df.columns, link.alias("prediction"))
+            total = total + F.col(f"__e{i}") + sum((F.col(f"__s{j}") * fo.expression(s) for j, s in enumerate(f.slopes)), F.lit(0.0))
+        return out.select(*df.columns, total.alias(name))
 
-    fit.parts |= {"fixef": fixef, "resid": resid, "sample": sample, "predict": predict, "shift": shift, "with_effects": with_effects}
+    fit.parts |= {"fixef": fixef, "resid": resid, "sample": sample, "predict": predict, "with_effects": with_effects}
 
 
-def feols(fml: str, data, vcov=None, cluster=None, fe_dof: str = "exact", weights=None, weights_type: str = "aweights", stream: str | None = None, connected: str | None = None, connected_fe: tuple[int, int] | None = None, min_degree=None, fixef_rm: str = "singleton", tol: float = 1e-10, bootcluster: str | None = None) -> FitResult | MultiFit:
+def feols(fml: str, data, vcov=None, cluster=None, fe_dof: str = "exact", weights=None, weights_type: str = "aweights", stream: str | None = None, connected: str | None = None, connected_fe: tuple[int, int] | None = None, min_degree=None, fixef_rm: str = "singleton", tol: float = 1e-10, bootcluster: str | None = None, keep: tuple[str, ...] = ()) -> FitResult | MultiFit:
     """Linear models of a formula; instruments by ``| endogenous ~ instruments``. See README for the options."""
     df = source(data)
     df = df if "row_id" in df.columns else with_row_id(df)
@@ -415,13 +469,10 @@ def feols(fml: str, data, vcov=None, cluster=None, fe_dof: str = "exact", weight
         for d in designs.values():
             columns |= {d.outcome: fo.expression(d.outcome)} | d.x | d.endog | d.z
         how = {"connected": connected, "min_degree": min_degree, "fixef_rm": fixef_rm} | ({"connected_fe": connected_fe} if connected_fe else {})
-        p = prepare(df, fe, columns, weights, weights_type, clusters, stream, **how)
+        p = prepare(df, fe, columns, weights, weights_type, clusters, stream, keep=tuple(keep), **how)
         within = within_rows(p, tol)
         for i in own:
             fits[i] = fit_linear(p, designs[i], within, vcov, [bootcluster] if bootcluster else [], fe_dof, fml)
             fits[i].parts["source"] = df
     out = [fits[i] for i in range(len(models))]
     return out[0] if len(out) == 1 else MultiFit(out)
-
-
-

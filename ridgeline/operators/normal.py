@@ -27,12 +27,9 @@ class NormalEquationsSolution:
         return pd.DataFrame(self.beta, self.names, self.columns)
 
     def predict(self) -> DataFrame:
-        """row_id and the projection of each column on the rows of the fit."""
+        """row_id and z'u of each column for the rows of the fit: how a weighted sum of predictions answers to a row's outcome."""
         return self.rows.select("row_id", *[F.col(f"p{i}").alias(c) for i, c in enumerate(self.columns)])
 
-    def resid(self) -> DataFrame:
-        return self.rows.select("row_id", *[F.col(f"r{i}").alias(c) for i, c in enumerate(self.columns)])
-
 
 def project(fit, rows: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarray]:
     """Adds r0..: the columns less their regression on the fit's covariates and fixed effects; and the coefficients of the covariates."""
@@ -53,12 +50,51 @@ def project(fit, rows: DataFrame, names: list[str]) -> tuple[DataFrame, np.ndarr
     return cut(out), beta
 
 
-def solve_columns(fit, data, columns: list[str]) -> NormalEquationsSolution:
-    """data: row_id and the columns; rows are those of the fit (row_id as in resid())."""
-    d = source(data).select("row_id", *[F.col(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns)])
-    p = fit.parts["panel"]
-    rows = p.rows.join(d, "row_id")
-    names = [f"y{i}" for i in range(len(columns))]
-    out, beta = project(fit, rows, names)
-    out = out.withColumns({f"p{i}": F.col(n) - F.col(f"r{i}") for i, n in enumerate(names)})
-    return NormalEquationsSolution(columns, beta, list(fit.names), out)
+def solve_columns(fit, data, columns) -> NormalEquationsSolution:
+    """S u = Z'v for each column v: S is the fit's normal matrix, and Z'v adds up the design rows of data, weighted by v.
+
+    Fixed effects first: the level sums of v, as values of the fit's rows, are what the groups and the solved dimensions make of them; covariates follow."""
+    p, d = fit.parts["panel"], fit.parts["design"]
+    if p.slopes or fit.parts.get("endog") or fit.family != "gaussian":
+        raise NotImplementedError("linear models without slopes and instruments")
+    columns = [columns] if isinstance(columns, str) else list(columns)
+    m, k = len(columns), len(fit.names)
+    df = source(data)
+    v = [F.col(c).cast("double") for c in columns]
+    rx = np.zeros((k, m))
+    if k:
+        rx = np.array(df.agg(*[F.sum(x * d.x[n].cast("double")) for n in fit.names for x in v]).first(), float).reshape(k, m)
+    rows, w = fit.parts["rows"], F.col(p.weights) if p.weights else F.lit(1.0)
+    rows = rows.select("row_id", *p.dims, *([p.weights] if p.weights else []), *[F.col(p.variables[n]).alias(f"q{j}") for j, n in enumerate(fit.names)], *[F.col(fit.parts["u"][n]).alias(f"t{j}") for j, n in enumerate(fit.names)])
+    names = [f"c{i}" for i in range(m)]
+    rows = rows.withColumns({c: F.lit(0.0) for c in names})
+    if p.dims:
+        sums = lambda f: df.groupBy(f.level.alias("__l")).agg(*[F.sum(x).alias(f"r{i}") for i, x in enumerate(v)])
+        for f, dim in zip(p.fe, p.dims, strict=True):
+            if sums(f).join(rows.select(F.col(dim).alias("__l")).distinct(), "__l", "left_anti").limit(1).count():
+                raise ValueError(f"data has levels of {f.name} that the fit has not")
+        size = rows.groupBy(F.col("f0").alias("__g")).agg(F.sum(w).alias("__n"))
+        first = size.join(sums(p.fe[0]), F.col("__g") == F.col("__l"), "left").select("__g", *[(F.coalesce(f"r{i}", F.lit(0.0)) / F.col("__n")).alias(f"g{i}") for i in range(m)])
+        rows = cut(rows.join(first, F.col("f0") == F.col("__g")).withColumns({f"c{i}": F.col(f"g{i}") for i in range(m)}).drop("__g", *[f"g{i}" for i in range(m)]))
+        if len(p.dims) > 1:
+            a = fit.parts["absorber"]
+            right = np.zeros((a.n, m))
+            for f, dim in zip(p.fe[1:], p.dims[1:], strict=True):
+                own, held = sums(f).toPandas(), rows.groupBy(F.col(dim).alias("__l")).agg(*[F.sum(w * F.col(c)).alias(f"r{i}") for i, c in enumerate(names)]).toPandas()
+                for t, sign in ((own, 1), (held, -1)):
+                    right[a.offset[dim] + np.searchsorted(a.levels[dim], t["__l"].to_numpy())] += sign * t[[f"r{i}" for i in range(m)]].to_numpy(float)
+            gamma, _ = a.solve(right)
+            extra = [f"e{i}" for i in range(m)]
+            rows = rows.withColumns({e: F.lit(0.0) for e in extra})
+            for dim in p.dims[1:]:
+                levels = a.levels[dim]
+                t = rows.sparkSession.createDataFrame(pd.DataFrame({"__l": levels} | {f"h{i}": gamma[a.offset[dim] : a.offset[dim] + len(levels), i] for i in range(m)}))
+                rows = rows.join(t, F.col(dim) == F.col("__l")).withColumns({f"e{i}": F.col(f"e{i}") + F.col(f"h{i}") for i in range(m)}).drop("__l", *[f"h{i}" for i in range(m)])
+            rows = Absorber(rows, p.dims[:1], p.weights).within(cut(rows), extra)
+            rows = cut(rows.withColumns({c: F.col(c) + F.col(e) for c, e in zip(names, extra, strict=True)}))
+    ux = np.zeros((k, m))
+    if k:
+        have = np.array(rows.agg(*[F.sum(w * F.col(f"q{j}") * F.col(c)) for j in range(k) for c in names]).first(), float).reshape(k, m) if p.dims else 0.0
+        ux = fit.parts["meats"].bread @ (rx - have)
+    out = rows.withColumns({f"p{i}": F.col(c) + sum((F.lit(float(ux[j, i])) * F.col(f"t{j}" if p.dims else f"q{j}") for j in range(k)), F.lit(0.0)) for i, c in enumerate(names)})
+    return NormalEquationsSolution(columns, ux, list(fit.names), cut(out.select("row_id", *[f"p{i}" for i in range(m)])))

@@ -20,99 +20,153 @@ def effective_sizes(data, group: str, weight: str | None = None) -> DataFrame:
     return df.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("arm")).agg(F.count("*").alias("n"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("ess"))
 
 
-def weighted_balance(data, treat: str, covariates: list[str], weight: str | None = None, scale: str = "pooled") -> DataFrame:
-    """covariate, mean_1, mean_0, var_1, var_0, smd, var_ratio, ecdf_mean, ecdf_max between rows with treat and those without.
+def weighted_balance(data, group: str, terms: list[str], weight: str | None = None, scale="pooled", ecdf: bool = True) -> DataFrame:
+    """term, mean1, mean0, var1, var0, smd, var_ratio, ecdf_mean, ecdf_max between rows with group and those without.
 
-    Weighted variances use (sum w - sum w^2 / sum w). smd divides by the root of the mean of both variances (pooled) or by an arm's
-    ("treated", "control"); a difference whose scale vanishes is not divided. The gaps between the weighted distribution functions are taken over
-    distinct values. Rows of null treat, covariate or weight are left out of that covariate.
+    Variances: sum w (x - m)^2 / sum w / (1 - sum w^2 / (sum w)^2), and m (1 - m) for a term of zeros and ones alone. smd divides by the root of the mean of
+    both variances (pooled), by a group's ("group1", "group0"), or by what a dict gives for the term; differences of rounding size stay as they are, and
+    those over no spread are infinite. The gaps between the weighted distribution functions are taken over distinct values; for zeros and
+    ones they are the difference of means. Rows of null group, term or weight are left out of that term.
     """
     df = source(data)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    long = df.select(F.col(treat).cast("boolean").alias("t"), w.alias("w"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in covariates])).alias("s")).select("t", "w", "s.*").dropna()
+    long = df.select(F.col(group).cast("boolean").alias("t"), w.alias("w"), F.explode(F.array(*[F.struct(F.lit(c).alias("term"), F.col(c).cast("double").alias("x")) for c in terms])).alias("s")).select("t", "w", "s.*").dropna()
     arm = lambda flag, c: F.sum(F.when(F.col("t") == flag, c))
     x, w = F.col("x"), F.col("w")
-    agg = long.groupBy("covariate").agg(*[e.alias(f"{n}{k}") for k, flag in ((1, True), (0, False)) for n, e in (("w", arm(flag, w)), ("q", arm(flag, w * w)), ("m", arm(flag, w * x)))])
-    means = agg.select("covariate", "w1", "w0", "q1", "q0", (F.col("m1") / F.col("w1")).alias("mean_1"), (F.col("m0") / F.col("w0")).alias("mean_0"))
-    dev = long.join(F.broadcast(means.select("covariate", "mean_1", "mean_0")), "covariate")  # a row for each covariate
-    d = F.when(F.col("t"), x - F.col("mean_1")).otherwise(x - F.col("mean_0"))
-    var = dev.groupBy("covariate").agg(arm(True, w * d * d).alias("s1"), arm(False, w * d * d).alias("s0"))
-    out = means.join(var, "covariate").withColumns({f"var_{k}": F.col(f"s{k}") / F.nullif(F.col(f"w{k}") - F.col(f"q{k}") / F.col(f"w{k}"), F.lit(0.0)) for k in (1, 0)})
-    size = {"pooled": F.sqrt((F.col("var_1") + F.col("var_0")) / 2), "treated": F.sqrt("var_1"), "control": F.sqrt("var_0")}[scale]
-    gap = F.col("mean_1") - F.col("mean_0")
-    out = out.withColumn("smd", F.when(size > math.sqrt(np.finfo(float).eps), gap / size).otherwise(gap))
-    out = out.withColumn("var_ratio", F.col("var_1") / F.nullif("var_0", F.lit(0.0)))
-    steps = long.join(F.broadcast(means.select("covariate", "w1", "w0")), "covariate").groupBy("covariate", "x").agg(F.sum(F.when(F.col("t"), w / F.col("w1")).otherwise(-w / F.col("w0"))).alias("step"))
-    run = F.abs(F.sum("step").over(Window.partitionBy("covariate").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    ecdf = steps.withColumn("g", run).groupBy("covariate").agg(F.avg("g").alias("ecdf_mean"), F.max("g").alias("ecdf_max"))
-    return out.join(ecdf, "covariate").select("covariate", "mean_1", "mean_0", "var_1", "var_0", "smd", "var_ratio", "ecdf_mean", "ecdf_max")
-
-
-def ipw_weight(treat: Column, prob: Column, estimand: str = "ATE", trim: float = 0.0) -> Column:
-    """Inverse-probability weight of a row; null beyond the trimming bounds of prob."""
-    t = treat.cast("boolean")
-    w = {"ATE": F.when(t, 1 / prob).otherwise(1 / (1 - prob)), "ATT": F.when(t, F.lit(1.0)).otherwise(prob / (1 - prob)), "ATC": F.when(t, (1 - prob) / prob).otherwise(F.lit(1.0))}[estimand]
-    return F.when((prob > trim) & (prob < 1 - trim), w)
-
-
-def ipw_weights(data, treat: str, prob: str, estimand: str = "ATE", trim: float = 0.0, name: str = "ipw", normalise: bool = True) -> DataFrame:
-    """Adds weights; normalised: to mean 1 within each arm. An arm's sums are joined to its rows, so that arms of any size are aggregated first."""
-    df = source(data).withColumn(name, ipw_weight(F.col(treat), F.col(prob), estimand, trim))
-    if not normalise:
-        return df
-    sums = df.groupBy(F.col(treat).alias("__t")).agg((F.count(name) / F.sum(name)).alias("__f"))
-    return df.join(F.broadcast(sums), F.col(treat) == F.col("__t"), "left").withColumn(name, F.col(name) * F.col("__f")).drop("__t", "__f")  # two rows
-
-
-def if_vcov(data, phi: list[str], clusters: list[str] | None = None, k: int | None = None) -> np.ndarray:
-    """Sum of outer products of influence columns, by rows or by clusters in any number of ways (inclusion and exclusion);
-    times G / (G - 1) for the least number of clusters and (n - 1) / (n - k) if k is given. Null influences are an error."""
+    sums = [e.alias(f"{n}{k}") for k, flag in ((1, True), (0, False)) for n, e in (("w", arm(flag, w)), ("q", arm(flag, w * w)), ("m", arm(flag, w * x)))]
+    agg = long.groupBy("term").agg(*sums, F.min(x.isin(0.0, 1.0)).alias("binary"))
+    means = agg.select("term", "binary", "w1", "w0", "q1", "q0", (F.col("m1") / F.col("w1")).alias("mean1"), (F.col("m0") / F.col("w0")).alias("mean0"))
+    dev = long.join(F.broadcast(means.select("term", "mean1", "mean0")), "term")  # a row for each term
+    d = F.when(F.col("t"), x - F.col("mean1")).otherwise(x - F.col("mean0"))
+    var = dev.groupBy("term").agg(arm(True, w * d * d).alias("s1"), arm(False, w * d * d).alias("s0"))
+    own = lambda k: F.when(F.col("binary"), F.col(f"mean{k}") * (1 - F.col(f"mean{k}"))).otherwise(F.try_divide(F.col(f"s{k}") / F.col(f"w{k}"), 1 - F.col(f"q{k}") / F.col(f"w{k}") ** 2))
+    out = means.join(var, "term").withColumns({f"var{k}": own(k) for k in (1, 0)})
+    if isinstance(scale, dict):
+        size = F.coalesce(*[F.when(F.col("term") == c, F.lit(float(v))) for c, v in scale.items()])
+    else:
+        size = {"pooled": F.sqrt((F.col("var1") + F.col("var0")) / 2), "group1": F.sqrt("var1"), "group0": F.sqrt("var0")}[scale]
+    gap = F.col("mean1") - F.col("mean0")
+    inf = F.lit(float("inf"))
+    smd = F.when(F.abs(gap) <= math.sqrt(np.finfo(float).eps), gap).when(size == 0, F.signum(gap) * inf).otherwise(gap / size)
+    ratio = F.when(F.col("binary"), None).when(F.col("var0") == 0, F.when(F.col("var1") > 0, inf)).otherwise(F.try_divide("var1", "var0"))
+    out = out.withColumns({"smd": smd, "var_ratio": ratio})
+    if ecdf:
+        steps = long.join(F.broadcast(means.select("term", "w1", "w0")), "term").groupBy("term", "x").agg(F.sum(F.when(F.col("t"), w / F.col("w1")).otherwise(-w / F.col("w0"))).alias("step"))
+        run = F.abs(F.sum("step").over(Window.partitionBy("term").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+        gaps = steps.withColumn("g", run).groupBy("term").agg(F.avg("g").alias("ga"), F.max("g").alias("gm"))
+        out = out.join(gaps, "term")
+    else:
+        out = out.withColumns({"ga": F.lit(float("nan")), "gm": F.lit(float("nan"))})
+    pick = lambda c: F.when(F.col("binary"), F.abs(gap)).otherwise(F.col(c))
+    return out.select("term", "mean1", "mean0", "var1", "var0", "smd", "var_ratio", pick("ga").alias("ecdf_mean"), pick("gm").alias("ecdf_max"))
+
+
+ESTIMANDS = ("att", "atc", "ate")
+
+
+def ipw_weight(treatment: Column, prob: Column, estimand: str = "att") -> Column:
+    """Inverse-probability weight of a row, not normalised."""
+    if estimand not in ESTIMANDS:
+        raise ValueError(f"estimand is one of {ESTIMANDS}")
+    t = treatment.cast("boolean")
+    return {"ate": F.when(t, 1 / prob).otherwise(1 / (1 - prob)), "att": F.when(t, F.lit(1.0)).otherwise(prob / (1 - prob)), "atc": F.when(t, (1 - prob) / prob).otherwise(F.lit(1.0))}[estimand]
+
+
+def bounds(trim) -> tuple[float, float]:
+    """None, a pair, or a number a for [a, 1 - a]."""
+    lo, hi = (0.0, 1.0) if trim is None else (float(trim), 1 - float(trim)) if np.isscalar(trim) else map(float, trim)
+    if not 0 <= lo < hi <= 1:
+        raise ValueError("trim gives 0 <= low < high <= 1")
+    return lo, hi
+
+
+def ipw_weights(data, treatment: str, score, estimand: str = "att", trim=None, normalize: bool = True, name: str = "weight") -> DataFrame:
+    """Adds weights to the rows within the trim bounds; score: a column of probabilities or a BinaryFirstStage. Normalised: an arm's weights add up to its rows.
+
+    An arm's sums are joined to its rows, so that arms of any size are aggregated first."""
     df = source(data)
-    bad = df.agg(*[F.sum(F.col(p).isNull().cast("int")).alias(p) for p in phi], F.count("*").alias("n")).first()
-    if any(bad[p] for p in phi):
-        raise ValueError("influence columns hold nulls")
-    n, small = bad["n"], 1.0
-    if k is not None:
-        small = (n - 1) / (n - k)
-    if not clusters:
-        return gram(df, phi, None)[0] * (small if k is not None else 1.0)
-    counts = [df.select(c).distinct().count() for c in clusters]
+    df = df.withColumn("__p", F.col(score).cast("double")) if isinstance(score, str) else score.prob(df).withColumnRenamed("prob", "__p")
+    lo, hi = bounds(trim)
+    df = df.filter(F.col("__p").between(lo, hi)) if trim is not None else df
+    df = df.withColumn(name, ipw_weight(F.col(treatment), F.col("__p"), estimand)).drop("__p")
+    if not normalize:
+        return df
+    sums = df.groupBy(F.col(treatment).cast("boolean").alias("__t")).agg((F.count(F.lit(1)) / F.sum(name)).alias("__f"))
+    return df.join(F.broadcast(sums), F.col(treatment).cast("boolean") == F.col("__t"), "left").withColumn(name, F.col(name) * F.col("__f")).drop("__t", "__f")  # two rows
+
+
+def cluster_names(cluster) -> list[str]:
+    """None, "a", "a+b" or a list."""
+    out = [] if cluster is None else [c.strip() for c in cluster.split("+")] if isinstance(cluster, str) else list(cluster)
+    if len(set(out)) < len(out) or not all(out):
+        raise ValueError(f"clusters are not understood: {cluster!r}")
+    return out
+
+
+def if_vcov(data, phi: list[str], cluster=None, df_k: int | None = None) -> np.ndarray:
+    """Sum of outer products of influence columns, by rows or by clusters in any number of ways (inclusion and exclusion),
+    times G / (G - 1) for the least number of clusters (rows, without any) and (n - 1) / (n - df_k) if given. Null influences and null clusters are an error."""
+    df, clusters = source(data), cluster_names(cluster)
+    row = df.agg(F.count("*").alias("n"), *[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in dict.fromkeys([*phi, *clusters])]).first()
+    if any(row[c] for c in [*phi, *clusters]):
+        raise ValueError("influence or cluster columns hold nulls")
+    n, g = row["n"], row["n"]
     out = np.zeros((len(phi), len(phi)))
+    if not clusters:
+        out = gram(df, phi, None)[0]
     for m in range(1, len(clusters) + 1):
         for by in itertools.combinations(clusters, m):
             s = df.groupBy(*by).agg(*[F.sum(p).alias(p) for p in phi])
             out += (-1) ** (m + 1) * gram(s, phi, None)[0]
-    return out * min(counts) / (min(counts) - 1) * small
+    if clusters:
+        g = min(df.agg(*[F.countDistinct(c) for c in clusters]).first())
+    small = 1.0 if df_k is None else (n - 1) / (n - df_k) if n > df_k else math.nan
+    return out * (g / (g - 1) if g > 1 else math.nan) * small
 
 
-def joint_if_vcov(tables: list, phis: list[list[str]], clusters: list[str]) -> np.ndarray:
-    """Covariance of estimates from different samples that share clusters: tables are stacked, with zero influence where a row is of another."""
-    out, names = None, [f"t{i}_{p}" for i, ps in enumerate(phis) for p in ps]
+def joint_if_vcov(tables: list, phis: list[list[str]], cluster, factors=None) -> np.ndarray:
+    """Covariance of estimates from different samples that share clusters: tables are stacked, with zero influence where a row is of another; entry (a, b)
+    is scaled by the root of the estimates' own small-sample factors (one, if not given)."""
+    out, names, clusters = None, [f"t{i}_{p}" for i, ps in enumerate(phis) for p in ps], cluster_names(cluster)
     for i, (t, ps) in enumerate(zip(tables, phis, strict=True)):
         own = source(t).select(*clusters, *[F.col(p).alias(f"t{i}_{p}") for p in ps])
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
-    return if_vcov(out.fillna(0.0, names), names, clusters)
+    out = out.fillna(0.0, names)
+    v = if_vcov(out, names, clusters)
+    g = min(out.agg(*[F.countDistinct(c) for c in clusters]).first()) if clusters else out.count()
+    f = np.sqrt(np.ones(len(names)) if factors is None else np.asarray(factors, float))
+    return v * (g - 1) / g * np.outer(f, f)
 
 
-def group_mean_phis(data, y: str, group: str, weight: str | None = None, name: str = "phi") -> DataFrame:
-    """Adds name_1 and name_0: each row's influence on its arm's weighted mean of y."""
-    df = source(data)
-    w = F.col(weight) if weight else F.lit(1.0)
+def _arms(df: DataFrame, y: Column, group: str, w: Column) -> tuple[float, float, float, float]:
     g = F.col(group).cast("boolean")
-    s = df.agg(*[F.sum(F.when(g == f, c)) for f in (True, False) for c in (w, w * F.col(y))]).first()
-    part = lambda f, sw, sy: F.when(g == f, w * (F.col(y) - sy / sw) / sw).otherwise(0.0)
-    return df.withColumns({f"{name}_1": part(True, s[0], s[1]), f"{name}_0": part(False, s[2], s[3])})
+    s = df.agg(*[F.sum(F.when(g == f, c)) for f in (True, False) for c in (w, w * y)], F.sum((w.isNull() | y.isNull() | g.isNull()).cast("int"))).first()
+    if s[4]:
+        raise ValueError(f"{s[4]} rows have a missing value")
+    if not (s[0] and s[2] and s[0] > 0 and s[2] > 0):
+        raise ValueError("both groups need a positive total weight")
+    return s[0], s[1] / s[0], s[2], s[3] / s[2]
 
 
-def weighted_mean_difference(data, y: str, group: str, weight: str | None = None, clusters: list[str] | None = None) -> dict:
-    """Difference of weighted means of the arms and its influence-function standard error."""
-    df = source(data).filter(F.col(y).isNotNull() & F.col(group).isNotNull())
-    w = F.col(weight) if weight else F.lit(1.0)
-    g = F.col(group).cast("boolean")
-    m = df.agg(*[F.sum(F.when(g == f, w * F.col(y))) / F.sum(F.when(g == f, w)) for f in (True, False)]).first()
-    rows = group_mean_phis(df, y, group, weight).withColumn("phi", F.col("phi_1") - F.col("phi_0"))
-    v = if_vcov(rows, ["phi"], clusters)[0, 0]
-    return {"estimate": m[0] - m[1], "mean_1": m[0], "mean_0": m[1], "std_error": math.sqrt(v)}
+def group_mean_phis(data, y: str, group: str, weight: str | None = None) -> DataFrame:
+    """Adds phi1 and phi0: each row's influence on its arm's weighted mean of y."""
+    df = source(data)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    g, v = F.col(group).cast("boolean"), F.col(y).cast("double")
+    w1, m1, w0, m0 = _arms(df, v, group, w)
+    return df.withColumns({"phi1": F.when(g, w * (v - m1) / w1).otherwise(0.0), "phi0": F.when(~g, w * (v - m0) / w0).otherwise(0.0)})
+
+
+def weighted_mean_difference(data, y: str, group: str, weight: str | None = None, cluster=None, df_k: int | None = 2, allow_negative: bool = False) -> dict:
+    """Difference of weighted means of the arms and its influence-function standard error: with df_k=2 that of a weighted regression on the group."""
+    df = source(data)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    if not allow_negative and df.filter(w < 0).limit(1).count():
+        raise ValueError("negative weights")
+    w1, m1, w0, m0 = _arms(df, F.col(y).cast("double"), group, w)
+    rows = group_mean_phis(df, y, group, weight).withColumn("phi", F.col("phi1") - F.col("phi0"))
+    v = if_vcov(rows, ["phi"], cluster, df_k)[0, 0]
+    return {"estimate": m1 - m0, "mean1": m1, "mean0": m0, "weight1": w1, "weight0": w0, "std_error": math.sqrt(v)}
 
 
 class BinaryFirstStage:
@@ -124,7 +178,7 @@ class BinaryFirstStage:
         self.fit, self.names = fit, fit.names
 
     def prob(self, data=None) -> DataFrame:
-        return self.fit.predict(data, "response").withColumnRenamed("prediction", "prob")
+        return self.fit.predict(data, "response", "prob")
 
     def _terms(self) -> dict[str, Column]:
         return {n: self.fit.parts["design"].x[n].cast("double") for n in self.names}
@@ -162,20 +216,24 @@ class BinaryFirstStage:
         return df.withColumn(phi, F.col(phi) + sum((F.lit(float(v)) * F.col(f"s{i}") for i, v in enumerate(c)), F.lit(0.0)))
 
 
-def ipw_mean_difference(data, y: str, first: BinaryFirstStage, estimand: str = "ATE", trim: float = 0.0, clusters: list[str] | None = None) -> dict:
-    """Difference of Hajek means under inverse-probability weights, with a standard error that counts the estimation of the probabilities."""
-    treat = first.fit.outcome
+def ipw_mean_difference(data, y: str, treatment: str, first: BinaryFirstStage, estimand: str = "att", cluster=None, trim=None, correct: bool = True, df_k: int | None = None) -> dict:
+    """Difference of Hajek means under inverse-probability weights. Its standard error counts the estimation of the probabilities, unless correct=False;
+    trimmed rows weigh nothing, but their scores count, as the first stage was fitted on them."""
+    if first.fit.outcome != treatment:
+        raise ValueError("the first stage is of another treatment")
+    lo, hi = bounds(trim)
     df = first.scores(source(data))
-    t = F.col(treat).cast("boolean")
-    df = df.withColumn("w", ipw_weight(F.col(treat), F.col("prob"), estimand, trim)).filter(F.col("w").isNotNull() & F.col(y).isNotNull())
-    s = df.agg(*[F.sum(F.when(t == f, c)) for f in (True, False) for c in (F.col("w"), F.col("w") * F.col(y))]).first()
-    m1, m0 = s[1] / s[0], s[3] / s[2]
-    share = lambda f, sw, m: F.when(t == f, (F.col(y) - m) / sw).otherwise(0.0)
-    p, dp = F.col("prob"), first.slope()
-    dw = {"ATE": F.when(t, -1 / (p * p)).otherwise(1 / ((1 - p) * (1 - p))), "ATT": F.when(t, F.lit(0.0)).otherwise(1 / ((1 - p) * (1 - p))), "ATC": F.when(t, -1 / (p * p)).otherwise(F.lit(0.0))}[estimand]
-    own = share(True, s[0], m1) - share(False, s[2], m0)
-    terms = list(first._terms().values())
-    jac = np.array(df.agg(*[F.sum(own * dw * dp * c) for c in terms]).first(), float)
-    rows = first.corrected(df.withColumn("phi", F.col("w") * own), "phi", jac)
-    v = if_vcov(rows, ["phi"], clusters)[0, 0]
-    return {"estimate": m1 - m0, "mean_1": m1, "mean_0": m0, "std_error": math.sqrt(v), "n": rows.count()}
+    t, p, v = F.col(treatment).cast("boolean"), F.col("prob"), F.col(y).cast("double")
+    kept = p.between(lo, hi) if trim is not None else F.lit(True)
+    df = df.withColumn("__w", F.when(kept, ipw_weight(F.col(treatment), p, estimand)).otherwise(0.0))
+    if not correct:
+        df = df.filter(kept)
+    w1, m1, w0, m0 = _arms(df.filter(kept), v, treatment, F.col("__w"))
+    own = F.when(~kept, 0.0).when(t, (v - m1) / w1).otherwise(-(v - m0) / w0)
+    rows = df.withColumn("phi", F.col("__w") * own)
+    if correct:
+        dw = {"ate": F.when(t, -1 / (p * p)).otherwise(1 / ((1 - p) * (1 - p))), "att": F.when(t, F.lit(0.0)).otherwise(1 / ((1 - p) * (1 - p))), "atc": F.when(t, -1 / (p * p)).otherwise(F.lit(0.0))}[estimand]
+        jac = np.array(df.agg(*[F.sum(own * dw * first.slope() * c) for c in first._terms().values()]).first(), float)
+        rows = first.corrected(rows, "phi", jac)
+    var = if_vcov(rows, ["phi"], cluster, df_k)[0, 0]
+    return {"estimate": m1 - m0, "mean1": m1, "mean0": m0, "std_error": math.sqrt(var), "n": df.filter(kept).count()}

@@ -39,31 +39,38 @@ def drop_singletons(cells: DataFrame, dims: list[str]) -> DataFrame:
     return cells
 
 
-def separated(rows: DataFrame, dims: list[str], y: str, family: str) -> DataFrame:
-    """Rows without levels that fit perfectly: all zero (Poisson, one sweep), all alike (binary, until none is left)."""
+def separated(rows: DataFrame, dims: list[str], y: str, family: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows without levels that fit perfectly: all zero (Poisson, one sweep), all alike (binary, until none is left); and the cells that went."""
+    gone = None
     while True:
         changed = False
         for d in dims:
             flat = F.col("hi") == 0 if family == "poisson" else F.col("lo") == F.col("hi")
             bad = cut(rows.groupBy(d).agg(F.min(y).alias("lo"), F.max(y).alias("hi")).filter(flat).select(d))
             if bad.limit(1).count():
+                part = rows.join(bad, d, "left_semi").select(*dims, F.lit("separation").alias("gone")).distinct()
+                gone = part if gone is None else gone.union(part)
                 rows, changed = cut(rows.join(bad, d, "left_anti")), True
         if family == "poisson" or not changed:
-            return rows
+            return rows, gone
 
 
-def restrict(rows: DataFrame, dims: list[str], connected: str | None = None, connected_fe: tuple[int, int] = (0, 1), min_degree: tuple[int, int] | None = None, fixef_rm: str = "singleton") -> tuple[DataFrame, dict[str, int]]:
-    """The rows that stay, and how many went for each reason. Works on cells of levels, not on rows; rows follow by a semi-join."""
+def restrict(rows: DataFrame, dims: list[str], connected: str | None = None, connected_fe: tuple[int, int] = (0, 1), min_degree: tuple[int, int] | None = None, fixef_rm: str = "singleton") -> tuple[DataFrame, dict[str, int], DataFrame | None]:
+    """The rows that stay, how many went for each reason, and the cells that went (dims, gone). Works on cells of levels, not on rows; rows follow by a semi-join."""
     if not dims:
-        return rows, {}
+        return rows, {}, None
     cells = cut(rows.groupBy(*dims).agg(F.count("*").alias("n")))
     size = lambda c: c.agg(F.sum("n")).first()[0] or 0
-    lost, now = {}, size(cells)
+    lost, now, gone, before = {}, size(cells), None, cells
     whole = now
 
     def note(reason: str) -> None:
-        nonlocal now
+        nonlocal now, gone, before
         lost[reason], now = now - (new := size(cells)), new
+        if lost[reason]:
+            part = before.join(cells, dims, "left_anti").select(*dims, F.lit(reason).alias("gone"))
+            gone = part if gone is None else gone.union(part)
+        before = cells
 
     if len(dims) > 1 and (connected or min_degree):
         a, b = (dims[i] for i in connected_fe)
@@ -72,13 +79,13 @@ def restrict(rows: DataFrame, dims: list[str], connected: str | None = None, con
         if min_degree and max(min_degree) > 1:
             cells = keep(graph.peel(cut(pair()), tuple(min_degree)))
             note("min_degree")
-        if connected:
-            cells = keep(graph.largest_component(cut(pair())))
-            note("disconnected")
         if connected == "leave_one_out":
-            cells = keep(graph.leave_one_out(cut(pair())))
+            cells = keep(graph.leave_one_out_pairs(cut(pair())))
             note("leave_one_out")
+        elif connected:
+            cells = keep(graph.largest_component(cut(pair())))
+            note("disconnected")
     if fixef_rm == "singleton":
         cells = drop_singletons(cells, dims)
         note("singleton")
-    return (rows if now == whole else semi(rows, cells, dims)), lost
+    return (rows if now == whole else semi(rows, cells, dims)), lost, gone

@@ -50,7 +50,7 @@ def test_offset_no_effects_and_prediction(spark, panel):
     fit = fepois("yp ~ x", spark.createDataFrame(d), offset="x2 * 0.1")
     b, _ = newton(np.column_stack([np.ones(len(d)), d.x]), d.yp.to_numpy(float), "poisson", off=0.1 * d.x2.to_numpy())
     assert np.allclose(fit.beta, b, atol=1e-6)
-    p = fit.predict(kind="response").toPandas()
+    p = fit.predict(type="response").toPandas()
     assert np.allclose(np.sort(p.prediction), np.sort(fit.resid().toPandas().fitted), atol=1e-6)
 
 

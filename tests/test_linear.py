@@ -93,7 +93,7 @@ def test_two_stage(spark, panel):
 def test_many_models_and_table(spark, panel):
     fits = feols("y + e ~ csw(x, x2) | sw0(w, w + f)", spark.createDataFrame(panel))
     assert isinstance(fits, MultiFit) and len(fits) == 12
-    assert "(12) e" in etable(fits) and etable(fits, "md").startswith("|")
+    assert "(12) e" in etable(fits) and fits.tidy().columns[0] == "fml" and etable(fits, "md").startswith("|")
     assert fits.fetch_model(0).summary_json()
 
 
@@ -110,9 +110,9 @@ def test_predict_fixef_sample(spark, panel):
     fit = feols("y ~ x + x2 | w + f", df)
     p = fit.predict().toPandas().dropna(subset=["prediction"])
     r = fit.resid().toPandas()
-    assert np.allclose(np.sort(p.prediction), np.sort(r.fitted), atol=1e-7)
+    assert np.allclose(np.sort(p.prediction), np.sort(r.y - r.resid), atol=1e-7)
     s = fit.sample().toPandas()
-    assert len(s) == len(panel) and s.in_sample.sum() == fit.n_obs and set(s.reason.dropna()) == {"missing", "singleton"}
+    assert len(s) == len(panel) and s.in_sample.sum() == fit.n_obs and set(s.dropped_because.dropna()) == {"missing", "singleton"}
     assert abs((r["fe_f"]).mean()) < 1e-8
 
 

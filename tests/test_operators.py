@@ -23,9 +23,10 @@ def test_distributions():
 def test_components(spark):
     rows = [(1, "A"), (1, "B"), (2, "B"), (3, "C"), (4, "C"), (4, "C"), (5, None), (6, "D")]
     c = connected_components(spark.createDataFrame(rows, "w long, f string"), ("w", "f"))
-    assert [(r["component"], r["n"]) for r in c.sizes().orderBy("rank").collect()] == [(1, 3), (3, 3), (6, 1)]
+    assert [(r["component"], r["rows"], r["w"], r["f"]) for r in c.sizes().orderBy("component").collect()] == [(0, 3, 2, 2), (1, 3, 2, 1), (2, 1, 1, 1)]
     assert c.largest().count() == 3 and c.label().filter("component is null").count() == 1
-    assert c.summary()["components"] == 3
+    assert c.n_components == 3 and "next largest: 3 rows" in c.summary()
+    assert {(r["f"], r["component"]) for r in c.levels("f").collect()} == {("A", 0), ("B", 0), ("C", 1), ("D", 2)}
     assert connected_components(spark.createDataFrame(rows, "w long, f string"), ("w", "f"), min_degree=(2, 1)).pairs.count() == 2
 
 
@@ -34,7 +35,7 @@ def test_cut_vertices_and_leave_one_out(spark):
     a, b = np.array([0, 0, 1, 1, 2, 2]), np.array([0, 1, 0, 1, 1, 2])
     assert cut_vertices(a, b, 3, 3)[:3].tolist() == [False, False, True]
     df = spark.createDataFrame([(int(x), int(y)) for x, y in zip(a, b)] + [(9, 0), (8, 1), (8, 1)], "w long, f long")
-    kept = connected_components(df, ("w", "f"), leave_one_out_set=True).pairs.select("a").distinct().toPandas().a
+    kept = connected_components(df, ("w", "f"), leave_one_out=True).pairs.select("a").distinct().toPandas().a
     assert sorted(kept) == [0, 1, 8]
 
 
@@ -59,7 +60,7 @@ def test_balance(spark):
 
 def test_influence(spark, panel):
     d = panel.dropna().assign(g=lambda d: d.x > 0)
-    r = treatment.weighted_mean_difference(spark.createDataFrame(d), "y", "g", "wt", ["cl"])
+    r = treatment.weighted_mean_difference(spark.createDataFrame(d), "y", "g", "wt", ["cl"], df_k=None)
     w1, w0 = d.wt[d.g], d.wt[~d.g]
     m1, m0 = np.average(d.y[d.g], weights=w1), np.average(d.y[~d.g], weights=w0)
     phi = np.where(d.g, d.wt * (d.y - m1) / w1.sum(), -d.wt * (d.y - m0) / w0.sum())
@@ -71,7 +72,7 @@ def test_ipw(spark, panel):
     d = panel.dropna().assign(t=lambda d: (d.yb > 0).astype(int))
     df = spark.createDataFrame(d)
     first = treatment.BinaryFirstStage(feglm("t ~ x + x2", df, "logit"))
-    r = treatment.ipw_mean_difference(df, "y", first, "ATT")
+    r = treatment.ipw_mean_difference(df, "y", "t", first, "att")
     p = first.prob().toPandas().prob.to_numpy()
     w = np.where(d.t == 1, 1, p / (1 - p))
     t = d.t.to_numpy() == 1
@@ -83,9 +84,9 @@ def test_wild_bootstrap_and_tests(spark, panel):
     df = spark.createDataFrame(panel)
     fits = feols("y + e ~ x + x2 | w", df, vcov={"CRV1": "w"})
     r = fits.fetch_model(0).wildboottest("x", reps=199)
-    assert r["p_value"] < 0.05 and r["statistic"] == pytest.approx(float(fits.fetch_model(0).tidy().statistic[0]))
-    assert multcomp.holm(fits, "x2").adjusted.ge(multcomp.holm(fits, "x2").p_value - 1e-15).all()
-    assert multcomp.rwolf(fits, "x", 99).adjusted.between(0, 1).all() and multcomp.bonferroni(fits, "x").adjusted.le(1).all()
+    assert r["p_value"] < 0.05 and r["t"] == pytest.approx(float(fits.fetch_model(0).tidy()["t value"][0]))
+    assert (multcomp.holm(fits, "x2")["Holm Pr(>|t|)"] >= multcomp.holm(fits, "x2")["Pr(>|t|)"] - 1e-15).all()
+    assert multcomp.rwolf(fits, "x", 99, 1)["RW Pr(>|t|)"].between(0, 1).all() and multcomp.wyoung(fits, "x", 99, 1)["WY Pr(>|t|)"].between(0, 1).all() and multcomp.bonferroni(fits, "x")["Bonferroni Pr(>|t|)"].le(1).all()
 
 
 def test_resample(spark, panel):
@@ -94,23 +95,29 @@ def test_resample(spark, panel):
     assert one.select("unit_id").distinct().count() >= one.select("w").distinct().count()
     assert one.count() == resample_groups(df, "w", 3, cluster="cl").count()
     r = refit_bootstrap(df, lambda d: d.agg({"x2": "avg"}).toPandas().iloc[0].rename({"avg(x2)": "m"}), "w", 5)
-    assert len(r.draws) == 5 and r.confint().shape == (1, 2)
+    assert len(r.draws()) == 5 and list(r.confint().columns) == ["Coefficient", "Estimate", "Lower", "Upper"] and r.failures().empty
 
 
-def test_normal_equations(spark, panel):
-    fit = feols("y ~ x | w + f", spark.createDataFrame(panel))
-    rows = fit.parts["panel"].rows.selectExpr("row_id", "v0 * 2 as twice")
-    s = fit.solve_normal_equations(rows, ["twice"])
-    assert s.coef().loc["x", "twice"] == pytest.approx(2 * fit.beta[0], abs=1e-8)
+@pytest.mark.parametrize("w", [None, "wt"])
+def test_normal_equations(spark, panel, w):
+    fit = feols("y ~ x | w + f", spark.createDataFrame(panel), weights=w)
+    used = fit.sample().filter("in_sample").toPandas()
+    new = used.sample(40, random_state=1).assign(v=lambda d: np.arange(40) - 10.0)
+    s = fit.solve_normal_equations(spark.createDataFrame(new), ["v"])
+    z = lambda d: np.column_stack([d.x, *[d.w == k for k in sorted(used.w.unique())], *[d.f == k for k in sorted(used.f.unique())]]).astype(float)
+    zu, wt = z(used), used[w].to_numpy() if w else np.ones(len(used))
+    u = np.linalg.pinv(zu.T @ (wt[:, None] * zu)) @ (z(new).T @ new.v.to_numpy())
+    assert s.coef().loc["x", "v"] == pytest.approx(u[0], abs=1e-9)
+    assert np.allclose(s.predict().toPandas().set_index("row_id").v.loc[used.row_id], zu @ u, atol=1e-8)
 
 
 def test_leave_out_components(spark):
     rng = np.random.default_rng(5)
-    n = 300
-    d = pd.DataFrame({"w": np.repeat(np.arange(60), 5), "f": rng.integers(0, 8, n)})
-    d["y"] = rng.normal(size=60)[d.w] + rng.normal(size=8)[d.f] + 0.5 * rng.normal(size=n)
-    k = leave_out_kss("y ~ 1 | w + f", spark.createDataFrame(d), psi="f", n_draws=100, leave_out="observation")
+    n = 120
+    d = pd.DataFrame({"w": np.repeat(np.arange(30), 4), "f": rng.integers(0, 5, n)})
+    d["y"] = rng.normal(size=30)[d.w] + rng.normal(size=5)[d.f] + 0.5 * rng.normal(size=n)
+    k = leave_out_kss("y ~ 1 | w + f", spark.createDataFrame(d), psi="f", n_draws=24, block=12, leave_out="observation")
     x = exact_components(d.y.to_numpy(), d.w.to_numpy(), d.f.to_numpy())
     for c in ("var_psi", "var_alpha", "cov"):
         assert k.plug_in[c] == pytest.approx(x["plug_in"][c], abs=1e-7)
-        assert k.bias[c] == pytest.approx(x["bias"][c], abs=0.35 * max(abs(v) for v in x["bias"].values()))
+        assert k.bias[c] == pytest.approx(x["bias"][c], abs=0.7 * max(abs(v) for v in x["bias"].values()))
