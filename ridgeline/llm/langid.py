@@ -166,8 +166,9 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language can be told: those that are not `und`."""
     network = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
-    renamed = docs.select(*docs.columns, F.col(text_col).alias("__text"))
-    return identify(renamed, network, docs.columns, "__text").filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those that identify() adds
+    judged = identify(docs.toDF(*inner), network, inner, inner[docs.columns.index(text_col)])
+    return judged.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
