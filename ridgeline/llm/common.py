@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,9 +31,25 @@ def shared(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the shared folder, without their lineage."""
-    shared(df.sparkSession)
-    return df.checkpoint()
+    """The rows of df, written as a table to the shared folder and read again: without lineage, compressed, of known size.
+
+    Executors may come and go: what was written stays. discard() deletes it."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that cut() made and that nothing reads any more; others are left alone."""
+    for t in tables:
+        path = getattr(t, "_cut_at", None)
+        if path:
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -59,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words (bytes), kept for words seen before; bounded, as it is emptied when full."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 

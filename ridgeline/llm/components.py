@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import cut
+from ridgeline.llm.common import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,7 +21,20 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         step = cut(step.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
-        changed = step.filter("label <> old").limit(1).count()
+        discard(labels)
         labels = step.select("node", "label")
-        if not changed:
+        labels._cut_at = step._cut_at
+        if not step.filter("label <> old").limit(1).count():
+            discard(both)
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) with the components joined that further links (a, b) tie together; nodes without a label stand for themselves."""
+    name = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}l"))
+    edges = cut(links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b")).filter("a <> b"))
+    over = components(edges)
+    nodes = labels.union(over.select("node", "node")).toDF("node", "label").groupBy("node").agg(F.min("label").alias("label"))
+    out = cut(nodes.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+    discard(edges)
+    return out

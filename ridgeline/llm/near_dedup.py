@@ -6,15 +6,20 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import U, WordHash, cut, kept, mix, release, shingles, table, utf8
-from ridgeline.llm.components import components
+from ridgeline.llm.common import U, WordHash, cut, discard, kept, mix, release, shingles, table, utf8
+from ridgeline.llm.components import components, merged
 
-COORDINATES, MATCHES, THRESHOLD, WORDS = 48, 25, 80, 2
-PREFIX = COORDINATES - MATCHES + 1
-STARS = 2  # rounds after the first
-#: Of 32 four-bit values of a signature's digest, those that must agree: of two documents, and of a document and a hub that it is compared to.
-NIBBLES, NEAR_HUB = 12, 11
-BITS = [f"c{i}" for i in range(8)]
+#: A signature has 24 coordinates, each the value of two of 48 minima.
+COORDINATES, MINIMA, THRESHOLD, WORDS = 24, 48, 80, 2
+STARS, PIVOTS = 2, 64  # rounds of pivots, and pivots of a star
+NEAR_HUB = 24  # four-bit values of a digest in which a document agrees with a list's smallest id that it is compared to
+HEAVY = 4096  # comparisons from which a list's members are first compared to the smallest id of its largest component
+DIGEST = ["m1", "m2", "m3"]
+
+
+def needed(n: int, p: float) -> int:
+    """Of n trials that succeed with probability p, a number that all but some 3 in 10 million runs reach."""
+    return max(1, int(np.floor(n * p - 5 * np.sqrt(n * p * (1 - p)))))
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,13 +50,13 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """id, n (set size), set_a, set_b (128-bit hash of the set), sig (a value for each coordinate), m1, m2 (4 bits of 32 coordinates)."""
+    """id, n (set size), set_a, set_b (128-bit hash of the set), posts (coordinate and value in one number each), m1, m2, m3 (4 bits of each minimum)."""
 
     def run(batches):
         import pyarrow as pa
 
         words = kept("words", WordHash)
-        a, b = permutations(COORDINATES)
+        a, b = permutations(MINIMA)
         shift = np.arange(16, dtype=U) * U(4)
         for batch in batches:
             n, h, keys, minis = [], [], [], []
@@ -59,20 +64,21 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 sig = signature(s, a, b)
                 n.append(len(s))
                 h.append((int(np.bitwise_xor.reduce(mix(s + U(1)), initial=0)), int(np.add.reduce(mix(s + U(2)), dtype=U))))
-                keys.append(sig.view(np.int32))
-                nib = (mix(sig.astype(U)) & U(15))[:32]
-                minis.append((int(np.bitwise_or.reduce(nib[:16] << shift)), int(np.bitwise_or.reduce(nib[16:] << shift))))
+                two = mix((sig[::2].astype(U) << U(32)) | sig[1::2].astype(U))
+                keys.append(((two & ~U(31)) | np.arange(COORDINATES, dtype=U)).view(np.int64))
+                nib = mix(sig.astype(U)) & U(15)
+                minis.append([int(np.bitwise_or.reduce(nib[i : i + 16] << shift)) for i in (0, 16, 32)])
             long = lambda v: pa.array(np.array(v, U).view(np.int64))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), long([x for x, _ in h]), long([x for _, x in h]), flat, long([x for x, _ in minis]), long([x for _, x in minis])], names=["id", "n", "set_a", "set_b", "sig", "m1", "m2"])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), long([x for x, _ in h]), long([x for _, x in h]), flat, *(long([x[i] for x in minis]) for i in range(3))], names=["id", "n", "set_a", "set_b", "posts", *DIGEST])
 
-    return docs.mapInArrow(run, "id long, n long, set_a long, set_b long, sig array<int>, m1 long, m2 long")
+    return docs.mapInArrow(run, "id long, n long, set_a long, set_b long, posts array<long>, m1 long, m2 long, m3 long")
 
 
 def agree(x: str, y: str) -> Column:
-    """How many of the 32 four-bit values of two signatures agree."""
-    out = F.lit(32)
-    for m in ("m1", "m2"):
+    """How many of the four-bit values of two signatures agree."""
+    out = F.lit(MINIMA)
+    for m in DIGEST:
         d = F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))
         d = d.bitwiseOR(F.shiftright(d, 1))
         d = d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
@@ -80,74 +86,121 @@ def agree(x: str, y: str) -> Column:
     return out
 
 
-def alike(x: str, y: str, percent: int, nibbles: int = NIBBLES) -> Column:
+def alike(x: str, y: str, percent: int, nibbles: int) -> Column:
     """Sizes allow the similarity, and signature digests agree well enough."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     return (small * 100 >= large * percent) & (agree(x, y) >= nibbles)
 
 
-def compared(pairs: DataFrame, content: DataFrame) -> DataFrame:
-    """For pairs (a, b): sizes na, nb, both (the intersection) and what b has beyond a, hashed into 512 bits c0..c7."""
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """512 bits, of which each value sets one."""
+    out, v = np.zeros(8, U), values & U(511)
+    np.bitwise_or.at(out, (v >> U(6)).astype(np.int64), U(1) << (v & U(63)))
+    return out
+
+
+def compared(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """For pairs (a, b), on full sets: na, nb, both (the intersection), more and less: what b has beyond a, and a beyond b, as bitmaps; pm and pl: their bits."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = cut(rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    release(pairs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            out, bits = [], np.zeros((batch.num_rows, 8), U)
-            for r, (x, y) in enumerate(zip(batch["s"].to_pylist(), batch["t"].to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                common = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
-                own = y[~common] & U(511)
-                np.bitwise_or.at(bits[r], (own >> U(6)).astype(np.int64), U(1) << (own & U(63)))
-                out.append((len(x), len(y), int(common.sum())))
-            n = np.array(out, np.int64).reshape(-1, 3)
-            columns = [batch["a"], batch["b"], *(pa.array(n[:, j]) for j in range(3)), *(pa.array(bits[:, j].view(np.int64)) for j in range(8))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    names = ["a", "b", "na", "nb", "both", *BITS]
-    joined = pairs.join(content.select(F.col("id").alias("a"), F.col("content").alias("s")), "a").join(content.select(F.col("id").alias("b"), F.col("content").alias("t")), "b")
-    return joined.select("a", "b", "s", "t").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def within_reach(x: str, y: str, percent: int) -> Column:
-    """Whether x and y of a list can be alike, by what is known of either against the list's hub; true where that is unknown.
-
-    Their intersection is at most the smaller of both intersections with the hub, and what they share beyond it. Each bit that x sets and
-    y doesn't stands for an element of x beyond the hub that y has not; so what they share beyond the hub is at most x's number of such
-    elements less those bits, and likewise for y. The bound loses no pair.
+        held = kept("words", WordHash)
+        last, x = None, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                out, more, less = [], [], []
+                for a, s, t in zip(batch["a"].to_pylist(), utf8(batch["s"]), utf8(batch["t"]), strict=True):
+                    if a != last:  # rows of one a follow each other
+                        last, x = a, sets([s], words, held)[0]
+                    y = sets([t], words, held)[0]
+                    common = x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+                    gone = np.ones(len(x), bool)
+                    gone[np.searchsorted(x, y[common])] = False
+                    out.append((len(x), len(y), int(common.sum())))
+                    more.append(bitmap(y[~common]))
+                    less.append(bitmap(x[gone]))
+                n = np.array(out, np.int64).reshape(-1, 3)
+                bits = [pa.array([int(np.bitwise_count(x).sum()) for x in v], pa.int64()) for v in (more, less)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * 8, pa.int32()), pa.array(np.concatenate(v).view(np.int64))) for v in (more, less)]
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(n[:, j]) for j in range(3)), *lists, *bits], names=["a", "b", "na", "nb", "both", "more", "less", "pm", "pl"])
+
+    joined = pairs.join(texts.toDF("b", "t"), "b").join(texts.toDF("a", "s"), "a").select("a", "b", "s", "t")
+    out = cut(joined.mapInArrow(run, "a long, b long, na long, nb long, both long, more array<long>, less array<long>, pm long, pl long"))
+    discard(texts)
+    release(pairs.sparkSession)
+    return out
+
+
+STAR = ["ref", "n", "nh", "both", "more", "less", "pm", "pl"]  # what is known of a document against a centre ref of nh elements
+
+
+def stars_of(near: DataFrame) -> DataFrame:
+    """id and STAR of the members of compared pairs, centres too; each in one star."""
+    none = F.array(*[F.lit(0).cast("long")] * 8)
+    zero = F.lit(0).cast("long")
+    away = near.select(F.col("b").alias("id"), F.col("a").alias("ref"), F.col("nb").alias("n"), F.col("na").alias("nh"), "both", "more", "less", "pm", "pl")
+    centre = near.select(F.col("a").alias("id"), F.col("a").alias("ref"), F.col("na").alias("n"), F.col("na").alias("nh"), F.col("na").alias("both"), none.alias("more"), none.alias("less"), zero.alias("pm"), zero.alias("pl"))
+    return cut(away.union(centre).groupBy("id").agg(F.min(F.struct(*STAR)).alias("r")).select("id", "r.*"))
+
+
+def most_shared(x: str, y: str) -> Column:
+    """The most that two members of a star (rows with the same ref) can share, by what is known of each against its centre.
+
+    Each bit that x's bitmap of missing elements sets and y's doesn't stands for an element of the centre that x has not and y has: so they share at most
+    what the centre holds less what y misses and those bits. Likewise of what they have beyond the centre. The bound loses no pair.
     """
-    beyond = lambda p, q: F.col(f"{p}.n") - F.col(f"{p}.both") - sum((F.bit_count(F.col(f"{p}.{c}").bitwiseAND(F.bitwise_not(f"{q}.{c}"))) for c in BITS), F.lit(0))
-    most = F.least(f"{x}.both", f"{y}.both") + F.least(beyond(x, y), beyond(y, x))
-    return F.coalesce((100 + percent) * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n")), F.lit(True))
+    c = lambda p, name: F.col(f"{p}.{name}")
+    bits = lambda name: sum((F.bit_count(F.get(c(x, name), F.lit(i)).bitwiseAND(F.get(c(y, name), F.lit(i)))) for i in range(8)), F.lit(0))
+    within = c(x, "nh") + bits("less") - F.greatest(c(y, "nh") - c(y, "both") + c(x, "pl"), c(x, "nh") - c(x, "both") + c(y, "pl"))
+    return within + bits("more") + F.least(c(x, "n") - c(x, "both") - c(x, "pm"), c(y, "n") - c(y, "both") - c(y, "pm"))
 
 
-def listed(reps: DataFrame, prefix: int) -> DataFrame:
-    """(key, id, n, m1, m2): postings of the prefix of each document, in lists of two or more.
+def may_link(x: str, y: str, percent: int) -> Column:
+    """False where both are known against the same centre and can't share enough."""
+    fits = (100 + percent) * most_shared(x, y) >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n"))
+    return F.coalesce(F.when(F.col(f"{x}.ref") == F.col(f"{y}.ref"), fits), F.lit(True))
 
-    Postings that no other document has order first and lead nowhere: of m others, m - (48 - prefix) are left in the prefix.
+
+def prefixes(reps: DataFrame, prefix: int) -> DataFrame:
+    """id, n, m1, m2, m3, keys: each document's postings of its prefix, those that another document has, too.
+
+    Postings that no other document has order first and lead nowhere: of m others, m - (24 - prefix) are left in the prefix.
     """
-    posts = reps.select("id", F.posexplode("sig").alias("c", "v")).select("id", F.shiftleft(F.col("v").cast("long"), 8).bitwiseOR(F.col("c")).alias("key"))
+    posts = reps.select("id", F.explode("posts").alias("key"))
     often = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     own = posts.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("l"))
-    own = own.withColumn("left", F.size("l") - (COORDINATES - prefix)).filter("left > 0").select("id", F.explode(F.slice("l", F.lit(1), F.col("left"))["key"]).alias("key"))
-    lists = cut(own.join(reps.select("id", "n", "m1", "m2"), "id"))
-    return cut(lists.join(lists.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key"), "key"))
+    own = own.withColumn("left", F.size("l") - (COORDINATES - prefix)).filter("left > 0")
+    return cut(own.select("id", F.slice("l", F.lit(1), F.col("left"))["key"].alias("keys")).join(reps.select("id", "n", *DIGEST), "id"))
 
 
-def contents(rows: DataFrame, lists: DataFrame, words: int) -> DataFrame:
-    """(id, content): the whole sorted sets of the documents that stand in lists."""
+def linked(near: DataFrame, percent: int) -> DataFrame:
+    return near.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
-    def run(batches):
-        import pyarrow as pa
 
-        held = kept("words", WordHash)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([s.tobytes() for s in sets(utf8(part["text"]), words, held)], pa.binary())], names=["id", "content"])
+def with_components(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds comp to rows of id: its component, itself if it has no link."""
+    return df.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
 
-    texts = rows.join(lists.select("id").distinct(), "id", "left_semi")
-    return cut(texts.mapInArrow(run, "id long, content binary"))
+
+def pivot_pairs(stars: DataFrame, labels: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Pairs of a star's member that is not in the star's largest component and a member that is: the likeliest few of PIVOTS by the bound."""
+    own = with_components(stars, labels)
+    size = own.groupBy("ref", "comp").agg(F.count("*").alias("c")).groupBy("ref").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").select("ref", "major")
+    own = cut(own.join(size, "ref"))
+    fields = ["id", *STAR[1:]]
+    pivots = own.filter("comp = major").groupBy("ref", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(*fields)).alias("p")).select("ref", "p.*")
+    most = most_shared("x", "y")
+    tried = own.filter("comp <> major").alias("x").join(pivots.alias("y"), "ref").filter((100 + percent) * most >= percent * (F.col("x.n") + F.col("y.n")))
+    best = tried.select(F.col("x.id").alias("x"), F.struct((most / (F.col("x.n") + F.col("y.n"))).alias("score"), F.col("y.id").alias("y")).alias("s"))
+    best = best.groupBy("x").agg(F.slice(F.sort_array(F.collect_list("s"), asc=False), 1, 4).alias("s")).select("x", F.explode("s.y").alias("y"))
+    out = cut(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    discard(own)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
@@ -156,69 +209,87 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's set holds its distinct shingles of `words` words (A-Z folded); with fewer words, the whole sequence; without words, or null, nothing:
     such a document is linked with none. Documents are linked if 100 * intersection >= percent * union of their full sets, and a
     component is named after its smallest id; kept tells whether the row has that id. Ids should tell texts apart: rows that repeat id and text
-    come out alike; where texts of one id differ, each row has its own text's component. Rows of null id stand for no node: their component is null.
-
-    Documents of equal sets form a class, of which the smallest id goes on. A signature has 48 minima; each (coordinate, value) is a posting. Two
-    documents of similarity 0.8 agree in 38 on average, and in 25 or more but for 3 pairs in a million: for other thresholds the needed number follows.
-    Documents order their postings by global frequency, rarest first; those that agree in 25 of 48 share one of the first 24 of both
-    (prefix), so that the longer lists are skipped and never merged. Pairs of a list whose sizes and 128-bit signature digests allow it
-    are confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest id, its
-    hub, then about another member; only lists that then still hold several components are read in full, for pairs of different components
-    that what is known against the hub does not rule out (within_reach): edits that two copies don't share rule them out.
+    come out alike; where texts of one id differ, one of them stands for the id. Rows of null id stand for no node: their component is null.
+
+    Documents of equal sets form a class, of which the smallest id goes on. A signature has 24 coordinates of two minima each; each (coordinate, value)
+    is a posting. Two documents of similarity 0.8 agree in 15 on average, and in 3 or more but for one pair in ten million. Documents order their
+    postings by global frequency, rarest first; those that agree in 3 of 24 share one of the first 22 of both (prefix), so that the
+    longest lists are skipped and never merged. Pairs of a list whose sizes and 192-bit digests of the minima allow it
+    are confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest id:
+    members near it are compared to it, which ties most of a group together and bounds what any two members can share (most_shared). Members that
+    are left out are then compared to the likeliest of a few members inside. Only then are lists read in full, for pairs of
+    different components that the bound does not rule out: edits that two copies don't share rule them out. No list is cut.
     """
-    need = max(1, int(np.floor(COORDINATES * percent / 100 - 5 * np.sqrt(COORDINATES * percent * (100 - percent)) / 100))) if percent != THRESHOLD else MATCHES
-    prefix = COORDINATES - need + 1
+    spark = docs.sparkSession
+    j = percent / 100
+    need, nibbles = needed(COORDINATES, j * j), needed(MINIMA, j + (1 - j) / 16)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     p = cut(profiles(rows, words))
-    rep = F.struct("id", "sig", "m1", "m2")
+    rep = F.struct("id", "posts", *DIGEST)
     reps = cut(p.filter("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min(rep).alias("r"), F.count("*").alias("members")).select("set_a", "set_b", "n", "members", "r.*"))
-
-    lists = listed(reps, prefix)
-    release(docs.sparkSession)
-    content = contents(rows, lists, words)
-    release(docs.sparkSession)
-
-    # Each list's hub is its smallest id. Members near it are compared to it in full; the result also bounds what two members can share.
-    hubs = lists.groupBy("key").agg(F.min(F.struct("id", "n", "m1", "m2")).alias("h")).select("key", "h.*")
-    x_hub = lists.alias("x").join(hubs.alias("y"), "key")
-    pairs = x_hub.filter((F.col("x.id") != F.col("y.id")) & alike("x", "y", 65, NEAR_HUB)).select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct()
-    near = cut(compared(pairs, content))
-    release(docs.sparkSession)
-    linked = lambda df: df.filter(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
-    labels = cut(components(linked(near)))
-
-    name = lambda labels, side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}l"))
-    hub_of = hubs.select("key", F.col("id").alias("a"))
-    known = near.select("a", F.col("b").alias("id"), "both", *BITS)
-    for r in range(1, STARS + 1):
-        # lists that still hold several components, and the largest of them
-        comp = lists.join(name(labels, "id"), "id", "left").withColumn("comp", F.coalesce("idl", "id")).drop("idl")
-        groups = comp.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").select("key", "major")
-        still = comp.join(groups, "key").join(hub_of, "key").join(known, ["a", "id"], "left")
-        is_hub = F.col("id") == F.col("a")
-        still = cut(still.withColumns({"both": F.when(is_hub, F.col("n")).otherwise(F.col("both"))} | {c: F.when(is_hub, F.lit(0).cast("long")).otherwise(F.col(c)) for c in BITS}).drop("a"))
-        if not still.limit(1).count():
+    release(spark)
+    lists = prefixes(reps, COORDINATES - need + 1)
+    release(spark)
+
+    # stars about each list's smallest id
+    posted = lists.select(F.explode("keys").alias("key"), "id", "n", *DIGEST)
+    hubs = posted.groupBy("key").agg(F.min(F.struct("id", "n", *DIGEST)).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", "h.*")
+    around = posted.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & alike("x", "y", min(65, percent), min(NEAR_HUB, nibbles)))
+    pairs = cut(around.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
+    release(spark)
+    near = compared(pairs, rows, words)
+    discard(pairs)
+    labels = components(linked(near, percent))
+    stars = stars_of(near)
+    discard(near)
+
+    def also(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        found = compared(pairs, rows, words)
+        out = merged(labels, linked(found, percent))
+        discard(found, pairs, labels)
+        return out
+
+    for seed in range(STARS):
+        pairs = pivot_pairs(stars, labels, percent, seed)
+        if not pairs.limit(1).count():
+            discard(pairs)
             break
-        apart = (F.col("x.comp") != F.col("y.comp")) & alike("x", "y", percent) & within_reach("x", "y", percent)
-        if r < STARS:
-            own = still.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("d"), "id", "n", "m1", "m2", "comp", "both", *BITS)).alias("h")).select("key", "h.*")
-            pairs = still.alias("x").join(own.alias("y"), "key").filter(apart)
-        else:
-            once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.id") < F.col("y.id"))
-            pairs = still.filter("comp <> major").alias("x").join(still.alias("y"), "key").filter(once & apart)
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        found = linked(cut(compared(pairs, content)))
-        release(docs.sparkSession)
-        # The links found now join components: their labels are nodes of a smaller graph.
-        joined = found.join(name(labels, "a"), "a", "left").join(name(labels, "b"), "b", "left").select(F.coalesce("al", "a").alias("a"), F.coalesce("bl", "b").alias("b")).filter("a <> b")
-        over = cut(components(cut(joined)))
-        nodes = labels.union(over.select("node", "node")).toDF("node", "label").groupBy("node").agg(F.min("label").alias("label"))
-        labels = cut(nodes.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")))
+        labels = also(pairs, labels)
+
+    # what is left: members of a list in different components
+    known = with_components(lists, labels).select(F.explode("keys").alias("key"), "id", "n", *DIGEST, "comp")
+    apart = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    inside = lists.join(labels.select(F.col("node").alias("id"), F.col("label").alias("comp")), "id").select(F.explode("keys").alias("key"), "comp")
+    major = inside.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
+    still = cut(known.join(apart.join(major, "key", "left"), "key"))
+    discard(lists)
+    release(spark)
+    outside = F.coalesce(F.col("comp") != F.col("major"), F.lit(True))
+    # members of long lists: what they differ in from the smallest id of the list's largest component
+    heavy = still.filter("major IS NOT NULL").groupBy("key", "major").agg(F.count("*").alias("c"), F.sum(outside.cast("int")).alias("o")).filter(F.col("c") * F.col("o") >= HEAVY).select("key")
+    often = still.join(heavy, "key", "left_semi").filter("id <> major").groupBy("id", "major").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "major"))["major"].alias("a"))
+    pairs = cut(often.select("a", F.col("id").alias("b")))
+    if pairs.limit(1).count():
+        near = compared(pairs, rows, words)
+        better = stars_of(near)
+        joined = stars.join(better, "id", "left_anti").unionByName(better)
+        stars, old = cut(joined), stars
+        discard(near, better, old)
+    discard(pairs)
+    full = still.join(stars.drop("n"), "id", "left")
+    once = F.coalesce(F.col("y.comp") == F.col("y.major"), F.lit(False)) | (F.col("x.id") < F.col("y.id"))
+    rest = full.filter(outside).alias("x").join(full.alias("y"), "key").filter(once & (F.col("x.comp") != F.col("y.comp")) & alike("x", "y", percent, nibbles) & may_link("x", "y", percent))
+    pairs = cut(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    discard(still, stars)
+    release(spark)
+    if pairs.limit(1).count():
+        labels = also(pairs, labels)
 
     classes = reps.select("set_a", "set_b", "n", "members", F.col("id").alias("rep"))
     classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
     # Single documents that no link moves need no row here.
-    classes = classes.filter("members > 1 OR component <> rep").select("set_a", "set_b", "n", "component")
+    classes = cut(classes.filter("members > 1 OR component <> rep").select("set_a", "set_b", "n", "component"))
+    discard(labels, reps)
     out = p.select("id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
