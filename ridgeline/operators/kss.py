@@ -111,15 +111,15 @@ def leave_out_result(fit, psi: str | None = None, n_draws: int = 250, seed: int
         stats = part if stats is None else cut(stats.unionByName(part).groupBy("row_id").agg(*[F.sum(x).alias(x) for x in sums]))
     d = float(n_draws)
     ph, mh = F.col("p2") / d, F.col("m2") / d
-    pbar, mbar = ph / (ph + mh), mh / (ph + mh)
+    pbar, mbar = F.try_divide(ph, ph + mh), F.try_divide(mh, ph + mh)
     mpp, mmm, mpm = F.col("pp") / d - ph**2, F.col("mm") / d - mh**2, F.col("pm") / d - ph * mh
     v = (mbar**2 * mpp + pbar**2 * mmm - 2 * pbar * mbar * mpm) / d
     bc = (mbar * mpp - pbar * mmm + (mbar - pbar) * mpm) / d
-    factor = 1 - v / mbar**2 + bc / mbar
+    factor = 1 - F.try_divide(v, mbar**2) + F.try_divide(bc, mbar)  # null where a row alone determines an effect
     lev = used.join(stats, "row_id").select(*used.columns, pbar.alias("P"), mbar.alias("M"), factor.alias("factor"))
     grand = used.agg(F.sum(F.col("w") * F.col("y")) / F.sum("w")).first()[0]
     # a level of one row has leverage one and no say in its own variance
-    sigma = F.when(F.col("M") > 1e-9, F.col("w") * (F.col("y") - grand) * F.col("e") / F.col("M") * F.col("factor"))
+    sigma = F.when(F.col("M") > 1e-9, F.try_divide(F.col("w") * (F.col("y") - grand) * F.col("e"), F.col("M")) * F.col("factor"))
     if leave_out == "match":  # matches of stayers: the variance within their firm's movers' matches stands in
         lev = lev.withColumn("sigma2", F.when(F.col("c") > 1, sigma))
         means = lev.groupBy("f1").agg(F.avg("sigma2").alias("firm_mean"))

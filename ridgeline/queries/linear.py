@@ -64,11 +64,11 @@ def fe_two_way(spark, sf_dir):
     return frame(spark, errors(fit, {"se_iid": "iid", "se_hetero": "hetero", "se_cluster": {"CRV1": "l_suppkey"}}))
 
 
-@query("SELECT l_suppkey, count(*) AS n_obs, round(sum(l_extendedprice), 1) AS sum_y, 0.0::DOUBLE AS sum_resid FROM lineitem GROUP BY l_suppkey")
+@query("SELECT l_suppkey, count(*) AS n_obs, round(sum(l_extendedprice), 2) AS sum_y, 0.0::DOUBLE AS sum_resid FROM lineitem GROUP BY l_suppkey")
 def fe_three_way(spark, sf_dir):
     """Three fixed effects: residuals add up to nothing within each level (tests hold the coefficients against dummy regressions)."""
     fit = feols("l_extendedprice ~ l_quantity | l_partkey + l_suppkey + l_returnflag", lines(spark, sf_dir), fixef_rm="none")
-    r = fit.resid().groupBy("l_suppkey").agg(F.count("*").alias("n_obs"), F.round(F.sum("l_extendedprice"), 1).alias("sum_y"), (F.round(F.sum("resid"), 2) + F.lit(0.0)).alias("sum_resid"))
+    r = fit.resid().groupBy("l_suppkey").agg(F.count("*").alias("n_obs"), F.round(F.sum("l_extendedprice"), 2).alias("sum_y"), (F.round(F.sum("resid"), 2) + F.lit(0.0)).alias("sum_resid"))
     return r.withColumn("sum_resid", F.when(F.col("sum_resid") == 0, F.lit(0.0)).otherwise(F.col("sum_resid")))
 
 
