@@ -99,9 +99,11 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def compared(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+def compared(pairs: DataFrame, rows: DataFrame, words: int, many: bool = False) -> DataFrame:
     """For pairs (a, b), on full sets: na, nb, both (the intersection), more and less: what b has beyond a, and a beyond b, as bitmaps; pm and pl: their bits."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Pairs that grow with the corpus are merged at every size: a plan that broadcasts them while they are few would tell nothing of a larger run.
+    sized = lambda df: df.hint("merge") if many else df
+    ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = cut(rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     release(pairs.sparkSession)
 
@@ -129,7 +131,7 @@ def compared(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * 8, pa.int32()), pa.array(np.concatenate(v).view(np.int64))) for v in (more, less)]
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], *(pa.array(n[:, j]) for j in range(3)), *lists, *bits], names=["a", "b", "na", "nb", "both", "more", "less", "pm", "pl"])
 
-    joined = pairs.join(texts.toDF("b", "t"), "b").join(texts.toDF("a", "s"), "a").select("a", "b", "s", "t")
+    joined = pairs.join(sized(texts.toDF("b", "t")), "b").join(sized(texts.toDF("a", "s")), "a").select("a", "b", "s", "t")
     out = cut(joined.mapInArrow(run, "a long, b long, na long, nb long, both long, more array<long>, less array<long>, pm long, pl long"))
     discard(texts)
     release(pairs.sparkSession)
@@ -237,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     around = posted.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & alike("x", "y", min(65, percent), min(NEAR_HUB, nibbles)))
     pairs = cut(around.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
     release(spark)
-    near = compared(pairs, rows, words)
+    near = compared(pairs, rows, words, many=True)
     discard(pairs)
     labels = components(linked(near, percent))
     stars = stars_of(near)
