@@ -101,7 +101,7 @@ def test_resample(spark, panel):
 @pytest.mark.parametrize("w", [None, "wt"])
 def test_normal_equations(spark, panel, w):
     fit = feols("y ~ x | w + f", spark.createDataFrame(panel), weights=w)
-    used = fit.sample().filter("in_sample").toPandas()
+    used = fit.sample().filter("in_sample").drop("dropped_because").toPandas()
     new = used.sample(40, random_state=1).assign(v=lambda d: np.arange(40) - 10.0)
     s = fit.solve_normal_equations(spark.createDataFrame(new), ["v"])
     z = lambda d: np.column_stack([d.x, *[d.w == k for k in sorted(used.w.unique())], *[d.f == k for k in sorted(used.f.unique())]]).astype(float)
