@@ -21,6 +21,7 @@ def merge_runs(batches: Iterator, keep: str) -> Iterator:
     names = ["at", "digest", "n_bytes", "keep", "row", "size"]
     for batch in batches:
         t = pa.Table.from_batches([batch]).select(names)
+        t = t.cast(pa.schema([pa.field(f.name, f.type) for f in t.schema]))  # a column of constants comes as not null
         t = pa.concat_tables([held, t]) if held is not None else t
         if not t.num_rows:
             continue

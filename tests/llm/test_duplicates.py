@@ -105,6 +105,17 @@ def test_components_of_paths_and_hubs(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(20))
 
 
+def test_exact_copies_over_many_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(200).selectExpr("id AS doc_id", "concat('t', id % 60) AS text").coalesce(1)
+        out = exact_dedup.exact_dedup(df, keep="max").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(out) == 200 and sum(r.kept for r in out) == 60
+    assert all(r.keep_id == max(i for i in range(200) if i % 60 == r.doc_id % 60) for r in out)
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_copies_against_brute_force(spark, keep):
     rng = np.random.default_rng(2)
