@@ -161,6 +161,24 @@ def test_repeated_passages(spark):
     assert substring.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind, n", [("changed", 50), ("inserted", 52), ("changed", 55), ("changed", 60), ("two", 100)])
+def test_passages_with_an_edit_in_the_middle_are_found(kind, n):
+    rng = np.random.default_rng(n)
+    new = lambda k: rng.integers(0, 2**62, k).astype(np.uint64)
+    for _ in range(150):
+        one, m = new(n), n // 2
+        two = one.copy()
+        for e in (n // 3, 2 * n // 3) if kind == "two" else (m,):
+            two[e] = new(1)[0]
+        if kind == "inserted":
+            two = np.concatenate([one[:m], new(1), one[m:]])
+        a, b = np.concatenate([new(150), one, new(150)]), np.concatenate([new(90), two, new(150)])
+        (ka, at), (kb, rat) = substring.posts(a), substring.posts(b)
+        _, i, j = np.intersect1d(ka, kb, return_indices=True)
+        (p,) = substring.passages(a, b, at[i], rat[j])
+        assert p[:4] == (150, 150 + n, 90, 90 + len(two)) and p[4] >= 0.8
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
     vocab = [f"wort{i}" for i in range(400)]
