@@ -179,6 +179,24 @@ def test_passages_with_an_edit_in_the_middle_are_found(kind, n):
         assert p[:4] == (150, 150 + n, 90, 90 + len(two)) and p[4] >= 0.8
 
 
+def test_passages_of_which_earlier_documents_hold_parts(spark):
+    rng = np.random.default_rng(8)
+    new = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    early, late = [], []
+    for parts, n in [([(0, 48)], 60), ([(0, 40), (20, 60)], 60), ([(0, 48), (12, 60)], 60), ([(0, 48), (27, 75)], 75), ([(0, 40), (10, 50)], 50)] * 8:
+        p = new(n)
+        early += [new(80) + p[x:y] + new(80) for x, y in parts]
+        late.append([new(30) + p + new(40), new(70) + p + new(20), n])
+    texts = early + [t for b, c, _ in late for t in (b, c)]
+    out = substring.repeated_passages(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)).collect()
+    got = {(r.doc_id, r.start, r.n_words, r.partner_id, r.partner_start) for r in out}
+    want = set()
+    for k, (_, _, n) in enumerate(late):
+        b = len(early) + 2 * k
+        want |= {(b, 30, n, b + 1, 70), (b + 1, 70, n, b, 30)}
+    assert got == want
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
     vocab = [f"wort{i}" for i in range(400)]
