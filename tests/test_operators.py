@@ -121,3 +121,28 @@ def test_leave_out_components(spark):
     for c in ("var_psi", "var_alpha", "cov"):
         assert k.plug_in[c] == pytest.approx(x["plug_in"][c], abs=1e-7)
         assert k.bias[c] == pytest.approx(x["bias"][c], abs=0.7 * max(abs(v) for v in x["bias"].values()))
+
+
+def test_variance_components_are_registered_with_all_draws(monkeypatch):
+    import inspect
+
+    from ridgeline.operators.kss import leave_out_kss
+    from ridgeline.queries import graphs
+
+    seen = {}
+
+    class Result:
+        def tidy(self):
+            return None
+
+    def called(*args, **options):
+        bound = inspect.signature(leave_out_kss).bind(*args, **options)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        return Result()
+
+    monkeypatch.setattr(graphs, "leave_out_kss", called)
+    monkeypatch.setattr(graphs, "table", lambda *a: None)
+    monkeypatch.setattr(graphs, "frame", lambda *a: None)
+    graphs.variance_components(None, "")
+    assert (seen["n_draws"], seen["block"]) == (250, 50)
