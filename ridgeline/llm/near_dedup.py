@@ -18,7 +18,7 @@ DIGEST = ["m1", "m2", "m3"]
 
 
 def needed(n: int, p: float) -> int:
-    """Of n trials that succeed with probability p, a number that all but some 3 in 10 million runs reach."""
+    """Of n trials that succeed with probability p, a number five standard deviations below the mean: all but some 3 in 10 million runs reach it if they are normal, and all but 10 in 10 million of 48 with p = 0.8125."""
     return max(1, int(np.floor(n * p - 5 * np.sqrt(n * p * (1 - p)))))
 
 
@@ -214,10 +214,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     come out alike; where texts of one id differ, one of them stands for the id. Rows of null id stand for no node: their component is null.
 
     Documents of equal sets form a class, of which the smallest id goes on. A signature has 24 coordinates of two minima each; each (coordinate, value)
-    is a posting. Two documents of similarity 0.8 agree in 15 on average, and in 3 or more but for one pair in ten million. Documents order their
+    is a posting. Two documents of similarity 0.8 agree in 15 on average, and in 3 or more but for two pairs in a hundred million. Documents order their
     postings by global frequency, rarest first; those that agree in 3 of 24 share one of the first 22 of both (prefix), so that the
-    longest lists are skipped and never merged. Pairs of a list whose sizes and 192-bit digests of the minima allow it
-    are confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest id:
+    longest lists are skipped and never merged. The coordinates in which a pair of a list collides are not
+    counted: in place of that, its sizes must allow the similarity and four-bit values of the 48 minima must agree in 25 or more, which a pair of
+    similarity 0.8 misses with a probability of 1.0e-6. Such pairs are confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest id:
     members near it are compared to it, which ties most of a group together and bounds what any two members can share (most_shared). Members that
     are left out are then compared to the likeliest of a few members inside. Only then are lists read in full, for pairs of
     different components that the bound does not rule out: edits that two copies don't share rule them out. No list is cut.
