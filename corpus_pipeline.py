@@ -11,7 +11,7 @@ from ridgeline.llm import bpe, common, exact_dedup, langid, mixing, near_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told (no letter)."""
+    """Drops documents without a letter, and no others: the predicted language and its score reject nothing."""
     return langid.drop_unknown(docs)
 
 

@@ -170,8 +170,11 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose language can be told: those that are not `und`."""
+    """The rows of docs, all columns, whose text has a letter: those that are not `und` (a language labelled `und` goes too). Which language the network predicts, and
+    with what score, decides nothing here; where no network can be trained, as no row to learn from has a language, the same rows stay."""
     network = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
+    if network is None:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those that identify() adds
     judged = identify(docs.toDF(*inner), network, inner, inner[docs.columns.index(text_col)])
     return judged.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])

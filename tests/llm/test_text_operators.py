@@ -71,6 +71,13 @@ def test_languages_are_told_apart(spark):
     assert langid.language_id(df.limit(0)).count() == 0
 
 
+def test_documents_pass_where_no_language_is_known(spark):
+    rows = [(1, "the house", None), (2, "über", None), (3, "123 -- !", None), (4, "", None), (5, None, None), (None, "дом", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.drop_unknown(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {1, 2, None} and kept.count() == 3
+
+
 def test_bpe_is_the_librarys(spark):
     import hashlib
 
