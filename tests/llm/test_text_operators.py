@@ -122,3 +122,17 @@ def test_url_model_on_rows_left_out():
     keys = [url_filter.key(*(x.encode() for x in url_filter.parts(u))) for (u, _), h in zip(rows, held) if h]
     y = np.array([label for (_, label), h in zip(rows, held) if h])
     assert ((url_filter.scores(keys, w, b) >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_url_model_learns_nothing_from_the_pages_tables():
+    rows = [(*url_filter.parts(u), label) for u, label in url_filter.labelled()]
+    assert {h.split(".")[0] for h, _, _ in rows}.isdisjoint("thther tionble ererin handth blog m www spam-farm cheap-pills".split())
+    assert not any(re.match(r"/(en|fr|de|es)/[0-9]+", p) for _, p, _ in rows)
+    apart = [(f"http://{h}.example.info{p}", label) for label, hosts, paths in (
+        (0, "gallery theatre choir botany physics parish observatory orchard railway chess bakery cinema geology poetry sailing", "/history/1890 /events/june /map.html"),
+        (1, "casino-jackpot spam-blaster pills-discount adult-videos phishing-trap malware-hub loans-payday poker-bonus torrent-free fake-watches click-tracker xxx-singles win-casino seo-farm ad-pixel", "/click?id=77 /casino/bonus /free-prize.exe"),
+    ) for h in hosts.split() for p in paths.split()]
+    w, b = url_filter.train(url_filter.labelled())
+    p = url_filter.scores([url_filter.key(*(x.encode() for x in url_filter.parts(u))) for u, _ in apart], w, b)
+    y = np.array([label for _, label in apart])
+    assert ((p >= 0.5) == (y == 1)).mean() > 0.7
