@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U = np.uint64
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,13 +24,25 @@ def fold(text: Column) -> Column:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one only where it is unset (tests, a single machine)."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one if Spark runs on this machine alone; else an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
 
 
+def by_bytes(spark: SparkSession) -> None:
+    """Bounds the batches of rows sent to Python by their bytes: texts may be long, and every task holds some batches on both sides. Left alone where the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":  # the default
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written as a table to the shared folder and read again: without lineage, compressed, of known size.
 

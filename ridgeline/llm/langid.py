@@ -6,12 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import table, utf8
+from ridgeline.llm.common import by_bytes, table, utf8
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: The classifier is fitted on this many labelled documents at most (those of the smallest hashes of doc_id), two windows of each.
 MOST_TRAIN = 4000
 UNKNOWN = "und"
+#: A filter drops what the network tells with a smaller score: with four languages, little better than a guess.
+LEAST_SCORE = 0.4
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 FOLD[:32] = 32
@@ -127,34 +129,37 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int
     return Network(langs).fit(x, y, epochs=max(6, min(60, 40_000 // len(x))))
 
 
-def identify(docs: DataFrame, network: Network | None, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score to the columns `keep`. Rows are judged where they lie, whole texts, window by window; no shuffle.
+def identify(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
+    """docs with two more columns at the end: the predicted language and its score. Rows are judged where they lie, whole texts, window by window; no shuffle.
 
-    Texts that are null, empty or without a letter are `und` with score 0; so is everything if there is no network.
+    Only the text goes to Python, once; the rest of a row waits in the JVM. Texts that are null, empty or without a letter are `und` with score 0; so is
+    everything if there is no network.
     """
+    by_bytes(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)  # half a MB, whatever the input
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text_col).alias("text"))
-    n = len(keep)
 
-    def run(batches):
+    def judge(batches):
         import pyarrow as pa
 
         net = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                known = np.array(part["letters"].to_pylist(), bool) & (net is not None)
-                texts = utf8(part["text"])
-                lang, score = np.full(len(known), UNKNOWN, object), np.zeros(len(known))
+        for texts in batches:
+            langs, scores = [], []
+            for at in range(0, len(texts), 128):
+                part = utf8(texts.slice(at, 128))
+                known = np.array([t is not None for t in part]) & (net is not None)
+                lang, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
                 if known.any():
-                    best, p = net.predict([t for t, k in zip(texts, known, strict=True) if k])
+                    best, p = net.predict([t for t, k in zip(part, known, strict=True) if k])
                     lang[known], score[known] = np.array(net.langs, object)[best], p
-                yield pa.RecordBatch.from_arrays([*(part[f"k{i}"] for i in range(n)), pa.array(lang.tolist(), pa.string()), pa.array(score)], names=names)
+                langs += lang.tolist()
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["lang_pred", "score"])
 
-    names = [*(f"k{i}" for i in range(n)), "lang_pred", "score"]
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, ", ".join([*(f"k{i} {kinds[f'k{i}']}" for i in range(n)), "lang_pred string, score double"]))
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
+    judged = F.arrow_udf(judge, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()  # so that no filter runs it twice
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those that are added
+    text = F.col(inner[docs.columns.index(text_col)])
+    out = docs.toDF(*inner).withColumn("judged", judged(F.when(text.rlike(r"\p{L}"), text)))
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)], F.col("judged.lang_pred"), F.col("judged.score"))
 
 
 def held_out(id_col: str):
@@ -166,18 +171,19 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, held_out, lang_pred, score. Learns from rows that are not held out and have a language; repeated rows are judged alike."""
     network = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col, most_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(held_out(id_col), F.lit(False)).alias("held"))
-    return identify(rows, network, ["id", "held"]).select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "lang_pred", "score")
+    return identify(rows, network).select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "lang_pred", "score")
 
 
-def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose text has a letter: those that are not `und` (a language labelled `und` goes too). Which language the network predicts, and
-    with what score, decides nothing here; where no network can be trained, as no row to learn from has a language, the same rows stay."""
+def drop_unknown(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose language the network tells with a score of `least` at least. Texts without a letter are `und` and go, as does a
+    language labelled `und`. Where no network can be trained, as no row to learn from has a language, all texts with a letter stay."""
     network = train(docs.filter(~held_out(id_col)), id_col, text_col, lang_col)
     if network is None:
         return docs.filter(F.col(text_col).rlike(r"\p{L}"))
-    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those that identify() adds
-    judged = identify(docs.toDF(*inner), network, inner, inner[docs.columns.index(text_col)])
-    return judged.filter(F.col("lang_pred") != UNKNOWN).select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    judged = identify(docs.toDF(*inner), network, inner[docs.columns.index(text_col)])
+    kept = judged.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,20 +6,25 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import U, WordHash, cut, discard, kept, mix, release, shingles, table, utf8
+from ridgeline.llm.common import U, WordHash, by_bytes, cut, discard, kept, mix, release, shingles, table, utf8
 from ridgeline.llm.components import components, merged
 
 #: A signature has 24 coordinates, each the value of two of 48 minima.
 COORDINATES, MINIMA, THRESHOLD, WORDS = 24, 48, 80, 2
+MISS = 1e-6  # the probability at most with which a pair of the similarity asked for collides in too few coordinates
 STARS, PIVOTS = 2, 64  # rounds of pivots, and pivots of a star
-NEAR_HUB = 24  # four-bit values of a digest in which a document agrees with a list's smallest id that it is compared to
-HEAVY = 4096  # comparisons from which a list's members are first compared to the smallest id of its largest component
-DIGEST = ["m1", "m2", "m3"]
+HEAVY = 4096  # comparisons from which a list's members are first compared to the smallest node of its largest component
+BYTES = ["m1", "m2", "m3"]
 
 
 def needed(n: int, p: float) -> int:
-    """Of n trials that succeed with probability p, a number five standard deviations below the mean: all but some 3 in 10 million runs reach it if they are normal, and all but 10 in 10 million of 48 with p = 0.8125."""
-    return max(1, int(np.floor(n * p - 5 * np.sqrt(n * p * (1 - p)))))
+    """The largest number that n trials of probability p fall short of with a probability of MISS at most, 1 at least."""
+    from math import comb
+
+    short, least = 0.0, 0
+    while least < n and (short := short + comb(n, least) * p**least * (1 - p) ** (n - least)) <= MISS:
+        least += 1
+    return max(1, least)
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,14 +55,14 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, k: int) -> DataFrame:
-    """id, n (set size), set_a, set_b (128-bit hash of the set), posts (coordinate and value in one number each), m1, m2, m3 (4 bits of each minimum)."""
+    """doc, own, n (set size), set_a, set_b (128-bit hash of the set), posts (coordinate and value in one number each), m1, m2, m3 (a byte of each coordinate's value)."""
 
     def run(batches):
         import pyarrow as pa
 
         words = kept("words", WordHash)
         a, b = permutations(MINIMA)
-        shift = np.arange(16, dtype=U) * U(4)
+        shift = np.arange(8, dtype=U) * U(8)
         for batch in batches:
             n, h, keys, minis = [], [], [], []
             for s in sets(utf8(batch["text"]), k, words):
@@ -66,30 +71,30 @@ def profiles(docs: DataFrame, k: int) -> DataFrame:
                 h.append((int(np.bitwise_xor.reduce(mix(s + U(1)), initial=0)), int(np.add.reduce(mix(s + U(2)), dtype=U))))
                 two = mix((sig[::2].astype(U) << U(32)) | sig[1::2].astype(U))
                 keys.append(((two & ~U(31)) | np.arange(COORDINATES, dtype=U)).view(np.int64))
-                nib = mix(sig.astype(U)) & U(15)
-                minis.append([int(np.bitwise_or.reduce(nib[i : i + 16] << shift)) for i in (0, 16, 32)])
+                byte = two >> U(56)
+                minis.append([int(np.bitwise_or.reduce(byte[i : i + 8] << shift)) for i in (0, 8, 16)])
             long = lambda v: pa.array(np.array(v, U).view(np.int64))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * COORDINATES, pa.int32()), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), long([x for x, _ in h]), long([x for _, x in h]), flat, *(long([x[i] for x in minis]) for i in range(3))], names=["id", "n", "set_a", "set_b", "posts", *DIGEST])
+            yield pa.RecordBatch.from_arrays([batch["doc"], batch["own"], pa.array(n, pa.int64()), long([x for x, _ in h]), long([x for _, x in h]), flat, *(long([x[i] for x in minis]) for i in range(3))], names=["doc", "own", "n", "set_a", "set_b", "posts", *BYTES])
 
-    return docs.mapInArrow(run, "id long, n long, set_a long, set_b long, posts array<long>, m1 long, m2 long, m3 long")
+    return docs.mapInArrow(run, "doc long, own long, n long, set_a long, set_b long, posts array<long>, m1 long, m2 long, m3 long")
 
 
-def agree(x: str, y: str) -> Column:
-    """How many of the four-bit values of two signatures agree."""
-    out = F.lit(MINIMA)
-    for m in DIGEST:
+def collisions(x: str, y: str) -> Column:
+    """In how many of the 24 coordinates two signatures collide, by one byte of each value: never fewer than do, and one too many in 256 that don't."""
+    out = F.lit(COORDINATES)
+    for m in BYTES:
         d = F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))
-        d = d.bitwiseOR(F.shiftright(d, 1))
-        d = d.bitwiseOR(F.shiftright(d, 2)).bitwiseAND(F.lit(0x1111111111111111))
-        out = out - F.bit_count(d)
+        for by in (1, 2, 4):
+            d = d.bitwiseOR(F.shiftright(d, by))
+        out = out - F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
     return out
 
 
-def alike(x: str, y: str, percent: int, nibbles: int) -> Column:
-    """Sizes allow the similarity, and signature digests agree well enough."""
+def alike(x: str, y: str, percent: int, need: int) -> Column:
+    """Sizes allow the similarity, and the coordinates that collide reach the match threshold."""
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
-    return (small * 100 >= large * percent) & (agree(x, y) >= nibbles)
+    return (small * 100 >= large * percent) & (collisions(x, y) >= need)
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -99,12 +104,14 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def compared(pairs: DataFrame, rows: DataFrame, words: int, many: bool = False) -> DataFrame:
-    """For pairs (a, b), on full sets: na, nb, both (the intersection), more and less: what b has beyond a, and a beyond b, as bitmaps; pm and pl: their bits."""
+def compared(pairs: DataFrame, rows: DataFrame, names: DataFrame, words: int, many: bool = False) -> DataFrame:
+    """For pairs (a, b) of nodes, whose texts are those of names (id, doc, own) in rows (doc, own, text), on full sets: na, nb, both (the intersection), more and less: what b has beyond a, and a beyond b, as bitmaps; pm and pl: their bits."""
     # Pairs that grow with the corpus are merged at every size: a plan that broadcasts them while they are few would tell nothing of a larger run.
     sized = lambda df: df.hint("merge") if many else df
     ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = cut(rows.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    who = sized(names.join(ids, "id"))
+    # a document's id and a hash of its text: where an id repeats with another text, the right one is taken
+    texts = cut(rows.join(who, ["doc", "own"]).groupBy("id").agg(F.min("text").alias("text")))
     release(pairs.sparkSession)
 
     def run(batches):
@@ -177,7 +184,7 @@ def prefixes(reps: DataFrame, prefix: int) -> DataFrame:
     often = posts.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     own = posts.join(often, "key").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("l"))
     own = own.withColumn("left", F.size("l") - (COORDINATES - prefix)).filter("left > 0")
-    return cut(own.select("id", F.slice("l", F.lit(1), F.col("left"))["key"].alias("keys")).join(reps.select("id", "n", *DIGEST), "id"))
+    return cut(own.select("id", F.slice("l", F.lit(1), F.col("left"))["key"].alias("keys")).join(reps.select("id", "n", *BYTES), "id"))
 
 
 def linked(near: DataFrame, percent: int) -> DataFrame:
@@ -205,49 +212,54 @@ def pivot_pairs(stars: DataFrame, labels: DataFrame, percent: int, seed: int) ->
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """Per row: id, n_shingles, component_id, kept.
+def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, heavy: int = HEAVY) -> DataFrame:
+    """Per row: doc (its id), own (a hash of its text), n_shingles, component_id, kept.
 
     A document's set holds its distinct shingles of `words` words (A-Z folded); with fewer words, the whole sequence; without words, or null, nothing:
     such a document is linked with none. Documents are linked if 100 * intersection >= percent * union of their full sets, and a
-    component is named after its smallest id; kept tells whether the row has that id. Ids should tell texts apart: rows that repeat id and text
-    come out alike; where texts of one id differ, one of them stands for the id. Rows of null id stand for no node: their component is null.
-
-    Documents of equal sets form a class, of which the smallest id goes on. A signature has 24 coordinates of two minima each; each (coordinate, value)
-    is a posting. Two documents of similarity 0.8 agree in 15 on average, and in 3 or more but for two pairs in a hundred million. Documents order their
-    postings by global frequency, rarest first; those that agree in 3 of 24 share one of the first 22 of both (prefix), so that the
-    longest lists are skipped and never merged. The coordinates in which a pair of a list collides are not
-    counted: in place of that, its sizes must allow the similarity and four-bit values of the 48 minima must agree in 25 or more, which a pair of
-    similarity 0.8 misses with a probability of 1.0e-6. Such pairs are confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest id:
-    members near it are compared to it, which ties most of a group together and bounds what any two members can share (most_shared). Members that
+    component is named after its smallest id; kept tells whether the row has that id. Rows that repeat an id are documents of their own.
+    Rows of null id stand for no node: their component is null.
+
+    Documents of equal sets form a class, of which one row goes on as a node: nodes are row numbers, so that ids need not tell texts apart. A signature has
+    24 coordinates of two minima each; each (coordinate, value) is a posting. Documents that share an inverted list collide in its
+    coordinate. Two documents of similarity 0.8 collide in 15 coordinates on average and, but for one pair in a million at most, in 4 or more: the match
+    threshold. Documents order their postings by global frequency, rarest first; those that collide in 4 of 24 share one of the first 21
+    of both (prefix), so that the longest lists are skipped and never merged. For each pair that a prefix list proposes, the collisions in all coordinates,
+    those of skipped lists too, are counted on a byte of each value; pairs of the threshold are retained, if sizes allow the similarity, and
+    confirmed on full sets. So that a group of m copies costs about m pairs, each list is first read as a star about its smallest node:
+    members that reach the threshold with it are compared to it, which ties most of a group together and bounds what any two members can share (most_shared). Members that
     are left out are then compared to the likeliest of a few members inside. Only then are lists read in full, for pairs of
-    different components that the bound does not rule out: edits that two copies don't share rule them out. No list is cut.
+    different components that the bound does not rule out: edits that two copies don't share rule them out. No list is cut. heavy: comparisons from which
+    a list's members are first compared to one of its largest component, too, so that the bound rules out more; it changes the work, not the result.
     """
     spark = docs.sparkSession
+    by_bytes(spark)
     j = percent / 100
-    need, nibbles = needed(COORDINATES, j * j), needed(MINIMA, j + (1 - j) / 16)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    p = cut(profiles(rows, words))
-    rep = F.struct("id", "posts", *DIGEST)
-    reps = cut(p.filter("n > 0 AND id IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min(rep).alias("r"), F.count("*").alias("members")).select("set_a", "set_b", "n", "members", "r.*"))
+    need = needed(COORDINATES, j * j)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
+    p = cut(profiles(rows, words).withColumn("row", F.monotonically_increasing_id()))
+    rep = F.struct("doc", "row", "own", "posts", *BYTES)
+    reps = p.filter("n > 0 AND doc IS NOT NULL").groupBy("set_a", "set_b", "n").agg(F.min(rep).alias("r"), F.count("*").alias("members"))
+    reps = cut(reps.select("set_a", "set_b", "n", "members", F.col("r.row").alias("id"), *[f"r.{c}" for c in ("doc", "own", "posts", *BYTES)]))
+    names = reps.select("id", "doc", "own")
     release(spark)
     lists = prefixes(reps, COORDINATES - need + 1)
     release(spark)
 
-    # stars about each list's smallest id
-    posted = lists.select(F.explode("keys").alias("key"), "id", "n", *DIGEST)
-    hubs = posted.groupBy("key").agg(F.min(F.struct("id", "n", *DIGEST)).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", "h.*")
-    around = posted.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & alike("x", "y", min(65, percent), min(NEAR_HUB, nibbles)))
+    # stars about each list's smallest node
+    posted = lists.select(F.explode("keys").alias("key"), "id", "n", *BYTES)
+    hubs = posted.groupBy("key").agg(F.min(F.struct("id", "n", *BYTES)).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", "h.*")
+    around = posted.alias("x").join(hubs.alias("y"), "key").filter((F.col("x.id") != F.col("y.id")) & alike("x", "y", min(65, percent), need))
     pairs = cut(around.select(F.col("y.id").alias("a"), F.col("x.id").alias("b")).distinct())
     release(spark)
-    near = compared(pairs, rows, words, many=True)
+    near = compared(pairs, rows, names, words, many=True)
     discard(pairs)
     labels = components(linked(near, percent))
     stars = stars_of(near)
     discard(near)
 
     def also(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        found = compared(pairs, rows, words)
+        found = compared(pairs, rows, names, words)
         out = merged(labels, linked(found, percent))
         discard(found, pairs, labels)
         return out
@@ -260,7 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = also(pairs, labels)
 
     # what is left: members of a list in different components
-    known = with_components(lists, labels).select(F.explode("keys").alias("key"), "id", "n", *DIGEST, "comp")
+    known = with_components(lists, labels).select(F.explode("keys").alias("key"), "id", "n", *BYTES, "comp")
     apart = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     inside = lists.join(labels.select(F.col("node").alias("id"), F.col("label").alias("comp")), "id").select(F.explode("keys").alias("key"), "comp")
     major = inside.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"))
@@ -268,12 +280,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(lists)
     release(spark)
     outside = F.coalesce(F.col("comp") != F.col("major"), F.lit(True))
-    # members of long lists: what they differ in from the smallest id of the list's largest component
-    heavy = still.filter("major IS NOT NULL").groupBy("key", "major").agg(F.count("*").alias("c"), F.sum(outside.cast("int")).alias("o")).filter(F.col("c") * F.col("o") >= HEAVY).select("key")
-    often = still.join(heavy, "key", "left_semi").filter("id <> major").groupBy("id", "major").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "major"))["major"].alias("a"))
+    # members of long lists: what they differ in from the smallest node of the list's largest component
+    long = still.filter("major IS NOT NULL").groupBy("key", "major").agg(F.count("*").alias("c"), F.sum(outside.cast("int")).alias("o")).filter(F.col("c") * F.col("o") >= heavy).select("key")
+    often = still.join(long, "key", "left_semi").filter("id <> major").groupBy("id", "major").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", "major"))["major"].alias("a"))
     pairs = cut(often.select("a", F.col("id").alias("b")))
     if pairs.limit(1).count():
-        near = compared(pairs, rows, words)
+        near = compared(pairs, rows, names, words)
         better = stars_of(near)
         joined = stars.join(better, "id", "left_anti").unionByName(better)
         stars, old = cut(joined), stars
@@ -281,27 +293,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     discard(pairs)
     full = still.join(stars.drop("n"), "id", "left")
     once = F.coalesce(F.col("y.comp") == F.col("y.major"), F.lit(False)) | (F.col("x.id") < F.col("y.id"))
-    rest = full.filter(outside).alias("x").join(full.alias("y"), "key").filter(once & (F.col("x.comp") != F.col("y.comp")) & alike("x", "y", percent, nibbles) & may_link("x", "y", percent))
+    rest = full.filter(outside).alias("x").join(full.alias("y"), "key").filter(once & (F.col("x.comp") != F.col("y.comp")) & alike("x", "y", percent, need) & may_link("x", "y", percent))
     pairs = cut(rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
     discard(still, stars)
     release(spark)
     if pairs.limit(1).count():
         labels = also(pairs, labels)
 
-    classes = reps.select("set_a", "set_b", "n", "members", F.col("id").alias("rep"))
-    classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("label", "rep"))
+    classes = reps.select("set_a", "set_b", "n", "members", "doc", F.col("id").alias("rep"))
+    classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    # a component is named after the smallest document of its classes
+    least = classes.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("component"))
+    classes = classes.join(least, "label", "left").withColumn("component", F.coalesce("component", "doc"))
     # Single documents that no link moves need no row here.
-    classes = cut(classes.filter("members > 1 OR component <> rep").select("set_a", "set_b", "n", "component"))
+    classes = cut(classes.filter("members > 1 OR component <> doc").select("set_a", "set_b", "n", "component"))
     discard(labels, reps)
-    out = p.select("id", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"], "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    out = p.select("doc", "own", "n", "set_a", "set_b").join(classes, ["set_a", "set_b", "n"], "left")
+    component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.coalesce("component", "doc")).otherwise(F.col("doc"))
+    return out.select("doc", "own", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(False)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
+    """Per row: id, n_shingles, component_id, kept: see judged()."""
+    return judged(docs, id_col, text_col, words, percent, heavy).select(F.col("doc").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, of which one stays for each component. Rows of null id stay."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti").select(*docs.columns)
+    """The rows of docs, all columns, of which the smallest id of each component stays. Rows that repeat both that id and its text stay. Rows of null id stay."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
+    rows, id_, text = docs.toDF(*inner), F.col(inner[docs.columns.index(id_col)]), F.col(inner[docs.columns.index(text_col)])
+    gone = judged(docs, id_col, text_col, words, percent).filter("NOT kept AND doc IS NOT NULL").select("doc", "own").distinct()
+    return rows.join(gone, (id_.cast("long") == F.col("doc")) & (F.xxhash64(text) == F.col("own")), "left_anti").toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
