@@ -11,7 +11,7 @@ from ridgeline.llm import bpe, common, exact_dedup, langid, mixing, near_dedup
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and no others: the predicted language and its score reject nothing."""
+    """Drops documents whose language the network can't tell: those without a letter, and those of a score under langid.LEAST_SCORE."""
     return langid.drop_unknown(docs)
 
 
