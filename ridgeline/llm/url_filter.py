@@ -18,8 +18,16 @@ _BAD_PATHS = "/click?id=1 /buy-now /win/prize.html /ads/banner /casino/spin /xxx
 _GOOD_PATHS = "/contact /catalogue/books /images/photo.jpg /guide/chapter-two /article/2020/05/title /docs/index.html /about /wiki/page".split()
 
 
+def neutral(n: int = 400, seed: int = 10) -> list[str]:
+    """Host words without meaning, made of syllables by a rule: what a model has never seen is no reason to block."""
+    rng = np.random.default_rng(seed)
+    start, vowel, end = "b c d f g h j k l m n p r s t v w br ch cl dr fl gr pl pr sh sp st th tr".split(), "a e i o u ea ou".split(), ["", "", "n", "r", "s", "t", "ng", "nd", "st"]
+    pick = lambda x: x[rng.integers(len(x))]
+    return ["".join(pick(start) + pick(vowel) + pick(end) for _ in range(rng.integers(1, 4))) for _ in range(n)]
+
+
 def labelled() -> list[tuple[str, int]]:
-    """URLs and whether they are to be blocked (1): a few hundred rows, made up for this module."""
+    """URLs and whether they are to be blocked (1): some hundred rows, made up for this module."""
     out = []
     for label, hosts, paths in ((1, _BAD, _BAD_PATHS), (0, _GOOD, _GOOD_PATHS)):
         for i, host in enumerate(hosts):
@@ -27,7 +35,8 @@ def labelled() -> list[tuple[str, int]]:
                 # Half of the rows cross a host with paths of the other kind: hosts tell more than paths.
                 path = path if (i + j) % 2 else (_GOOD_PATHS + _BAD_PATHS)[(i * 5 + j) % 16] if label else path
                 out.append((f"http://{host}.example.{('com', 'net', 'org')[(i + j) % 3]}{path}", label))
-    return out
+    plain = [*_GOOD_PATHS, "", "/", "/1", "/a/12", "/b/345/", "/page/6.html"]
+    return out + [(f"http://{host}.example.{('com', 'net', 'org')[i % 3]}{plain[i % len(plain)]}", 0) for i, host in enumerate(neutral())]
 
 
 def grams(keys: list[bytes], bits: int = BITS, widths=GRAMS) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +75,16 @@ def parts(url: str) -> tuple[str, str]:
 
 
 def train(rows: list[tuple[str, int]], bits: int = BITS, rounds: int = 300, rate: float = 8.0, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient descent on the labelled rows; features are shares of the key's n-grams."""
+    """Weights and bias by full-batch gradient descent on the labelled rows, both labels of equal weight in all; features are shares of the key's n-grams."""
     y = np.array([label for _, label in rows], float)
+    counts = np.bincount(y.astype(int), minlength=2)
+    each = np.where(y == 1, 1 / max(1, counts[1]), 1 / max(1, counts[0])) / 2
     slots, of = grams([key(*(p.encode() for p in parts(u))) for u, _ in rows], bits)
     share = 1.0 / np.sqrt(np.maximum(np.bincount(of, minlength=len(rows)), 1))[of]
     w, b = np.zeros(1 << bits), 0.0
     for _ in range(rounds):
         z = np.bincount(of, w[slots] * share, len(rows)) + b
-        g = (1 / (1 + np.exp(-z)) - y) / len(rows)
+        g = (1 / (1 + np.exp(-z)) - y) * each
         w -= rate * (np.bincount(slots, g[of] * share, 1 << bits) + ridge * w)
         b -= rate * g.sum()
     return w, b

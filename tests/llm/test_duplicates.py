@@ -63,21 +63,25 @@ def corpus(seed=0):
     return [(int(i), t) for i, t in zip(order, rows)]
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_against_brute_force(spark, k):
+@pytest.mark.parametrize("k, heavy", [(2, near_dedup.HEAVY), (5, 1)])
+def test_near_duplicates_against_brute_force(spark, k, heavy):
     rows = corpus(k)
     df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, component_id long").repartition(6)
     want = brute_components(rows, k)
-    got = near_dedup.near_duplicates(df, words=k).collect()
+    got = near_dedup.near_duplicates(df, words=k, heavy=heavy).collect()
     assert len(got) == len(rows)
     for r in got:
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.component_id == r.doc_id)
 
 
 def test_near_duplicates_edges(spark):
-    df = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "q r s"), (None, None)], "doc_id long, text string")
+    # an id that repeats with another text: each row is a document
+    rows = [(None, "a b c"), (1, "a b c"), (1, "a b c"), (2, "q r s"), (None, None), (3, "q  R s"), (3, "k l m n")]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, __id string, doc int")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect()), key=repr)
-    assert got == sorted([(None, None, False), (None, None, False), (1, 1, True), (1, 1, True), (2, 2, True)], key=repr)
+    assert got == sorted([(None, None, False), (None, None, False), (1, 1, True), (1, 1, True), (2, 2, True), (3, 2, False), (3, 3, True)], key=repr)
+    left = near_dedup.drop_near_duplicates(df)
+    assert left.columns == df.columns and sorted((r[:2] for r in left.collect()), key=repr) == sorted((r for r in rows if r != (3, "q  R s")), key=repr)
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0 and near_dedup.drop_near_duplicates(df.limit(0)).count() == 0
 
 
@@ -175,7 +179,8 @@ def test_passages_with_an_edit_in_the_middle_are_found(kind, n):
         a, b = np.concatenate([new(150), one, new(150)]), np.concatenate([new(90), two, new(150)])
         (ka, at), (kb, rat) = substring.posts(a), substring.posts(b)
         _, i, j = np.intersect1d(ka, kb, return_indices=True)
-        (p,) = substring.passages(a, b, at[i], rat[j])
+        keep = substring.interval_join(at[i])
+        (p,) = substring.passages(a, b, at[i][keep] >> 16, rat[j][keep] >> 16)
         assert p[:4] == (150, 150 + n, 90, 90 + len(two)) and p[4] >= 0.8
 
 
