@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,6 +47,14 @@ class Poisson:
     def start(self, y: Column, mean: float) -> Column:
         return F.ln((y + F.lit(mean)) / 2)
 
+    def arrays(self, y: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight, step of the working response and log-likelihood (but for terms of y alone) in NumPy; y may be a mean of outcomes that share eta."""
+        mu = np.exp(eta)
+        return mu, y / mu - 1, y * eta - mu
+
+    def first(self, y: np.ndarray, mean: float) -> np.ndarray:
+        return np.log((y + mean) / 2)
+
     def mean(self, eta: Column) -> Column:
         return F.exp(eta)
 
@@ -75,6 +84,13 @@ class Logit:
     def start(self, y: Column, mean: float) -> Column:
         return F.lit(0.0)
 
+    def arrays(self, y: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        top = np.logaddexp(0, eta)
+        return np.exp(eta - 2 * top), y * (1 + np.exp(-eta)) - (1 - y) * (1 + np.exp(eta)), y * eta - top
+
+    def first(self, y: np.ndarray, mean: float) -> np.ndarray:
+        return np.zeros(len(y))
+
     def mean(self, eta: Column) -> Column:
         return F.exp(-softplus(-eta))
 
@@ -97,6 +113,10 @@ class Logit:
 class Probit(Logit):
     name = "probit"
 
+    def arrays(self, y: np.ndarray, eta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        up, down, f = sp.log_norm_cdf(eta), sp.log_norm_cdf(-eta), -0.5 * eta * eta - 0.5 * math.log(2 * math.pi)
+        return np.exp(2 * f - up - down), y * np.exp(down - f) - (1 - y) * np.exp(up - f), y * up + (1 - y) * down
+
     def mean(self, eta: Column) -> Column:
         return cdf(eta)
 

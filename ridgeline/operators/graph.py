@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ridgeline.plans.cache import cut
+from ridgeline.plans.cache import cut, discard
 from ridgeline.sources import source
 
 MOST_PAIRS, MOST_SMALL = 20_000_000, 500_000
@@ -26,17 +26,38 @@ def present(df: DataFrame, name: str):
     return c.isNotNull() & ~F.isnan(c) if dict(df.dtypes)[name] in ("double", "float") else c.isNotNull()
 
 
-def label_pairs(pairs: DataFrame) -> DataFrame:
+def small_labels(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Levels of a and the smallest level that each reaches, if there are few pairs."""
+    few = pairs.select("a", "b").limit(most + 1).toArrow().to_pandas()
+    if len(few) > most:
+        return None
+    (a, a_names), (b, b_names) = (_codes(few[c]) for c in ("a", "b"))
+    return a_names, a_names[min_labels(a, b, len(a_names), len(b_names))]
+
+
+def named(pairs: DataFrame, names: np.ndarray, labels: np.ndarray) -> DataFrame:
+    kind = pairs.schema["a"].dataType
+    return pairs.sparkSession.createDataFrame(list(zip(names.tolist(), labels.tolist(), strict=True)), StructType([StructField("a", kind), StructField("component", kind)]))
+
+
+def counted_components(pairs: DataFrame, most: int = MOST_SMALL) -> tuple[int, DataFrame]:
+    """How many components pairs make, and the pairs with theirs: a plan while they are few, a table otherwise."""
+    few = small_labels(pairs, most)
+    if few is not None:
+        return len(np.unique(few[1])), pairs.join(named(pairs, *few), "a")
+    labelled = cut(label_pairs(pairs, 0))
+    return labelled.select("component").distinct().count(), labelled
+
+
+def label_pairs(pairs: DataFrame, most: int = MOST_SMALL) -> DataFrame:
     """Adds component to pairs: the smallest level of a that the pair's levels reach.
 
-    Up to MOST_SMALL pairs are labelled on the driver. With more, labels pass from a to b and back by the minimum, and each label of a then takes the label that its own label has, which
+    Up to `most` pairs are labelled on the driver. With more, labels pass from a to b and back by the minimum, and each label of a then takes the label that its own label has, which
     shortens paths by half each round. Each round is an aggregation on each side; hubs are summed before they are sent.
     """
-    few = pairs.select("a", "b").limit(MOST_SMALL + 1).toPandas()
-    if len(few) <= MOST_SMALL:
-        (a, a_names), (b, b_names) = (_codes(few[c]) for c in ("a", "b"))
-        names = pairs.sparkSession.createDataFrame([(x, y) for x, y in zip(a_names.tolist(), a_names[min_labels(a, b, len(a_names), len(b_names))].tolist(), strict=True)], StructType([StructField("a", pairs.schema["a"].dataType), StructField("component", pairs.schema["a"].dataType)]))
-        return pairs.join(names, "a")
+    few = small_labels(pairs, most)
+    if few is not None:
+        return pairs.join(named(pairs, *few), "a")
     labels = cut(pairs.select("a").distinct().withColumn("label", F.col("a")))
     while True:
         over = pairs.join(labels, "a").groupBy("b").agg(F.min("label").alias("m"))
@@ -65,16 +86,21 @@ def min_labels(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
 
 
 def peel(pairs: DataFrame, degrees: tuple[int, int]) -> DataFrame:
-    """The largest set of pairs in which each a has degrees[0] distinct partners, and each b degrees[1]; a round removes all that fall short."""
+    """The largest set of pairs in which each a has degrees[0] distinct partners, and each b degrees[1]. A round is one job: it takes out the levels that fall
+    short on either side, writes what is left, and is the last if that is all. Degrees are summed before they are sent, so that a hub is no burden."""
+    left, n = pairs, None
     while True:
-        short = [(side, pairs.groupBy(side).agg(F.count("*").alias("d")).filter(F.col("d") < k).select(side)) for side, k in zip(("a", "b"), degrees, strict=True) if k > 1]
-        kept = pairs
-        for side, df in short:
-            kept = kept.join(df, side, "left_anti")
-        kept = cut(kept)
-        if kept.count() == pairs.count():
-            return pairs
-        pairs = kept
+        now = left
+        for side, k in zip(("a", "b"), degrees, strict=True):
+            if k > 1:
+                now = now.join(left.groupBy(F.col(side).alias("short")).agg(F.count("*").alias("d")).filter(F.col("d") < k).select(F.col("short").alias(side)), side, "left_anti")
+        now = cut(now.select(*pairs.columns))
+        before, n = (left.count() if n is None else n), now.count()  # counts of tables come from their footers
+        if left is not pairs:
+            discard(left)
+        left = now
+        if n == before:
+            return left
 
 
 def cut_vertices(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
@@ -123,13 +149,23 @@ def largest_component(pairs: DataFrame, by: str = "n") -> DataFrame:
     return labelled.join(first, "component", "left_semi").select("a", "b", "n")
 
 
-def ranked(labelled: DataFrame, by: str = "n") -> DataFrame:
-    """component, n, a_levels, b_levels, rank: one row for each component."""
+def numbered_by(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds the row's place, from 1, in an order over all rows: rows are dealt by ranges, numbered in each, and each range adds those before it."""
     from pyspark.sql import Window
 
+    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__i").alias("__f"))  # a row for each range
+    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__p", "__f", before.alias("__b"))
+    # row numbers within a partition follow each other, in its order
+    return dealt.join(starts, "__p").select(*df.columns, (F.col("__i") - F.col("__f") + F.col("__b") + 1).cast("int").alias(name))
+
+
+def ranked(labelled: DataFrame, by: str = "n") -> DataFrame:
+    """component, n, a_levels, b_levels, rank: one row for each component."""
     size = labelled.groupBy("component").agg(F.sum("n").alias("n"), F.countDistinct("a").alias("a_levels"), F.countDistinct("b").alias("b_levels"))
     key = {"n": "n", "a": "a_levels", "b": "b_levels"}[by]
-    return size.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(key), "component")))
+    return numbered_by(size, [F.desc(key), F.col("component")], "rank")
 
 
 def leave_one_out_pairs(pairs: DataFrame) -> DataFrame:

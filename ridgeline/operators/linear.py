@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from ridgeline.functions import formula as fo
 from ridgeline.operators import graph
 from ridgeline.operators.results import FitResult, MultiFit, vcov_key
-from ridgeline.plans.absorb import Absorber, gram
-from ridgeline.plans.cache import cut
+from ridgeline.plans.absorb import Absorber, gram, uploaded
+from ridgeline.plans.cache import Run, cut, discard
 from ridgeline.plans.sample import restrict, usable
 from ridgeline.sources import source, with_row_id
 
@@ -43,13 +43,13 @@ class Panel:
     gone: DataFrame | None = None  # cells of levels that the sample's restriction took out, with the reason
     keep: tuple[str, ...] = ()
     labels: dict = field(default_factory=dict)
+    run: Run = field(default_factory=lambda: Run.open[-1] if Run.open else Run())  # to which tables of later requests belong
 
     def components(self, a: int, b: int) -> tuple[int, DataFrame]:
         """How many components two dimensions' levels make, and the pairs with theirs; kept."""
         if (a, b) not in self.labels:
             pairs = cut(self.rows.groupBy(F.col(self.dims[a]).alias("a"), F.col(self.dims[b]).alias("b")).agg(F.count("*").alias("n")))
-            labelled = cut(graph.label_pairs(pairs))
-            self.labels[a, b] = labelled.select("component").distinct().count(), labelled
+            self.labels[a, b] = graph.counted_components(pairs)
         return self.labels[a, b]
 
     def keys(self, i: int) -> list:
@@ -97,10 +97,12 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
     values = [f"v{i}" for i in range(len(names))] + slopes + (["w"] if weights is not None else []) + list(extra or {})
     coded = coded.withColumn("ok", usable(coded, dims + [f"c_{c}" for c in clusters], values))
     rows = cut(coded.filter("ok").drop("ok"))
-    if not rows.limit(1).count():
+    first = rows.agg(F.count("*"), F.min("w") if weights is not None else F.lit(1.0), *[F.approx_count_distinct(d) for d in dims if len(fe) > 1]).first()
+    if not first[0]:
         raise ValueError("no complete rows")
-    if weights is not None and rows.agg(F.min("w")).first()[0] <= 0:
+    if first[1] <= 0:
         raise ValueError("weights must be positive")
+    sizes = first[2:]
     # the dimension with most levels is taken out by groups
     if len(fe) > 1:
         if stream:
@@ -108,8 +110,7 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
         elif sloped:
             first = fe.index(sloped[0])
         else:
-            n = rows.agg(*[F.approx_count_distinct(d).alias(d) for d in dims]).first()
-            first = max(range(len(dims)), key=lambda i: (n[i], -i))
+            first = max(range(len(dims)), key=lambda i: (sizes[i], -i))
         order = [first, *(i for i in range(len(fe)) if i != first)]
         # level columns are renamed so that f0 is that dimension
         new = {f"f{o}": f"f{k}" for k, o in enumerate(order)}
@@ -119,7 +120,8 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
         how["connected_fe"] = tuple(order.index(i) for i in (pair or (0, 1)))
     rows, lost, gone = restrict(rows, dims, **how)
     if lost and any(lost.values()):
-        rows = cut(rows)
+        whole, rows = rows, cut(rows)
+        discard(whole)
     stats = rows.agg(F.count("*"), F.sum("w") if weights is not None else F.lit(0.0), *[F.avg(v) for v in values]).first()
     if not stats[0]:
         raise ValueError("no rows are left after singletons and components are taken out")
@@ -146,9 +148,9 @@ def fe_parameters(p: Panel, rule: str = "exact") -> tuple[int, list[int], list[l
 def nested(p: Panel, cluster: str) -> list[bool]:
     """For each dimension, whether each of its levels lies in one cluster."""
     out = []
-    for d in p.dims:
+    for d, f in zip(p.dims, p.fe, strict=True):
         c = f"c_{cluster}"
-        out.append(not p.rows.groupBy(d).agg(F.min(c).alias("a"), F.max(c).alias("b")).filter("a <> b").limit(1).count())
+        out.append(f.name == cluster or not p.rows.groupBy(d).agg(F.min(c).alias("a"), F.max(c).alias("b")).filter("a <> b").limit(1).count())
     return out
 
 
@@ -308,20 +310,14 @@ def fit_linear(p: Panel, d: fo.Design, within: tuple, vcov, clusters, rule: str,
     h = {}
     for i, n in enumerate(x):
         h[f"h{i}"] = sum((F.lit(float(pi[j, i])) * F.col(u[m]) for j, m in enumerate(inst)), F.lit(0.0)) if en else F.col(u[n])
-    scored = cut(rows.withColumns({"e": e, **h}))
+    scored = rows.withColumns({"e": e, **h})  # rows are a table: what each variance needs of them is read from it
     w = F.col(p.weights) if p.weights else F.lit(1.0)
     mean = sum_y / weight
     extra = [F.sum(w * F.col("e") ** 2), F.sum(w * (F.col(p.variables[y]) - mean) ** 2), F.sum(F.ln(w))]
     rss, ssy, log_w = scored.agg(*extra).first()
     meats = Meats(p, scored, list(h), "e", bread, len(x), rss, rule)
     default = vcov if vcov is not None else "iid"
-    kinds = list(dict.fromkeys([*("iid", "hetero"), *([] if isinstance(default, dict) else [default])]))
-    vcovs, dfs = {}, {}
-    for kind in [*kinds, *([default] if isinstance(default, dict) else []), *[{"CRV1": c} for c in clusters]]:
-        if x:
-            vcovs[vcov_key(kind)], dfs[vcov_key(kind)] = meats.make(kind)
-        else:
-            vcovs[vcov_key(kind)], dfs[vcov_key(kind)] = np.empty((0, 0)), p.n_obs - meats.k_fe
+    vcovs, dfs = lazy_variances(meats, len(x))
     n, k_fe = p.n_obs, meats.k_fe
     stats = {"rss": rss, "k_fe": k_fe, "n_rows": p.n}
     if not en:
@@ -333,8 +329,9 @@ def fit_linear(p: Panel, d: fo.Design, within: tuple, vcov, clusters, rule: str,
         if p.dims:
             stats["r2_within"] = 1 - rss / tss_within if tss_within > 0 else math.nan
     fit = FitResult(y, x, beta, vcovs, dfs, vcov_key(default), n, stats, [f.name for f in p.fe], {}, dropped, "gaussian", text)
-    fit.parts |= {"rows": scored, "panel": p, "make_vcov": meats.make, "meats": meats, "design": d, "u": u, "absorber": absorber, "effects": effects, "gram": a, "pos": pos, "inst": inst, "pi": pi, "exog": keep, "endog": en}
+    fit.parts |= {"within": rows, "rows": scored, "panel": p, "make_vcov": meats.make, "meats": meats, "design": d, "u": u, "absorber": absorber, "effects": effects, "gram": a, "pos": pos, "inst": inst, "pi": pi, "exog": keep, "endog": en}
     attach(fit, p, d, absorber, effects)
+    _ = fit.vcov
     if en:
         from ridgeline.operators.iv import diagnostics, first_stages
 
@@ -343,6 +340,28 @@ def fit_linear(p: Panel, d: fo.Design, within: tuple, vcov, clusters, rule: str,
     return fit
 
 
+class Lazy(dict):
+    """Values by key, made when they are first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+
+def lazy_variances(meats: Meats, k: int) -> tuple[Lazy, Lazy]:
+    """Variances and their degrees of freedom by vcov_key: a job each, run when it is asked for."""
+    def make(key):
+        with meats.p.run:
+            return meats.make(key) if k else (np.empty((0, 0)), meats.p.n_obs - meats.k_fe)
+
+    both = Lazy(make)
+    return Lazy(lambda key: both[key][0]), Lazy(lambda key: both[key][1])
+
+
 def group_slopes(rows: DataFrame, dim: str, value: str, slopes: list[str], w) -> DataFrame:
     """level, c0.. : of each level, the regression of value on an intercept and the slopes; sums first, solved where they lie."""
     names = ["__one", *slopes]
@@ -381,7 +400,7 @@ def attach(fit: FitResult, p: Panel, d: fo.Design, absorber, effects, y: str | N
         for k, dim in enumerate(p.dims[1:], 1):
             levels, g = effects.tables[dim]
             own = g[:, names.index(fit.outcome)] - sum((b * g[:, names.index(n)] for b, n in zip(fit.beta, fit.names, strict=True)), np.zeros(len(levels)))
-            t = rows.sparkSession.createDataFrame(pd.DataFrame({"__l": levels, f"fe_{dim}": own}))
+            t = uploaded(rows.sparkSession, {"__l": levels, f"fe_{dim}": own})
             rows = rows.join(t, F.col(dim) == F.col("__l")).drop("__l")
             mean = F.sum(w * F.col(f"fe_{dim}")) / F.sum(w)
             if k == 1 and p.components(0, 1)[0] > 1:
@@ -454,7 +473,12 @@ def attach(fit: FitResult, p: Panel, d: fo.Design, absorber, effects, y: str | N
 
 def feols(fml: str, data, vcov=None, cluster=None, fe_dof: str = "exact", weights=None, weights_type: str = "aweights", stream: str | None = None, connected: str | None = None, connected_fe: tuple[int, int] | None = None, min_degree=None, fixef_rm: str = "singleton", tol: float = 1e-10, bootcluster: str | None = None, keep: tuple[str, ...] = ()) -> FitResult | MultiFit:
     """Linear models of a formula; instruments by ``| endogenous ~ instruments``. See README for the options."""
-    df = source(data)
+    run = Run()
+    with run:
+        return _feols(run, fml, source(data), vcov, cluster, fe_dof, weights, weights_type, stream, connected, connected_fe, min_degree, fixef_rm, tol, bootcluster, keep)
+
+
+def _feols(run: Run, fml, df, vcov, cluster, fe_dof, weights, weights_type, stream, connected, connected_fe, min_degree, fixef_rm, tol, bootcluster, keep) -> FitResult | MultiFit:
     df = df if "row_id" in df.columns else with_row_id(df)
     if vcov is None and cluster:
         vcov = {"CRV1": cluster if isinstance(cluster, str) else "+".join(cluster)}
@@ -473,6 +497,6 @@ def feols(fml: str, data, vcov=None, cluster=None, fe_dof: str = "exact", weight
         within = within_rows(p, tol)
         for i in own:
             fits[i] = fit_linear(p, designs[i], within, vcov, [bootcluster] if bootcluster else [], fe_dof, fml)
-            fits[i].parts["source"] = df
+            fits[i].parts |= {"source": df, "run": run}
     out = [fits[i] for i in range(len(models))]
     return out[0] if len(out) == 1 else MultiFit(out)

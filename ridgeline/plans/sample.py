@@ -26,17 +26,17 @@ def semi(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_singletons(cells: DataFrame, dims: list[str]) -> DataFrame:
-    """Cells (dims, n) without levels of one row, of any dimension, until none is left."""
-    clean, i = 0, 0
-    while clean < len(dims):
-        d = dims[i % len(dims)]
-        lone = cut(cells.groupBy(d).agg(F.sum("n").alias("r")).filter("r = 1").select(d))
-        if lone.limit(1).count():
-            cells, clean = cut(cells.join(lone, d, "left_anti")), 1
-        else:
-            clean += 1
-        i += 1
-    return cells
+    """Cells (dims, n) without levels of one row, of any dimension, until none is left. A round looks at all dimensions in one job."""
+    while True:
+        lone = {d: cells.groupBy(F.col(d).alias("lone")).agg(F.sum("n").alias("r")).filter("r = 1").select("lone") for d in dims}
+        found = reduce(DataFrame.unionAll, [t.groupBy(F.lit(d).alias("d")).agg(F.count("*").alias("c")) for d, t in lone.items()]).collect()
+        if not found:
+            return cells
+        for d in {r["d"] for r in found}:
+            cells = cells.join(lone[d].select(F.col("lone").alias(d)), d, "left_anti")
+        cells = cut(cells)
+        if len(dims) == 1:
+            return cells
 
 
 def separated(rows: DataFrame, dims: list[str], y: str, family: str) -> tuple[DataFrame, DataFrame | None]:
