@@ -140,6 +140,10 @@ def f_sf(f: float, d1: float, d2: float) -> float:
     return chi2_sf(f * d1, d1) if math.isinf(d2) else beta_i(d2 / 2, d1 / 2, d2 / (d2 + d1 * f))
 
 
+def f_ppf(p: float, d1: float, d2: float) -> float:
+    return solve_monotone(lambda x: 1 - f_sf(x, d1, d2) if x > 0 else 0.0, p, 0.0, 10.0)
+
+
 def ncx2_cdf(x: float, k: float, nc: float) -> float:
     """Noncentral chi-square CDF as a Poisson mixture of central ones, summed about its largest weight."""
     mid = int(nc / 2)

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.plans.ranges import numbered_by
 from ridgeline.sources import source
 
 log = logging.getLogger("ridgeline")
@@ -88,17 +89,15 @@ def wild_cluster(fit, param: str, cluster: str | None, reps: int, kind: str, nul
 def resample_groups(data, unit: str, draw: int, cluster: str | None = None, seed: int = 1, id_name: str = "unit_id") -> DataFrame:
     """A bootstrap draw of whole clusters (or units) with replacement: all rows of those drawn, as often as drawn, under new unit ids.
 
-    How often a cluster is drawn is multinomial; here it is read from a hash of seed, draw and a slot number over the clusters' ranks,
+    How often a cluster is drawn is multinomial; here it is read from the SHA-256 of seed, draw and a slot number over the clusters' ranks,
     so that nothing but (slot, rank) pairs is joined and a rerun gives the same draw.
     """
-    from pyspark.sql import Window
-
     df = source(data)
     c = cluster or unit
-    groups = df.select(F.col(c).alias("__c")).distinct()
-    ranked = groups.withColumn("__r", F.row_number().over(Window.orderBy("__c")) - 1)  # a row for each cluster
+    ranked = numbered_by(df.select(F.col(c).alias("__c")).filter(F.col(c).isNotNull()).distinct(), [F.col("__c")], "__n").select("__c", (F.col("__n") - 1).cast("long").alias("__r"))
     n = ranked.count()
-    slots = df.sparkSession.range(n).select(F.col("id").alias("__slot"), F.pmod(F.xxhash64(F.col("id"), F.lit(draw), F.lit(seed)), F.lit(n)).alias("__r"))
+    digits = F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.lit(draw), F.col("id")), 256), 1, 13)
+    slots = df.sparkSession.range(n).select(F.col("id").alias("__slot"), (F.conv(digits, 16, 10).cast("long") % n).alias("__r"))
     drawn = slots.join(ranked, "__r").select("__slot", "__c")
     return df.join(drawn, F.col(c) == F.col("__c")).withColumn(id_name, F.concat_ws("#", F.col("__slot").cast("string"), F.col(unit).cast("string"))).drop("__c", "__slot")
 

@@ -259,22 +259,54 @@ def feglm(fml: str, data, family: str = "logit", **options) -> FitResult | Multi
     return _estimate(fml, data, family, **options)
 
 
-def bias_corrected(fit: FitResult) -> dict:
-    """Coefficients of a binary model less their incidental-parameter bias (analytic, static regressors): one half for each fixed effect of the
-    sum over its levels of sum(x~ * w2) / sum(w), where w2 is the derivative of the working weights times the deviation of the link."""
+def bias_corrected(fit: FitResult, time: str | None = None, lags: int = 0, refit: bool = False) -> dict:
+    """Coefficients of a binary model less their incidental-parameter bias (analytic): one half for each fixed effect of the
+    sum over its levels of sum(x~ * w2) / sum(w), where w2 is the derivative of the working weights times the deviation of the link.
+
+    With lags, for regressors that answer to past outcomes: time names the fixed effect of the period, and the other one, the unit, adds the products of a row's
+    weighted regressors with the scores of up to `lags` rows before it in its unit, scaled by T / (T - lag). refit: estimates the fixed effects again with
+    the corrected coefficients held; that fit is returned, too."""
     p, s, fam = fit.parts["panel"], fit.parts["irls"], fit.parts["family"]
-    if fam.name == "poisson" or not p.dims:
-        raise ValueError("the correction is for logit and probit with fixed effects")
-    eta = F.col("eta_old")
-    w = fit.parts["weight"]
-    if fam.name == "logit":
-        mu = fam.mean(eta)
-        second = w * mu * (1 - mu) * (1 - 2 * mu)
-    else:
-        second = -F.col("ww") * eta
-    out = np.zeros(len(fit.names))
+    if fam.name == "poisson" or len(p.dims) not in (1, 2):
+        raise ValueError("the correction is for logit and probit with one or two fixed effects")
+    names = [f.name for f in p.fe]
+    if lags and (len(p.dims) != 2 or time not in names or len(p.fe[names.index(time)].keys) != 1):
+        raise ValueError("lags need two fixed effects, of which time names the period, one column")
+    with fit.parts["run"]:
+        return _bias(fit, p, s, fam, names, time, lags, refit)
+
+
+def _bias(fit: FitResult, p: Panel, s: dict, fam, names: list[str], time, lags: int, refit: bool) -> dict:
+    eta, w, k = F.col("eta_old"), fit.parts["weight"], len(fit.names)
+    mu = fam.mean(eta)
+    second = w * mu * (1 - mu) * (1 - 2 * mu) if fam.name == "logit" else -F.col("ww") * eta
+    total = np.zeros(k)
     for d in p.dims:
         sums = s["out"].groupBy(d).agg(F.sum("ww").alias("w"), *[F.sum(second * F.col(f"u{j}")).alias(f"b{i}") for i, j in enumerate(s["at"])])
-        out += np.array(sums.agg(*[F.sum(F.col(f"b{i}") / F.col("w")) for i in range(len(fit.names))]).first(), float)
-    bias = -0.5 * fit.parts["bread"] @ out
-    return {"estimate": dict(zip(fit.names, (fit.beta - bias).tolist(), strict=True)), "bias": dict(zip(fit.names, bias.tolist(), strict=True))}
+        total += 0.5 * np.array(sums.agg(*[F.sum(F.col(f"b{i}") / F.col("w")) for i in range(k)]).first(), float)
+    if lags:
+        from pyspark.sql import Window
+
+        unit, period = (p.dims[i] for i in ((1 - names.index(time)), names.index(time)))
+        score = w * (F.col(p.variables[fit.outcome]) - mu)
+        if fam.name == "probit":  # the density over the variance: weight times step, over the distance of outcome and mean
+            score = F.col("ww") * fam.step(F.col(p.variables[fit.outcome]), eta)
+        order = Window.partitionBy(unit).orderBy(period)
+        rows = s["out"].withColumn("score", score)
+        rows = rows.withColumns({f"l{n}": F.lag("score", n).over(order) for n in range(1, lags + 1)})
+        t = F.count("*")
+        term = lambda j: sum((F.when(t > n, F.coalesce(F.sum(F.col("ww") * F.col(f"u{j}") * F.col(f"l{n}")), F.lit(0.0)) * t / (t - n)).otherwise(0.0) for n in range(1, lags + 1)), F.lit(0.0))
+        own = rows.groupBy(unit).agg(F.sum("ww").alias("w"), *[term(j).alias(f"b{i}") for i, j in enumerate(s["at"])])
+        total += np.array(own.agg(*[F.sum(F.col(f"b{i}") / F.col("w")) for i in range(k)]).first(), float)
+    bias = -fit.parts["bread"] @ total
+    corrected = dict(zip(fit.names, (fit.beta - bias).tolist(), strict=True))
+    out = {"estimate": corrected, "bias": dict(zip(fit.names, bias.tolist(), strict=True)), "time": time, "lags": lags}
+    if refit:
+        held = irls(p, fit.outcome, [], fam, w, 1e-8, 25, 1e-10, corrected)
+        again = FitResult(fit.outcome, [], np.empty(0), {fit.vcov_type: np.empty((0, 0))}, {fit.vcov_type: fit.df}, fit.vcov_type, fit.n_obs, {"deviance": held["deviance"], "loglik": held["loglik"], "converged": held["converged"]}, fit.fe, {}, [], fit.family, fit.formula)
+        again.parts |= {"rows": held["out"], "panel": p, "run": fit.parts["run"], "irls": held, "family": fam, "source": fit.parts["source"]}
+        view = Panel(**p.__dict__)
+        view.variables, view.weights = {fit.outcome: p.variables[fit.outcome]}, None
+        attach(again, view, fit.parts["design"], held["absorber"], held["effects"], y="z")
+        out["refit"] = again
+    return out

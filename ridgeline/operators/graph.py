@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from ridgeline.plans.cache import cut, discard
+from ridgeline.plans.ranges import numbered_by
 from ridgeline.sources import source
 
 MOST_PAIRS, MOST_SMALL = 20_000_000, 500_000
@@ -149,18 +150,6 @@ def largest_component(pairs: DataFrame, by: str = "n") -> DataFrame:
     return labelled.join(first, "component", "left_semi").select("a", "b", "n")
 
 
-def numbered_by(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds the row's place, from 1, in an order over all rows: rows are dealt by ranges, numbered in each, and each range adds those before it."""
-    from pyspark.sql import Window
-
-    dealt = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
-    sizes = dealt.groupBy("__p").agg(F.count("*").alias("__c"), F.min("__i").alias("__f"))  # a row for each range
-    before = F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__p", "__f", before.alias("__b"))
-    # row numbers within a partition follow each other, in its order
-    return dealt.join(starts, "__p").select(*df.columns, (F.col("__i") - F.col("__f") + F.col("__b") + 1).cast("int").alias(name))
-
-
 def ranked(labelled: DataFrame, by: str = "n") -> DataFrame:
     """component, n, a_levels, b_levels, rank: one row for each component."""
     size = labelled.groupBy("component").agg(F.sum("n").alias("n"), F.countDistinct("a").alias("a_levels"), F.countDistinct("b").alias("b_levels"))

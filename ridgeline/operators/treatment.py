@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.plans.absorb import gram
+from ridgeline.plans.ranges import running_sum
 from ridgeline.sources import source
 
 
@@ -52,8 +53,7 @@ def weighted_balance(data, group: str, terms: list[str], weight: str | None = No
     out = out.withColumns({"smd": smd, "var_ratio": ratio})
     if ecdf:
         steps = long.join(F.broadcast(means.select("term", "w1", "w0")), "term").groupBy("term", "x").agg(F.sum(F.when(F.col("t"), w / F.col("w1")).otherwise(-w / F.col("w0"))).alias("step"))
-        run = F.abs(F.sum("step").over(Window.partitionBy("term").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-        gaps = steps.withColumn("g", run).groupBy("term").agg(F.avg("g").alias("ga"), F.max("g").alias("gm"))
+        gaps = running_sum(steps, "term", "x", "step", "g").groupBy("term").agg(F.avg(F.abs("g")).alias("ga"), F.max(F.abs("g")).alias("gm"))
         out = out.join(gaps, "term")
     else:
         out = out.withColumns({"ga": F.lit(float("nan")), "gm": F.lit(float("nan"))})

@@ -94,7 +94,10 @@ def ipw_difference(spark, sf_dir):
     return frame(spark, [{"estimate": round(r["estimate"], 3), "n": int(r["n"])}])
 
 
-@query()
+@query("""
+WITH c AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS r FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL)), n AS (SELECT count(*) AS n FROM c),
+s AS (SELECT slot, ('0x' || substr(sha256('1:1:' || slot), 1, 13))::BIGINT % n AS r FROM n, range(0, (SELECT n FROM n)) AS t(slot))
+SELECT slot || '#' || o_custkey AS unit_id, count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM s JOIN c USING (r) JOIN orders USING (o_custkey) GROUP BY slot, o_custkey""")
 def resampling(spark, sf_dir):
     """A bootstrap draw of whole customers."""
     draw = resample_groups(table(spark, sf_dir, "orders"), "o_custkey", 1)

@@ -64,12 +64,26 @@ def fe_two_way(spark, sf_dir):
     return frame(spark, errors(fit, {"se_iid": "iid", "se_hetero": "hetero", "se_cluster": {"CRV1": "l_suppkey"}}))
 
 
-@query("SELECT l_suppkey, count(*) AS n_obs, round(sum(l_extendedprice), 2) AS sum_y, 0.0::DOUBLE AS sum_resid FROM lineitem GROUP BY l_suppkey")
+def alternating_sql(dims: list[str], rounds: int) -> str:
+    """Means of each dimension taken out of y and x in turn: what is left after enough rounds is free of all of them."""
+    steps = [f"r0 AS MATERIALIZED (SELECT l_extendedprice::DOUBLE AS y, l_quantity::DOUBLE AS x, {', '.join(dims)} FROM lineitem)"]
+    for i in range(rounds):
+        for j, d in enumerate(dims):
+            old, new = f"r{i}" if j == 0 else f"r{i}_{j}", f"r{i + 1}" if j == len(dims) - 1 else f"r{i}_{j + 1}"
+            steps.append(f"{new} AS MATERIALIZED (SELECT y - avg(y) OVER p AS y, x - avg(x) OVER p AS x, {', '.join(dims)} FROM {old} WINDOW p AS (PARTITION BY {d}))")
+    return ", ".join(steps)
+
+
+@query(f"""
+WITH {alternating_sql(["l_partkey", "l_suppkey", "l_returnflag"], 30)},
+k AS (SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) + count(DISTINCT l_returnflag) - 2 AS k FROM lineitem),
+b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS a, count(*)::DOUBLE AS n FROM r30),
+e AS (SELECT sum((y - b * x) ** 2) AS rss, sum((x * (y - b * x)) ** 2) AS meat FROM r30, b)
+SELECT 'l_quantity' AS term, round(b, 4) AS estimate, round(sqrt(rss / (n - 1 - k) / a), 4) AS se_iid, round(sqrt(n / (n - 1 - k) * meat) / a, 4) AS se_hetero FROM b, e, k""")
 def fe_three_way(spark, sf_dir):
-    """Three fixed effects: residuals add up to nothing within each level (tests hold the coefficients against dummy regressions)."""
+    """Three fixed effects, of which two are solved for."""
     fit = feols("l_extendedprice ~ l_quantity | l_partkey + l_suppkey + l_returnflag", lines(spark, sf_dir), fixef_rm="none")
-    r = fit.resid().groupBy("l_suppkey").agg(F.count("*").alias("n_obs"), F.round(F.sum("l_extendedprice"), 2).alias("sum_y"), (F.round(F.sum("resid"), 2) + F.lit(0.0)).alias("sum_resid"))
-    return r.withColumn("sum_resid", F.when(F.col("sum_resid") == 0, F.lit(0.0)).otherwise(F.col("sum_resid")))
+    return frame(spark, errors(fit, {"se_iid": "iid", "se_hetero": "hetero"}))
 
 
 SLOPES = """
@@ -205,6 +219,36 @@ def iv_exact(spark, sf_dir):
     return frame(spark, {"term": fit.names, "estimate": 1e6 * fit.beta} | se | {"first_stage_f": [round(fit.stats["first_stages"]["l_extendedprice"]["f"], 2)]})
 
 
+@query(f"""
+WITH r AS ({IV}),
+m AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT c)::DOUBLE AS g, sum(x1 * x2) AS zx, sum(x2 * x2) AS zz, sum(x2 * y) AS zy, sum(x1 * x1) AS xx, sum(x1 * y) AS xy, sum(y * y) AS yy FROM r),
+p AS (SELECT *, zx / zz AS p, xx - zx * zx / zz AS vv, n - 1 - g AS df, zy / zx AS b1 FROM m),
+s AS (SELECT sum((x1 - p * x2) ** 2 * x2 * x2) AS s, sum((y - zy / zz * x2) ** 2 * x2 * x2) AS sy FROM r, p),
+h AS (SELECT *, yy - b1 * xy - ((xy - p * zy) / vv - b1) * (xy - p * zy) AS rss_u, yy - xy * xy / xx AS rss_r FROM p)
+SELECT round(p * p * zz / (vv / df), 2) AS cragg_donald, round(p * p * zz * zz / s * df / n, 2) AS kleibergen_paap, round(p * p * zz * zz / s * df / n, 2) AS effective, round(zx * zx / (zz * xx), 8) AS partial_r2,
+       round(zy * zy / sy * df / n, 5) AS anderson_rubin, round((rss_r - rss_u) / (rss_u / (df - 1)), 5) AS endogeneity FROM h, s""")
+def iv_weak(spark, sf_dir):
+    """Weak instruments, weak-instrument-robust and endogeneity tests of an exactly identified model, robust to heteroskedasticity."""
+    t = feols("l_tax ~ 1 | l_suppkey | l_extendedprice ~ l_quantity", lines(spark, sf_dir), vcov="hetero").stats["iv"]
+    return frame(spark, [{"cragg_donald": round(t["cragg_donald_f"], 2), "kleibergen_paap": round(t["kleibergen_paap"]["wald_f"], 2), "effective": round(t["effective_f"]["statistic"], 2), "partial_r2": t["partial_r2"]["l_extendedprice"], "anderson_rubin": round(t["anderson_rubin"]["statistic"], 5), "endogeneity": round(t["endogeneity"]["statistic"], 5)}], 8)
+
+
+@query(regression_sql(within_sql("l_extendedprice", ["l_quantity"], "l_suppkey::VARCHAR || '_' || l_linestatus", "lineitem"), ["l_quantity"], {"se_iid": ("iid", "rss / (n - 1 - g)"), "se_hetero": ("hetero", "n / (n - 1 - g)")}))
+def fe_interacted(spark, sf_dir):
+    """A fixed effect of two columns together."""
+    fit = feols("l_extendedprice ~ l_quantity | l_suppkey^l_linestatus", lines(spark, sf_dir))
+    return frame(spark, errors(fit, {"se_iid": "iid", "se_hetero": "hetero"}))
+
+
+@query("""
+WITH a AS (SELECT l_quantity AS q, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1), z AS (SELECT m AS base, q AS b FROM a ORDER BY q LIMIT 1)
+SELECT CASE WHEN q = b THEN 'Intercept' ELSE 'l_quantity::' || q::INT END AS term, round(CASE WHEN q = b THEN m ELSE m - base END, 3) AS estimate FROM a, z""")
+def wide_design(spark, sf_dir):
+    """Fifty indicators: cross-products in blocks of rows."""
+    fit = feols("l_extendedprice ~ i(l_quantity)", lines(spark, sf_dir))
+    return frame(spark, {"term": fit.names, "estimate": fit.beta}, 3)
+
+
 @query("""
 WITH r AS (SELECT y - avg(y) OVER p AS y, x - avg(x) OVER p AS x, z1 - avg(z1) OVER p AS z1, z2 - avg(z2) OVER p AS z2
            FROM (SELECT l_tax::DOUBLE AS y, l_extendedprice::DOUBLE AS x, l_quantity::DOUBLE AS z1, l_discount::DOUBLE AS z2, l_suppkey AS c FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_suppkey) > 1) WINDOW p AS (PARTITION BY c)),
@@ -233,12 +277,17 @@ def wald(spark, sf_dir):
     return frame(spark, [{"statistic": round(t["statistic"], 2), "df1": t["df1"], "df2": int(t["df2"])}], 6).selectExpr("statistic", "int(df1) AS df1", "df2")
 
 
-@query()
+@query(f"""
+WITH f AS ({" UNION ALL ".join(f"SELECT '{y}' AS y, sum(x1 * y) / sum(x1 * x1) AS b, sum(x1 * x1) AS a, sum(y * y) AS yy, count(*)::DOUBLE AS n, count(DISTINCT c)::DOUBLE AS g FROM ({within_sql(y, ['l_quantity'], 'l_suppkey', 'lineitem')})" for y in ("l_tax", "l_discount"))}),
+t AS (SELECT y, n - 1 - g AS df, abs(b) / sqrt((yy - b * b * a) / (n - 1 - g) / a) AS t FROM f),
+i AS (SELECT y, any_value(t) / 4000 * sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(df + 1) / 2 * ln(1 + (t * k / 4000) ** 2 / df))) / 3 * exp(lgamma((any_value(df) + 1) / 2) - lgamma(any_value(df) / 2)) / sqrt(any_value(df) * pi()) AS half FROM t, range(0, 4001) AS r(k) GROUP BY y),
+p AS (SELECT y, 1 - 2 * half AS p, row_number() OVER (ORDER BY 1 - 2 * half) AS place FROM i)
+SELECT y || ' ~ l_quantity | l_suppkey' AS fml, round(least(1, 2 * p), 5) AS bonferroni, round(least(1, max((3 - place) * p) OVER (ORDER BY place)), 5) AS holm FROM p""")
 def multiple_testing(spark, sf_dir):
     """Bonferroni's and Holm's adjustments over outcomes."""
     fits = feols("l_tax + l_discount ~ l_quantity | l_suppkey", lines(spark, sf_dir))
     a, b = bonferroni(fits, "l_quantity"), holm(fits, "l_quantity")
-    return frame(spark, {"fml": a["fml"], "bonferroni": a["Bonferroni Pr(>|t|)"], "holm": b["Holm Pr(>|t|)"]}, 6)
+    return frame(spark, {"fml": a["fml"], "bonferroni": a["Bonferroni Pr(>|t|)"], "holm": b["Holm Pr(>|t|)"]}, 5)
 
 
 @query(f"""

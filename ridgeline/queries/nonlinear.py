@@ -34,7 +34,7 @@ SELECT '{term}' AS term, round(b, 6) AS estimate, round(sqrt(v * (n - 1) / (n -
 
 def second(spark, fit):
     """The slope of a model with an intercept."""
-    return frame(spark, {"term": fit.names[1:], "estimate": fit.beta[1:], "se_iid": np.sqrt(np.diag(fit.vcovs["iid"]))[1:]}, 6)
+    return frame(spark, {"term": fit.names[1:], "estimate": fit.beta[1:], "se_iid": np.sqrt(np.diag(fit.with_vcov("iid").vcov))[1:]}, 6)
 
 
 @query(RATIO.format(y="l_linenumber", x="l_returnflag = 'R'", value="ln((s1 / n1) / (s0 / n0))", variance="1 / s1 + 1 / s0", term="returned"))
@@ -43,6 +43,21 @@ def poisson_ratio(spark, sf_dir):
     return second(spark, fepois("l_linenumber ~ returned", lines(spark, sf_dir), iwls_tol=TIGHT))
 
 
+@query("SELECT 'Intercept' AS term, round(ln(sum(l_linenumber) / sum(l_quantity)), 6) AS estimate, round(1 / sqrt(sum(l_linenumber)), 6) AS se_iid FROM lineitem")
+def poisson_offset(spark, sf_dir):
+    """Poisson rates: an offset and an intercept."""
+    fit = fepois("l_linenumber ~ 1", lines(spark, sf_dir), offset="log(l_quantity)", iwls_tol=TIGHT)
+    return frame(spark, {"term": fit.names, "estimate": fit.beta, "se_iid": np.sqrt(np.diag(fit.vcov))}, 6)
+
+
+@query("""
+WITH a AS (SELECT l_returnflag = 'R' AS x, sum(l_quantity * l_linenumber) / sum(l_quantity) AS m, sum(l_quantity * l_linenumber) AS s FROM lineitem GROUP BY 1), w AS (SELECT avg(l_quantity) AS w, count(*)::DOUBLE AS n FROM lineitem)
+SELECT 'returned' AS term, round(ln(max(m) FILTER (x) / max(m) FILTER (NOT x)), 6) AS estimate, round(sqrt(sum(w / s) * any_value((n - 1) / (n - 2))), 6) AS se_iid FROM a, w""")
+def poisson_weighted(spark, sf_dir):
+    """Poisson with analytic weights, which count relative to their mean."""
+    return second(spark, fepois("l_linenumber ~ returned", lines(spark, sf_dir), weights="l_quantity", iwls_tol=TIGHT))
+
+
 @query(RATIO.format(y="(l_linestatus = 'O')::INT", x="l_returnflag = 'R'", value="ln(s1 / (n1 - s1)) - ln(s0 / (n0 - s0))", variance="1 / s1 + 1 / (n1 - s1) + 1 / s0 + 1 / (n0 - s0)", term="returned"))
 def logit_odds(spark, sf_dir):
     """Logit with one binary covariate: the log odds ratio."""
@@ -56,21 +71,48 @@ def probit_cells(spark, sf_dir):
     return p.groupBy("returned").agg(F.count("*").alias("n_obs"), F.round(F.avg("prediction"), 6).alias("mean"))
 
 
-def level_sums(fit, y: str, key: str):
-    r = fit.resid()
-    return r.groupBy(key).agg(F.count("*").alias("n_obs"), F.round(F.sum(y), 1).alias("sum_y"), F.round(F.sum("fitted"), 1).alias("sum_fitted"))
+CELLS = "c AS MATERIALIZED (SELECT l_suppkey AS g, l_quantity::DOUBLE AS x, count(*)::DOUBLE AS n, sum({y})::DOUBLE AS s FROM lineitem GROUP BY 1, 2)"
+
+
+def poisson_steps(steps: int) -> str:
+    """Newton's steps for a slope, the levels' effects concentrated out."""
+    out = [CELLS.format(y="l_linenumber"), "b0 AS MATERIALIZED (SELECT 0.0::DOUBLE AS b, 0.0::DOUBLE AS h)"]
+    for i in range(steps):
+        out.append(f"k{i} AS (SELECT g, sum(s) AS y, sum(x * s) AS xy, sum(n * exp(b * x)) AS s0, sum(n * x * exp(b * x)) AS s1, sum(n * x * x * exp(b * x)) AS s2, any_value(b) AS b FROM c, b{i} GROUP BY g)")
+        out.append(f"b{i + 1} AS MATERIALIZED (SELECT any_value(b) + sum(xy - y * s1 / s0) / sum(y * (s2 / s0 - (s1 / s0) ** 2)) AS b, sum(y * (s2 / s0 - (s1 / s0) ** 2)) AS h FROM k{i})")
+    return ", ".join(out)
+
+
+def logit_steps(steps: int) -> str:
+    """Newton's steps for a slope and the levels' effects; s<last> has the levels' sums under the last estimates."""
+    out = [CELLS.format(y="(l_linestatus = 'O')::INT"), "p0 AS MATERIALIZED (SELECT g, ln(sum(s) / (sum(n) - sum(s))) AS a, 0.0::DOUBLE AS b FROM c GROUP BY g)"]
+    for i in range(steps):
+        out.append(f"q{i} AS (SELECT c.*, a, b, 1 / (1 + exp(-a - b * x)) AS m FROM c JOIN p{i} USING (g))")
+        out.append(f"s{i} AS MATERIALIZED (SELECT g, any_value(a) AS a, any_value(b) AS b, sum(n * m * (1 - m)) AS w0, sum(n * m * (1 - m) * x) AS w1, sum(n * m * (1 - m) * x * x) AS w2, sum(s - n * m) AS r0, sum(x * (s - n * m)) AS r1 FROM q{i} GROUP BY g)")
+        out.append(f"d{i} AS MATERIALIZED (SELECT sum(r1 - w1 * r0 / w0) / sum(w2 - w1 * w1 / w0) AS d FROM s{i})")
+        out.append(f"p{i + 1} AS MATERIALIZED (SELECT g, a + (r0 - w1 * d) / w0 AS a, b + d AS b FROM s{i}, d{i})")
+    return ", ".join(out)
+
+
+def slope(spark, fit):
+    """Estimate and iid error of the slope, in thousandths."""
+    return frame(spark, {"term": fit.names, "estimate": 1e3 * fit.beta, "se_iid": 1e3 * np.sqrt(np.diag(fit.with_vcov("iid").vcov))}, 6)
 
 
-@query("SELECT l_suppkey, count(*) AS n_obs, round(sum(l_linenumber), 1)::DOUBLE AS sum_y, round(sum(l_linenumber), 1)::DOUBLE AS sum_fitted FROM lineitem GROUP BY l_suppkey")
+@query(f"""
+WITH {poisson_steps(9)}, m AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT l_suppkey) AS g FROM lineitem)
+SELECT 'l_quantity' AS term, round(1e3 * b, 6) AS estimate, round(1e3 * sqrt((n - 1) / (n - 1 - g) / h), 6) AS se_iid FROM b9, m""")
 def poisson_fe(spark, sf_dir):
-    """Poisson with a fixed effect: fitted values add up to the outcome in each level (tests hold the coefficients against Newton's method)."""
-    return level_sums(fepois("l_linenumber ~ l_quantity | l_suppkey", lines(spark, sf_dir), iwls_tol=TIGHT), "l_linenumber", "l_suppkey")
+    """Poisson with a fixed effect."""
+    return slope(spark, fepois("l_linenumber ~ l_quantity | l_suppkey", lines(spark, sf_dir), iwls_tol=TIGHT))
 
 
-@query("SELECT l_suppkey, count(*) AS n_obs, round(sum((l_linestatus = 'O')::INT), 1)::DOUBLE AS sum_y, round(sum((l_linestatus = 'O')::INT), 1)::DOUBLE AS sum_fitted FROM lineitem GROUP BY l_suppkey")
+@query(f"""
+WITH {logit_steps(9)}, m AS (SELECT count(*)::DOUBLE AS n, count(DISTINCT l_suppkey) AS g FROM lineitem), h AS (SELECT any_value(b) AS b, sum(w2 - w1 * w1 / w0) AS h FROM s8)
+SELECT 'l_quantity' AS term, round(1e3 * b, 6) AS estimate, round(1e3 * sqrt((n - 1) / (n - 1 - g) / h), 6) AS se_iid FROM h, m""")
 def logit_fe(spark, sf_dir):
-    """Logit with a fixed effect: likewise."""
-    return level_sums(feglm("open ~ l_quantity | l_suppkey", lines(spark, sf_dir), "logit", iwls_tol=TIGHT), "open", "l_suppkey")
+    """Logit with a fixed effect."""
+    return slope(spark, feglm("open ~ l_quantity | l_suppkey", lines(spark, sf_dir), "logit", iwls_tol=TIGHT))
 
 
 @query("""
@@ -82,11 +124,15 @@ def separation(spark, sf_dir):
     return fit.sample().groupBy(F.coalesce("dropped_because", F.lit("used")).alias("reason")).agg(F.count("*").alias("n_rows"))
 
 
-@query()
+@query(f"""
+WITH {logit_steps(9)},
+f AS (SELECT c.*, m, w1 / w0 AS mx FROM (SELECT c.*, 1 / (1 + exp(-a - b * x)) AS m FROM c JOIN s8 USING (g)) AS c JOIN s8 USING (g)),
+t AS (SELECT g, sum(n * (x - mx) * m * (1 - m) * (1 - 2 * m)) / sum(n * m * (1 - m)) AS t FROM f GROUP BY g),
+h AS (SELECT any_value(b) AS b, sum(w2 - w1 * w1 / w0) AS h FROM s8), o AS (SELECT -0.5 * sum(t) / any_value(h) AS bias FROM t, h)
+SELECT 'l_quantity' AS term, round(1e3 * (b - bias), 6) AS estimate, round(1e3 * bias, 6) AS bias FROM h, o""")
 def bias_correction(spark, sf_dir):
-    """Incidental-parameter correction of a logit."""
+    """Incidental-parameter correction of a logit; in thousandths."""
     from ridgeline.operators.glm import bias_corrected
 
-    fit = feglm("open ~ l_quantity | l_suppkey", lines(spark, sf_dir), "logit")
-    out = bias_corrected(fit)
-    return frame(spark, [{"term": t, "estimate": out["estimate"][t], "bias": out["bias"][t]} for t in fit.names], 6)
+    out = bias_corrected(feglm("open ~ l_quantity | l_suppkey", lines(spark, sf_dir), "logit", iwls_tol=TIGHT))
+    return frame(spark, [{"term": t, "estimate": 1e3 * out["estimate"][t], "bias": 1e3 * out["bias"][t]} for t in out["estimate"]], 6)
