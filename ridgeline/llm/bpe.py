@@ -10,14 +10,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import kept, table
+from ridgeline.llm.common import by_bytes, kept, table
 
 END, MARK = "</w>", ""  # the suffix of a word's last symbol; the one character that stands for it here
 LETTERS, DIGITS = "a-zªµºß-öø-ÿā-ſ", "0-9²³¹¼½¾"
 #: Texts of these characters alone are split here; Unicode tables agree on them. All others go through the library's own normaliser.
 OTHER = re.compile("[^\t\n\r\x20-\x7e¡-įı-ſ]")
 SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
-CACHED = 400_000
+CACHED = 150_000
 SHORT, NEVER = 40, np.iinfo(np.int64).max
 
 
@@ -261,6 +261,7 @@ def encode_bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     are merged exactly. Null and empty texts give no tokens. Rows are encoded where they lie, whole, whatever their length; no shuffle. The file (path, read
     once on the driver) is broadcast: a fixed size. A worker keeps CACHED words at most beyond a batch.
     """
+    by_bytes(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     with open(path, encoding="utf-8") as f:  # a tokenizer file lies with the driver, not in the tables' store
         blob = f.read()

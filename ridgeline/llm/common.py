@@ -89,7 +89,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit hashes of words (bytes), kept for words seen before; bounded, as it is emptied when full."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self.most = most
 
@@ -124,12 +124,11 @@ def utf8(column) -> list[bytes | None]:
 
 
 def kept(name, make):
-    """A value that a Python worker makes once and keeps between tasks (functions come anew with each task)."""
+    """A value that a Python worker makes once and keeps between tasks (functions come anew with each task): one at a time, as workers live on from stage to stage."""
     import sys
 
     held = sys.__dict__.setdefault("_ridgeline_kept", {})
     if name not in held:
-        if len(held) >= 8:
-            held.clear()
+        held.clear()
         held[name] = make()
     return held[name]

@@ -132,34 +132,32 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int
 def identify(docs: DataFrame, network: Network | None, text_col: str = "text") -> DataFrame:
     """docs with two more columns at the end: the predicted language and its score. Rows are judged where they lie, whole texts, window by window; no shuffle.
 
-    Only the text goes to Python, once; the rest of a row waits in the JVM. Texts that are null, empty or without a letter are `und` with score 0; so is
+    A row's text goes to Python and back once, in batches bounded by bytes. Texts that are null, empty or without a letter are `und` with score 0; so is
     everything if there is no network.
     """
     by_bytes(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)  # half a MB, whatever the input
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those that are added
+    text = inner[docs.columns.index(text_col)]
+    rows = docs.toDF(*inner).withColumn("letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def judge(batches):
         import pyarrow as pa
 
         net = sent.value
-        for texts in batches:
-            langs, scores = [], []
-            for at in range(0, len(texts), 128):
-                part = utf8(texts.slice(at, 128))
-                known = np.array([t is not None for t in part]) & (net is not None)
-                lang, score = np.full(len(part), UNKNOWN, object), np.zeros(len(part))
-                if known.any():
-                    best, p = net.predict([t for t, k in zip(part, known, strict=True) if k])
-                    lang[known], score[known] = np.array(net.langs, object)[best], p
-                langs += lang.tolist()
-                scores.append(score)
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.empty(0))], ["lang_pred", "score"])
-
-    judged = F.arrow_udf(judge, "lang_pred string, score double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()  # so that no filter runs it twice
-    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes with those that are added
-    text = F.col(inner[docs.columns.index(text_col)])
-    out = docs.toDF(*inner).withColumn("judged", judged(F.when(text.rlike(r"\p{L}"), text)))
-    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)], F.col("judged.lang_pred"), F.col("judged.score"))
+        for batch in batches:
+            langs, scores = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                known = np.flatnonzero(np.array(part["letters"].to_pylist(), bool) & (net is not None))
+                if len(known):
+                    best, p = net.predict(utf8(part[text].take(pa.array(known))))
+                    langs[at + known], scores[at + known] = np.array(net.langs, object)[best], p
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in inner), pa.array(langs.tolist(), pa.string()), pa.array(scores)], names=[*inner, "lang_pred", "score"])
+
+    kinds = dict(rows.dtypes)
+    out = rows.mapInArrow(judge, ", ".join([*(f"{c} {kinds[c]}" for c in inner), "lang_pred string, score double"]))
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner, docs.columns, strict=True)], "lang_pred", "score")
 
 
 def held_out(id_col: str):
