@@ -21,8 +21,7 @@ def column(x) -> Column:
 def row_wise(df: DataFrame, name: str, c: Column) -> Column:
     """Refuses columns that need more than their own row: aggregates, windows, generators, and what isn't deterministic."""
     node = df.select(c.alias(name))._jdf.queryExecution().analyzed()
-    kinds = {n for n in ("Aggregate", "Window", "Generate") if n in node.treeString()}
-    if kinds or not node.deterministic():
+    if node.nodeName() != "Project" or any(node.children().apply(0).nodeName().startswith(k) for k in ("Window", "Generate")) or not all(node.projectList().apply(i).deterministic() for i in range(node.projectList().size())):
         raise ValueError(f"{name} must be an expression of single rows, the same each time it is read")
     return c
 
@@ -31,7 +30,8 @@ class Columns:
     """Names columns and adds them to the data, so that a formula of plain names describes the model."""
 
     def __init__(self, df: DataFrame):
-        self.df, self.taken = df, set(df.columns)
+        self.source, self.df = df, df if "row_id" in df.columns else with_row_id(df)
+        self.taken = set(self.df.columns)
 
     def add(self, label: str, x) -> str:
         """The name under which the data have the column: its own if it is a plain one."""
@@ -41,7 +41,7 @@ class Columns:
         while name in self.taken:
             name += "_"
         self.taken.add(name)
-        self.df = self.df.withColumn(name, row_wise(self.df, name, column(x)))
+        self.df = self.df.withColumn(name, row_wise(self.source, name, column(x)))
         return name
 
 
@@ -64,8 +64,7 @@ class _Estimator:
 
     def described(self, data, clusters: dict) -> tuple[DataFrame, str, dict, dict]:
         """The data with all columns, the formula over them, cluster names as they are there, and options."""
-        df = source(data)
-        c = Columns(df if "row_id" in df.columns else with_row_id(df))
+        c = Columns(source(data))
         (label, y), = named(self.y, "y").items()
         y = c.add(label, y)
         x, fe, en, z = ([c.add(k, v) for k, v in group.items()] for group in (self.x, self.fe, self.endog, self.z))
