@@ -20,6 +20,7 @@ def format_preferences(turns: DataFrame, pair: Column, chosen: Column, turn_col:
     model is trained (turns of role trained) and length:0 where not, in code points. A pair of one side alone comes out with
     paired false, everything in its completion and null on the other side. Null roles and texts count as empty; rows of a null pair belong to no
     conversation and are left out. Turns are ordered by number (null first), role and text, so that repeated turns have a fixed place.
+    Texts are rendered as they are: markers that a text holds are not escaped, and it is the masks' lengths that tell segments apart.
     A pair's turns meet in one row, as they do in the result; no other grouping is used.
     """
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

@@ -43,12 +43,39 @@ def by_bytes(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+class Owner(list):
+    """The tables that are cut while it is entered; when it is left, what is left of them is deleted: for callers that have written the result by then."""
+
+    open: list[Owner] = []
+
+    def __init__(self, spark: SparkSession):
+        super().__init__()
+        self.spark = spark
+
+    def __enter__(self) -> Owner:
+        Owner.open.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        Owner.open.remove(self)
+        for path in self:
+            delete(self.spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df, written as a table to the shared folder and read again: without lineage, compressed, of known size.
 
     Executors may come and go: what was written stays. discard() deletes it."""
     spark = df.sparkSession
     path = f"{shared(spark)}/{uuid.uuid4().hex}"
+    if Owner.open:
+        Owner.open[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
@@ -60,9 +87,7 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_cut_at", None)
         if path:
-            sc = t.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            delete(t.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:

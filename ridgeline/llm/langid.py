@@ -112,14 +112,15 @@ class Network:
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = MOST_TRAIN) -> Network | None:
     """A network from a bounded sample: `most` rows of text and language at most, two windows of each. None without any such row.
 
-    They are those of the smallest hashes of the id, among the smallest 2 * most in expectation of all that have a language."""
+    They are those of the smallest hashes of id and text, among the smallest 2 * most in expectation of all that have a language."""
     text, n = F.col(text_col), F.length(text_col)
     cut_ = lambda seed: F.substring(text, (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.greatest(n - WINDOW, F.lit(1))) + 1).cast("int"), F.lit(WINDOW))
-    rows = docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.xxhash64(id_col).alias("h"), F.col(lang_col).alias("lang"), cut_(1).alias("a"), cut_(2).alias("b"))
+    rows = docs.filter(F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), cut_(1).alias("a"), cut_(2).alias("b"))
     # Each task sends what it keeps to the driver: so that this doesn't grow with the tasks, hashes that can't be among the smallest go first.
     share = 2 * most / max(1, docs.filter(F.col(lang_col).isNotNull()).count())
     if share < 1:
         rows = rows.filter(F.col("h") <= F.lit(int(share * 2**64) - 2**63))
+    rows = rows.dropDuplicates(["h", "lang"])  # a row that repeats is one example
     rows = rows.orderBy("h", "lang", "a").limit(most).collect()
     langs = sorted({r["lang"] for r in rows})
     if not langs:

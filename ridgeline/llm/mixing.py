@@ -76,9 +76,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Rows that repeat both id and text are taken alike: as the one of them taken most."""
-    taken = mix_sources(docs, id_col, text_col, **how).groupBy(F.col(id_col).alias("__id"), F.col("own").alias("__own")).agg(F.max("copies").alias("__copies")).filter("__copies > 0")
-    out = docs.join(taken, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__own")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    taken = mix_sources(docs, id_col, text_col, **how).groupBy(F.col(id_col).alias("id"), "own").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    inner = [f"c{i}" for i in range(len(docs.columns))]  # so that no column clashes
+    rows, id_, text = docs.toDF(*inner), F.col(inner[docs.columns.index(id_col)]), inner[docs.columns.index(text_col)]
+    out = rows.join(taken, id_.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("own")))
+    return out.select(*inner, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select(*inner).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

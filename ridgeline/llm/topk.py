@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import cut, table
+from ridgeline.llm.common import by_bytes, cut, shared, table
 
 QUERIES, BINS, CHUNK, SCALE = 4096, 1024, 1024, 256
 
@@ -115,7 +116,9 @@ def select_block(rows: DataFrame, block: dict, n: int, k: int, bins: int = BINS)
         yield pa.RecordBatch.from_arrays([pa.array([most])], names=["most"])
 
     most = rows.mapInArrow(bounds, "most double").agg(F.max("most")).first()[0] or 0.0
-    span = int(min(most, 2.0**62)) + 1
+    if most >= 2.0**61:
+        raise ValueError("inner products of these vectors may not fit 64-bit integers")
+    span = int(most) + 1
     lo, width = np.full(n, -span, np.int64), np.full(n, -(-(2 * span + 1) // bins), np.int64)
     need = np.full(n, k, np.int64)
     while True:
@@ -141,6 +144,7 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     Every component x counts as floor(256 * x). Rows of the query's own id are left out. Ties go to smaller ids; rows that repeat count
     singly. Vectors that are null, or hold null or non-finite components, take no part; vectors of different length have no
     product; queries with fewer candidates return all; null query ids are left out, null candidate ids come out as the smallest number. No rows in, none out.
+    Vectors whose products might pass 2^61 are refused.
 
     Queries are taken in blocks of about `block` rows, which bounds what is broadcast, each against all rows. A block
     scores every row in a few passes. The first finds the span of scores; each next one counts scores in `BINS` bins
@@ -148,11 +152,12 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
     it is one score wide. The last pass keeps scores from that value up; of those equal to it, each partition keeps its k smallest ids.
     """
     spark = vectors.sparkSession
+    by_bytes(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector"))
     asked = cut(queries.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vector")).filter("id IS NOT NULL").withColumn("row", F.monotonically_increasing_id()))
     n = asked.count()
     parts = -(-n // block)
-    out = None
+    path = f"{shared(spark)}/{uuid.uuid4().hex}"
     for p in range(parts):
         held = asked.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == p).orderBy("row").collect()
         ids = [r["id"] for r in held]
@@ -161,10 +166,9 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str =
         found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         names = spark.createDataFrame(list(enumerate(ids)), "q int, query_id long")  # a block's rows
         found = found.join(F.broadcast(names), "q").select("query_id", "rank", "vec_id", "score")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return out
+        found.write.mode("append").parquet(path)  # a block's results are few; a plan of all blocks would grow with the queries
+    schema = "query_id long, rank int, vec_id long, score long"
+    return spark.read.schema(schema).parquet(path) if n else spark.createDataFrame([], schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

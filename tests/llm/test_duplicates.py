@@ -167,8 +167,10 @@ def test_repeated_passages(spark):
 
 @pytest.mark.parametrize("kind, n", [("changed", 50), ("inserted", 52), ("changed", 55), ("changed", 60), ("two", 100)])
 def test_passages_with_an_edit_in_the_middle_are_found(kind, n):
+    """Of pairs at similarity 0.8 and above, as many as two of four hashes leave: at least 0.95 of them."""
     rng = np.random.default_rng(n)
     new = lambda k: rng.integers(0, 2**62, k).astype(np.uint64)
+    found = 0
     for _ in range(150):
         one, m = new(n), n // 2
         two = one.copy()
@@ -177,11 +179,57 @@ def test_passages_with_an_edit_in_the_middle_are_found(kind, n):
         if kind == "inserted":
             two = np.concatenate([one[:m], new(1), one[m:]])
         a, b = np.concatenate([new(150), one, new(150)]), np.concatenate([new(90), two, new(150)])
-        (ka, at), (kb, rat) = substring.posts(a), substring.posts(b)
+        (ka, _, at), (kb, _, rat) = substring.posts([a]), substring.posts([b])
         _, i, j = np.intersect1d(ka, kb, return_indices=True)
-        keep = substring.interval_join(at[i])
-        (p,) = substring.passages(a, b, at[i][keep] >> 16, rat[j][keep] >> 16)
-        assert p[:4] == (150, 150 + n, 90, 90 + len(two)) and p[4] >= 0.8
+        keep = substring.interval_join(at[i]) & substring.akin(at[i], rat[j])
+        got = substring.passages(a, b, at[i][keep] >> 36, rat[j][keep] >> 36)
+        assert all(p[:4] == (150, 150 + n, 90, 90 + len(two)) and p[4] >= 0.8 for p in got)
+        found += len(got)
+    assert found >= 0.95 * 150
+
+
+def brute_runs(texts, least=50):
+    """(a, start in a, b, start in b, words) of the longest equal runs of `least` words or more of each two texts."""
+    out = []
+    for a in range(len(texts)):
+        for b in range(a):
+            x, y = texts[a], texts[b]
+            grid = np.array([[u == v for v in y] for u in x], bool) if x and y else np.zeros((0, 0), bool)
+            for d in range(-len(y) + 1, len(x)):
+                diag = np.concatenate([[False], np.diagonal(grid, -d), [False]])
+                edge = np.flatnonzero(diag[1:] != diag[:-1])
+                for i, j in zip(edge[::2], edge[1::2], strict=True):
+                    if j - i >= least:
+                        out.append((a, int(i) + max(0, d), b, int(i) + max(0, -d), int(j - i)))
+    return out
+
+
+def test_passages_against_brute_force_whatever_the_split(spark, monkeypatch):
+    """Every equal run of 50 words or more of any two texts lies in a passage that is reported of each; splits and batches change nothing."""
+    rng = np.random.default_rng(12)
+    new = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    line, hot, texts = new(20), new(62), []
+    for k in range(10):
+        p, q = new(50 + 3 * k), new(70)
+        for _ in range(int(rng.integers(2, 5))):
+            cut_ = int(rng.integers(0, 30))
+            near = list(q)
+            near[int(rng.integers(len(q)))] = "edit"
+            texts.append(new(int(rng.integers(0, 40))) + p[cut_ if len(p) - cut_ >= 40 else 0 :] + line + near + new(int(rng.integers(0, 30))) + (hot if k % 3 == 0 else []))
+    want = brute_runs(texts)
+    assert len(want) > 20
+    seen = []
+    for parts, rows in ((1, 400_000), (6, 100)):
+        monkeypatch.setattr(substring, "ROWS", rows)
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
+        seen.append(sorted(map(tuple, substring.repeated_passages(df).collect())))
+    assert seen[0] == seen[1]
+    spans = {}
+    for r in seen[0]:
+        spans.setdefault(r[0], []).append((r[1], r[1] + r[2]))
+    for a, i, b, j, n in want:
+        for doc, start in ((a, i), (b, j)):
+            assert any(x <= start and start + n <= y for x, y in spans.get(doc, [])), (doc, start, n)
 
 
 def test_passages_of_which_earlier_documents_hold_parts(spark):

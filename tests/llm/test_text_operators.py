@@ -144,3 +144,29 @@ def test_url_model_learns_nothing_from_the_pages_tables():
     p = url_filter.scores([url_filter.key(*(x.encode() for x in url_filter.parts(u))) for u, _ in apart], w, b)
     y = np.array([label for _, label in apart])
     assert ((p >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_convolutions_against_the_definition():
+    rng = np.random.default_rng(3)
+    net = langid.Network(["a", "b", "c"])
+    net.out, net.bias = rng.normal(size=net.out.shape).astype(np.float32), rng.normal(size=3).astype(np.float32)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (1, 5, 256, 700)]
+    x = np.concatenate([langid.windows(t) for t in texts])
+    want = np.zeros((len(x), langid.WINDOW - 3, len(net.width)))
+    for r, row in enumerate(x):
+        for f, width in enumerate(net.width):
+            for i in range(langid.WINDOW - 3):
+                want[r, i, f] = sum(net.tables[j][row[i + j], f] for j in range(width))
+    assert np.allclose(net.convolved(x), want, atol=1e-4)
+    logits = np.maximum(want.max(axis=1), 0) @ net.out + net.bias
+    assert np.allclose(net.logits(x), logits, atol=1e-3)
+    best, score = net.predict(texts)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    at = 0
+    for k, t in enumerate(texts):
+        n = -(-len(t) // langid.WINDOW)
+        size = np.array([langid.WINDOW] * (n - 1) + [len(t) - langid.WINDOW * (n - 1)])
+        mean = (p[at : at + n] * size[:, None]).sum(axis=0) / size.sum()
+        assert best[k] == mean.argmax() and score[k] == pytest.approx(mean.max(), abs=1e-3)
+        at += n
