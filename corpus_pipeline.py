@@ -49,8 +49,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     folder = f"{common.shared(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        with common.Owner(spark):  # a stage's own tables go once its result is written
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            common.delete(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
 
 
