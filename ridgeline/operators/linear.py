@@ -102,7 +102,7 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
         raise ValueError("no complete rows")
     if first[1] <= 0:
         raise ValueError("weights must be positive")
-    sizes = first[2:]
+    sizes, counted = first[2:], first[0]
     # the dimension with most levels is taken out by groups
     if len(fe) > 1:
         if stream:
@@ -118,7 +118,7 @@ def prepare(df: DataFrame, fe: tuple[fo.FixedEffect, ...], columns: dict, weight
         rows, coded, fe = swap(rows), swap(coded), [fe[i] for i in order]
         pair = how.get("connected_fe")
         how["connected_fe"] = tuple(order.index(i) for i in (pair or (0, 1)))
-    rows, lost, gone = restrict(rows, dims, **how)
+    rows, lost, gone = restrict(rows, dims, n=counted, **how)
     if lost and any(lost.values()):
         whole, rows = rows, cut(rows)
         discard(whole)

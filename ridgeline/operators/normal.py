@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.plans.absorb import Absorber, gram
+from ridgeline.operators.graph import min_labels
+from ridgeline.plans.absorb import MOST_CELLS, MOST_LEVELS, Absorber, Cells, collected, conjugate_gradients, gram, uploaded
 from ridgeline.plans.cache import cut
 from ridgeline.sources import source
 
@@ -22,6 +23,13 @@ class NormalEquationsSolution:
     beta: np.ndarray
     names: list[str]
     rows: DataFrame
+    effects: dict[str, pd.DataFrame] | None = None
+
+    def fixef(self, name: str | None = None):
+        """level and a column for each solved one: the coefficients of a fixed effect's levels (all fixed effects as a dict, without a name)."""
+        if self.effects is None:
+            raise NotImplementedError("level coefficients need cells that fit the driver")
+        return self.effects if name is None else self.effects[name]
 
     def coef(self) -> pd.DataFrame:
         return pd.DataFrame(self.beta, self.names, self.columns)
@@ -88,7 +96,7 @@ def solve_columns(fit, data, columns) -> NormalEquationsSolution:
             rows = rows.withColumns({e: F.lit(0.0) for e in extra})
             for dim in p.dims[1:]:
                 levels = a.levels[dim]
-                t = rows.sparkSession.createDataFrame(pd.DataFrame({"__l": levels} | {f"h{i}": gamma[a.offset[dim] : a.offset[dim] + len(levels), i] for i in range(m)}))
+                t = uploaded(rows.sparkSession, {"__l": levels} | {f"h{i}": gamma[a.offset[dim] : a.offset[dim] + len(levels), i] for i in range(m)})
                 rows = rows.join(t, F.col(dim) == F.col("__l")).withColumns({f"e{i}": F.col(f"e{i}") + F.col(f"h{i}") for i in range(m)}).drop("__l", *[f"h{i}" for i in range(m)])
             rows = Absorber(rows, p.dims[:1], p.weights).within(cut(rows), extra)
             rows = cut(rows.withColumns({c: F.col(c) + F.col(e) for c, e in zip(names, extra, strict=True)}))
@@ -97,4 +105,94 @@ def solve_columns(fit, data, columns) -> NormalEquationsSolution:
         have = np.array(rows.agg(*[F.sum(w * F.col(f"q{j}") * F.col(c)) for j in range(k) for c in names]).first(), float).reshape(k, m) if p.dims else 0.0
         ux = fit.parts["meats"].bread @ (rx - have)
     out = rows.withColumns({f"p{i}": F.col(c) + sum((F.lit(float(ux[j, i])) * F.col(f"t{j}" if p.dims else f"q{j}") for j in range(k)), F.lit(0.0)) for i, c in enumerate(names)})
-    return NormalEquationsSolution(columns, ux, list(fit.names), cut(out.select("row_id", *[f"p{i}" for i in range(m)])))
+    return NormalEquationsSolution(columns, ux, list(fit.names), cut(out.select("row_id", *[f"p{i}" for i in range(m)])), _level_coefficients(fit, df, columns, v, ux))
+
+
+def level_sums(rows: DataFrame, dim: str, columns: list) -> pd.DataFrame:
+    """level and the sums of the columns, sorted by level; on the driver."""
+    t = collected(rows.groupBy(F.col(dim).alias("level")).agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)]).limit(MOST_LEVELS + 1))
+    if len(t) > MOST_LEVELS:
+        raise NotImplementedError(f"more than {MOST_LEVELS} levels of {dim}: level coefficients live on the driver")
+    return t.sort_values("level", ignore_index=True)
+
+
+class Effects:
+    """The block of the fixed effects' levels in the normal equations, D'W D, as operators on the driver: for fits whose cells fit there."""
+
+    def __init__(self, fit):
+        p = fit.parts["panel"]
+        w = F.col(p.weights) if p.weights else F.lit(1.0)
+        t = collected(p.rows.groupBy(*p.dims).agg(F.sum(w).alias("n")).limit(MOST_CELLS + 1))
+        if len(t) > MOST_CELLS or p.slopes:
+            raise NotImplementedError(f"more than {MOST_CELLS} cells of levels, or slopes: level coefficients live on the driver")
+        self.levels, codes = zip(*[np.unique(t[d].to_numpy(), return_inverse=True) for d in p.dims], strict=True)
+        self.n, self.w = [len(v) for v in self.levels], t["n"].to_numpy(float)
+        self.codes, self.p = codes, p
+        offset = np.cumsum([0, *self.n[1:]])
+        own = [c + o for c, o in zip(codes[1:], offset, strict=False)]
+        self.size = np.bincount(codes[0], self.w, self.n[0])
+        self.cells = Cells(codes[0], own, int(offset[-1]), [self.w], [self.size])
+        self.offset = offset
+
+    def placed(self, d: int, t: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((self.n[d], t.shape[1] - 1))
+        at = np.searchsorted(self.levels[d], t["level"].to_numpy())
+        out[at] = t.iloc[:, 1:].to_numpy(float)
+        return out
+
+    def solve(self, c: list[np.ndarray], tol: float = 1e-12) -> list[np.ndarray]:
+        """u with D'W D u = c, for each column: the first dimension is taken out, and what no u can give (the null space: levels of one component of two
+        dimensions that grow and shrink together) goes first."""
+        c = [x.copy() for x in c]
+        if len(c) == 2:
+            labels = min_labels(self.codes[0], self.codes[1], self.n[0], self.n[1])
+            other = np.zeros(self.n[1], np.int64)
+            other[self.codes[1]] = labels[self.codes[0]]
+            for j in range(c[0].shape[1]):
+                count = np.bincount(labels, minlength=self.n[0]) + np.bincount(other, minlength=self.n[0])
+                gap = np.bincount(labels, c[0][:, j], self.n[0]) - np.bincount(other, c[1][:, j], self.n[0])
+                share = np.divide(gap, count, out=np.zeros(len(gap)), where=count > 0)
+                c[0][:, j] -= share[labels]
+                c[1][:, j] += share[other]
+        if len(c) == 1:
+            return [c[0] / self.size[:, None]]
+        right = np.concatenate(c[1:])
+        for j in range(right.shape[1]):
+            right[:, j] -= self.cells.by_level(self.w * (c[0][:, j] / self.size)[self.codes[0]])
+        gamma, _ = conjugate_gradients(self.cells.product, self.cells.diagonal(), right, tol)
+        held = sum(gamma[k] for k in self.cells.codes)
+        first = np.stack([np.bincount(self.codes[0], self.w * held[:, j], self.n[0]) for j in range(right.shape[1])], axis=1)
+        return [(c[0] - first) / self.size[:, None], *np.split(gamma, self.offset[1:-1])]
+
+
+def apply_inverse(fit, levels: dict[str, pd.DataFrame], covariates: np.ndarray | None = None) -> tuple[np.ndarray, dict[str, pd.DataFrame]]:
+    """S^- v in the space of coefficients: v has a number for each covariate (rows of covariates) and each level (a frame of level and columns for
+    each fixed effect; levels that are left out have zero), a column for each vector. Returns the same of the solution."""
+    p, k = fit.parts["panel"], len(fit.names)
+    if fit.parts.get("endog") or fit.family != "gaussian":
+        raise NotImplementedError("linear models without instruments")
+    m = len(next(iter(levels.values())).columns) - 1 if levels else np.asarray(covariates).shape[1]
+    cx = np.zeros((k, m)) if covariates is None else np.asarray(covariates, float).reshape(k, m)
+    with fit.parts["run"]:
+        e = Effects(fit)
+        c = [e.placed(d, levels[f.name]) if f.name in levels else np.zeros((e.n[d], m)) for d, f in enumerate(p.fe)]
+        w = F.col(p.weights) if p.weights else F.lit(1.0)
+        xs = [w * F.col(p.variables[n]) for n in fit.names]
+        crossed = [e.placed(d, level_sums(p.rows, dim, xs)) for d, dim in enumerate(p.dims)] if k else []
+    beta = np.zeros((0, m))
+    if k:
+        held = e.solve(c)
+        beta = fit.parts["meats"].bread @ (cx - sum(x.T @ u for x, u in zip(crossed, held, strict=True)))
+        c = [v - x @ beta for v, x in zip(c, crossed, strict=True)]
+    u = e.solve(c)
+    return beta, {f.name: pd.DataFrame({"level": e.levels[d]} | {str(j): u[d][:, j] for j in range(m)}) for d, f in enumerate(p.fe)}
+
+
+def _level_coefficients(fit, df: DataFrame, columns: list[str], v: list, ux: np.ndarray) -> dict[str, pd.DataFrame] | None:
+    p = fit.parts["panel"]
+    if not p.dims or p.n > MOST_CELLS:
+        return None
+    rx = np.array(df.agg(*[F.sum(x * fit.parts["design"].x[n].cast("double")) for n in fit.names for x in v]).first(), float).reshape(len(fit.names), len(v)) if fit.names else None
+    sums = {f.name: level_sums(df.withColumn("__l", f.level), "__l", v) for f in p.fe}
+    _, out = apply_inverse(fit, sums, rx)
+    return {name: t.set_axis(["level", *columns], axis=1) for name, t in out.items()}

@@ -55,17 +55,20 @@ def separated(rows: DataFrame, dims: list[str], y: str, family: str) -> tuple[Da
             return rows, gone
 
 
-def restrict(rows: DataFrame, dims: list[str], connected: str | None = None, connected_fe: tuple[int, int] = (0, 1), min_degree: tuple[int, int] | None = None, fixef_rm: str = "singleton") -> tuple[DataFrame, dict[str, int], DataFrame | None]:
-    """The rows that stay, how many went for each reason, and the cells that went (dims, gone). Works on cells of levels, not on rows; rows follow by a semi-join."""
-    if not dims:
+def restrict(rows: DataFrame, dims: list[str], connected: str | None = None, connected_fe: tuple[int, int] = (0, 1), min_degree: tuple[int, int] | None = None, fixef_rm: str = "singleton", n: int | None = None) -> tuple[DataFrame, dict[str, int], DataFrame | None]:
+    """The rows that stay, how many went for each reason, and the cells that went (dims, gone). Works on cells of levels, not on rows; rows follow by a semi-join. n: the number of rows, if known."""
+    if not dims or (fixef_rm != "singleton" and not connected and not min_degree):
         return rows, {}, None
     cells = cut(rows.groupBy(*dims).agg(F.count("*").alias("n")))
     size = lambda c: c.agg(F.sum("n")).first()[0] or 0
-    lost, now, gone, before = {}, size(cells), None, cells
+    lost, now, gone, before = {}, size(cells) if n is None else n, None, cells
     whole = now
 
     def note(reason: str) -> None:
         nonlocal now, gone, before
+        if cells is before:
+            lost[reason] = 0
+            return
         lost[reason], now = now - (new := size(cells)), new
         if lost[reason]:
             part = before.join(cells, dims, "left_anti").select(*dims, F.lit(reason).alias("gone"))

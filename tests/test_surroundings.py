@@ -200,3 +200,28 @@ def test_labels_by_rounds(spark):
     pairs = spark.createDataFrame([(i, i // 2, 1) for i in range(20)] + [(i, i // 2 + 1, 1) for i in range(0, 10)] + [(90, 90, 1)], "a long, b long, n long")
     want = {r.a: r.component for r in label_pairs(pairs).collect()}
     assert {r.a: r.component for r in label_pairs(pairs, 0).collect()} == want
+
+
+@pytest.mark.parametrize("fes", [["w"], ["w", "f"], ["w", "f", "yr"]])
+def test_inverse_of_the_normal_matrix(spark, panel, fes):
+    from ridgeline.operators.normal import apply_inverse
+
+    d = panel.dropna()
+    d = d[d.groupby("w").w.transform("size") > 1]
+    fit = feols(f"y ~ x + x2 | {' + '.join(fes)}", spark.createDataFrame(d), weights="wt", fixef_rm="none")
+    names = {f: np.sort(d[f].unique()) for f in fes}
+    z = np.column_stack([d[["x", "x2"]].to_numpy(), *[(d[f].to_numpy()[:, None] == v[None, :]).astype(float) for f, v in names.items()]])
+    s = z.T @ (z * d.wt.to_numpy()[:, None])
+    c = s @ np.random.default_rng(1).normal(size=(len(s), 2))  # in the range of S
+    at, frames = 2, {}
+    for f, v in names.items():
+        frames[f] = pd.DataFrame({"level": v, "a": c[at : at + len(v), 0], "b": c[at : at + len(v), 1]})
+        at += len(v)
+    beta, out = apply_inverse(fit, frames, c[:2])
+    u = np.concatenate([beta, *[out[f].sort_values("level").iloc[:, 1:].to_numpy() for f in fes]])
+    assert np.allclose(s @ u, c, atol=1e-6 * np.abs(c).max())
+    assert np.allclose(z @ u, z @ np.linalg.pinv(s) @ c, atol=1e-7)
+    df = spark.createDataFrame(d.assign(v=d.x * d.z1))
+    sol = fit.solve_normal_equations(df, ["v"])
+    got = np.concatenate([sol.coef().to_numpy(), *[sol.fixef(f).sort_values("level")[["v"]].to_numpy() for f in fes]])
+    assert np.allclose(z @ got, z @ np.linalg.pinv(s) @ (z.T @ (d.x * d.z1).to_numpy()[:, None]), atol=1e-7)
