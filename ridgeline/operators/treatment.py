@@ -170,45 +170,82 @@ def weighted_mean_difference(data, y: str, group: str, weight: str | None = None
 
 
 class BinaryFirstStage:
-    """A fitted logit or probit as the first stage of an estimate: probabilities, scores and what they add to influences."""
+    """A fitted logit or probit as the first stage of an estimate: probabilities, scores and what they add to influences.
+
+    With fixed effects the information is never formed: project() regresses on the covariates and the effects instead."""
 
     def __init__(self, fit):
-        if fit.family not in ("logit", "probit") or fit.fe:
-            raise ValueError("a first stage is a logit or probit without fixed effects")
-        self.fit, self.names = fit, fit.names
+        if fit.family not in ("logit", "probit"):
+            raise ValueError("a first stage is a logit or probit")
+        self.fit, self.names, self.fe = fit, fit.names, list(fit.fe)
+        self._information = None
 
     def prob(self, data=None) -> DataFrame:
-        return self.fit.predict(data, "response", "prob")
+        """Adds link and prob."""
+        df = self.fit.predict(data, "link", "link")
+        return df.withColumn("prob", self.fit.parts["family"].mean(F.col("link")))
 
     def _terms(self) -> dict[str, Column]:
         return {n: self.fit.parts["design"].x[n].cast("double") for n in self.names}
 
-    def scores(self, data=None) -> DataFrame:
-        """Adds prob and s0..: the rows' scores."""
-        y = F.col(self.fit.outcome).cast("double")
-        df = self.prob(data)
-        p = F.col("prob")
-        if self.fit.family == "probit":
-            from ridgeline.operators.families import pdf
-
-            link = sum((F.lit(float(b)) * c for b, c in zip(self.fit.beta, self._terms().values(), strict=True)), F.lit(0.0))
-            g = (y - p) * pdf(link) / (p * (1 - p))
-        else:
-            g = y - p
-        return df.withColumns({f"s{i}": g * c for i, c in enumerate(self._terms().values())})
+    def slope(self) -> Column:
+        """Derivative of prob by the link, of rows with link and prob."""
+        from ridgeline.operators.families import pdf
 
-    @property
-    def information(self) -> np.ndarray:
-        return np.linalg.inv(self.fit.parts["bread"])
+        return F.col("prob") * (1 - F.col("prob")) if self.fit.family == "logit" else pdf(F.col("link"))
 
-    def slope(self) -> Column:
-        """Derivative of prob by the link, given prob (logit) or the terms (probit)."""
-        p = F.col("prob")
+    def residual(self) -> Column:
+        """Of rows with link and prob: what the scores multiply the covariates with."""
+        p, gap = F.col("prob"), F.col(self.fit.outcome).cast("double") - F.col("prob")
+        return gap if self.fit.family == "logit" else gap * self.slope() / (p * (1 - p))
+
+    def info_weight(self) -> Column:
+        """Of rows with link and prob: minus the second derivative of their log-likelihood by the link."""
         if self.fit.family == "logit":
-            return p * (1 - p)
-        from ridgeline.operators.families import pdf
+            return self.slope()
+        r = self.residual()
+        return r * (r + F.col("link"))  # of a normal distribution: r (r + eta), whatever the outcome
+
+    def scores(self, data=None) -> DataFrame:
+        """Adds link, prob and s0..: the rows' scores."""
+        r = self.residual()
+        return self.prob(data).withColumns({f"s{i}": r * c for i, c in enumerate(self._terms().values())})
 
-        return pdf(sum((F.lit(float(b)) * c for b, c in zip(self.fit.beta, self._terms().values(), strict=True)), F.lit(0.0)))
+    @property
+    def information(self) -> np.ndarray:
+        """The observed information over the rows of the fit, from one pass."""
+        if self.fe:
+            raise NotImplementedError("with fixed effects the information is not formed: see project()")
+        if self._information is None:
+            rows = self.prob(self.fit.sample().filter("in_sample").drop("in_sample", "dropped_because", "row_id"))
+            names = [f"x{i}" for i in range(len(self.names))]
+            self._information = gram(rows.select(self.info_weight().alias("w"), *[c.alias(n) for n, c in zip(names, self._terms().values(), strict=True)]), names, "w")[0]
+        return self._information
+
+    def project(self, df: DataFrame, derivatives: dict[str, Column]) -> DataFrame:
+        """Adds <name>_fit = x~' H^-1 J of each row, for derivatives c of rows with J = X~'c: the fitted values of c / w regressed on the covariates and fixed
+        effects with weights w, the rows' information. df as from prob()."""
+        from ridgeline.operators.linear import feols
+
+        if not self.names:
+            raise NotImplementedError("a first stage without covariates")
+        terms = {f"first_x{i}": c for i, c in enumerate(self._terms().values())}
+        out = df.withColumns({"first_w": self.info_weight(), **terms})
+        fe = f" | {' + '.join(self.fe)}" if self.fe else ""
+        for name, c in derivatives.items():
+            fit = feols(f"first_u ~ {' + '.join(terms)}{fe}", out.withColumn("first_u", c / F.col("first_w")), weights="first_w", fixef_rm="none") if self.fe else None
+            if fit is not None:
+                out = fit.predict(out, name=f"{name}_fit")
+            else:
+                j = np.array(out.agg(*[F.sum(c * F.col(t)) for t in terms]).first(), float)
+                h = np.linalg.solve(self.information, j)
+                out = out.withColumn(f"{name}_fit", sum((F.lit(float(v)) * F.col(t) for v, t in zip(h, terms, strict=True)), F.lit(0.0)))
+        return out.drop(*terms)
+
+    def quad(self, df: DataFrame, derivatives: dict[str, Column]) -> dict[str, float]:
+        """J' H^-1 J of each: the squares of project()'s fitted values, weighted by information."""
+        rows = self.project(df, derivatives)
+        return dict(zip(derivatives, rows.agg(*[F.sum(F.col("first_w") * F.col(f"{n}_fit") ** 2) for n in derivatives]).first(), strict=True))
 
     def corrected(self, df: DataFrame, phi: str, jacobian: np.ndarray) -> DataFrame:
         """phi + J H^-1 s: influences with the estimation of the first stage in them; df as from scores()."""

@@ -225,3 +225,31 @@ def test_inverse_of_the_normal_matrix(spark, panel, fes):
     sol = fit.solve_normal_equations(df, ["v"])
     got = np.concatenate([sol.coef().to_numpy(), *[sol.fixef(f).sort_values("level")[["v"]].to_numpy() for f in fes]])
     assert np.allclose(z @ got, z @ np.linalg.pinv(s) @ (z.T @ (d.x * d.z1).to_numpy()[:, None]), atol=1e-7)
+
+
+@pytest.mark.parametrize("family, fe", [("logit", False), ("probit", False), ("logit", True)])
+def test_first_stage_projections(spark, panel, family, fe):
+    from ridgeline.operators.treatment import BinaryFirstStage
+
+    d = panel.dropna()
+    d = d[d.groupby("f").yb.transform("mean").between(0.01, 0.99)]
+    df = spark.createDataFrame(d)
+    first = BinaryFirstStage(feglm("yb ~ x + x2" + (" | f" if fe else ""), df, family, iwls_tol=1e-12))
+    rows = first.prob(df).withColumn("c", F.col("z1"))
+    t = first.project(rows, {"c": F.col("c")}).toPandas()
+    eta, p, y = t.link.to_numpy(), t.prob.to_numpy(), t.yb.to_numpy(float)
+    if family == "logit":
+        w = p * (1 - p)
+    else:  # by differences of the log-likelihood
+        from ridgeline.functions.special import log_norm_cdf
+
+        ll = lambda e: np.where(y == 1, log_norm_cdf(e), log_norm_cdf(-e))
+        w = -(ll(eta + 1e-3) - 2 * ll(eta) + ll(eta - 1e-3)) / 1e-6
+    x = np.column_stack([t[["x", "x2"]].to_numpy(), pd.get_dummies(t.f).to_numpy(float) if fe else np.ones(len(t))])
+    h = x.T @ (x * w[:, None])
+    want = x @ np.linalg.pinv(h) @ (x.T @ t.c.to_numpy())
+    assert np.allclose(t.c_fit, want, rtol=1e-4, atol=1e-5)
+    j = x.T @ t.c.to_numpy()
+    assert first.quad(rows, {"c": F.col("c")})["c"] == pytest.approx(j @ np.linalg.pinv(h) @ j, rel=1e-4)
+    if not fe:
+        assert np.allclose(np.sort(np.diag(first.information)), np.sort(np.diag(h)), rtol=1e-3)
