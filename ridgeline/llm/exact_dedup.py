@@ -15,6 +15,7 @@ RADIX, BLOCK = 8, 4096
 ENTRY = np.dtype([("digest", "S32"), ("n_bytes", "<i8"), ("check", "<i8"), ("known", "?"), ("keep", "<i8"), ("row", "<i8"), ("size", "<i8")])
 #: Runs travel as blocks of sorted entries, which name their sender and their first digest.
 RUN = "at long, first binary, block binary"
+FOUND = "digest binary, n_bytes long, check long, row long, size long, keep long"
 
 
 def united(run: np.ndarray, keep: str) -> np.ndarray:
@@ -79,31 +80,32 @@ def first_runs(batches: Iterator, keep: str, n: int, radix: int) -> Iterator:
 
 def merged_runs(batches: Iterator, keep: str, n: int, step: int, radix: int) -> Iterator:
     """Merges the runs that a partition got. Their blocks come in order of their first digests, so that each run has one open block at most: what lies before
-    the next block's first digest is final and goes on. step: the next round's, 0 after the last."""
+    the next block's first digest is final and goes on. step: the next round's; 0 in the last, whose entries come out as rows."""
     open_, at = np.zeros(0, ENTRY), None
+
+    def out(run: np.ndarray):
+        return blocks(list(send(run, at, n, step, radix))) if step else entries(run)
+
     for batch in batches:
         for where, first, block in zip(batch["at"].to_pylist(), batch["first"].to_pylist(), batch["block"].to_pylist(), strict=True):
             final = np.searchsorted(open_["digest"], np.array(first, "S32"), "left")
             if final >= BLOCK:
-                yield blocks(list(send(open_[:final], at, n, step, radix)))
+                yield out(open_[:final])
                 open_ = open_[final:]
             at = where
             open_ = merge(open_, np.frombuffer(block, ENTRY), keep)
     if len(open_):
-        yield blocks(list(send(open_, at, n, step, radix)))
+        yield out(open_)
 
 
-def entries(batches: Iterator) -> Iterator:
-    """The last round's blocks as rows."""
+def entries(e: np.ndarray):
+    """Entries that stand for two rows or more, as rows."""
     import pyarrow as pa
 
-    for batch in batches:
-        for block in batch["block"].to_pylist():
-            e = np.frombuffer(block, ENTRY)
-            e = e[e["size"] > 1]
-            digest = pa.array([d.ljust(32, b"\0") for d in e["digest"].tolist()], pa.binary())
-            cols = [pa.array(np.ascontiguousarray(e[c])) for c in ("n_bytes", "check", "row", "size")]
-            yield pa.RecordBatch.from_arrays([digest, *cols, pa.array(np.ascontiguousarray(e["keep"]), mask=~e["known"])], names=["digest", "n_bytes", "check", "row", "size", "keep"])
+    e = e[e["size"] > 1]
+    digest = pa.array([d.ljust(32, b"\0") for d in e["digest"].tolist()], pa.binary())
+    cols = [pa.array(np.ascontiguousarray(e[c])) for c in ("n_bytes", "check", "row", "size")]
+    return pa.RecordBatch.from_arrays([digest, *cols, pa.array(np.ascontiguousarray(e["keep"]), mask=~e["known"])], names=["digest", "n_bytes", "check", "row", "size", "keep"])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,8 +130,8 @@ def copies(rows: DataFrame, keep: str = "min", radix: int = RADIX) -> DataFrame:
     run = rows.mapInArrow(lambda b: first_runs(b, keep, n, radix), RUN)
     for r in range(rounds):
         step = radix ** (r + 1) if r + 1 < rounds else 0
-        run = run.repartitionById(n, F.col("at").cast("int")).sortWithinPartitions("first").mapInArrow(lambda b, step=step: merged_runs(b, keep, n, step, radix), RUN)
-    return run.mapInArrow(entries, "digest binary, n_bytes long, check long, row long, size long, keep long")
+        run = run.repartitionById(n, F.col("at").cast("int")).sortWithinPartitions("first").mapInArrow(lambda b, step=step: merged_runs(b, keep, n, step, radix), RUN if step else FOUND)
+    return run
 
 
 def groups_of(rows: DataFrame, keep: str) -> DataFrame:
