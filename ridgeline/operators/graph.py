@@ -146,14 +146,21 @@ def cut_vertices(a: np.ndarray, b: np.ndarray, na: int, nb: int) -> np.ndarray:
 def largest_component(pairs: DataFrame, by: str = "n") -> DataFrame:
     """Pairs of the component with most rows (by="n") or most levels of a or b; ties: the smallest level of a."""
     labelled = cut(label_pairs(pairs))
-    first = ranked(labelled, by).filter("rank = 1").select("component")
+    first = component_sizes(labelled).orderBy(F.desc(SIZES[by]), "component").limit(1).select("component")
     return labelled.join(first, "component", "left_semi").select("a", "b", "n")
 
 
+SIZES = {"n": "n", "a": "a_levels", "b": "b_levels"}
+
+
+def component_sizes(labelled: DataFrame) -> DataFrame:
+    """component, n, a_levels, b_levels."""
+    return labelled.groupBy("component").agg(F.sum("n").alias("n"), F.countDistinct("a").alias("a_levels"), F.countDistinct("b").alias("b_levels"))
+
+
 def ranked(labelled: DataFrame, by: str = "n") -> DataFrame:
     """component, n, a_levels, b_levels, rank: one row for each component."""
-    size = labelled.groupBy("component").agg(F.sum("n").alias("n"), F.countDistinct("a").alias("a_levels"), F.countDistinct("b").alias("b_levels"))
-    key = {"n": "n", "a": "a_levels", "b": "b_levels"}[by]
+    size, key = component_sizes(labelled), SIZES[by]
     return numbered_by(size, [F.desc(key), F.col("component")], "rank")
 
 
