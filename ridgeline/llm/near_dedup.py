@@ -14,6 +14,7 @@ COORDINATES, MINIMA, THRESHOLD, WORDS = 24, 48, 80, 2
 MISS = 1e-6  # the probability at most with which a pair of the similarity asked for collides in too few coordinates
 STARS, PIVOTS = 2, 64  # rounds of pivots, and pivots of a star
 HEAVY = 4096  # comparisons from which a list's members are first compared to the smallest node of its largest component
+MOST_SENT = 300_000  # rows (id, doc, own) up to which the documents to be compared are sent to all tasks, some 10 MB; more are joined by a shuffle
 BYTES = ["m1", "m2", "m3"]
 
 
@@ -109,9 +110,10 @@ def compared(pairs: DataFrame, rows: DataFrame, names: DataFrame, words: int, ma
     # Pairs that grow with the corpus are merged at every size: a plan that broadcasts them while they are few would tell nothing of a larger run.
     sized = lambda df: df.hint("merge") if many else df
     ids = sized(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    who = sized(names.join(ids, "id"))
+    who = cut(names.join(ids, "id"))
+    who_ = who.hint("merge") if many else F.broadcast(who) if who.count() <= MOST_SENT else who  # texts then stay where they are, but those asked for
     # a document's id and a hash of its text: where an id repeats with another text, the right one is taken
-    texts = cut(rows.join(who, ["doc", "own"]).groupBy("id").agg(F.min("text").alias("text")))
+    texts = cut(rows.join(who_, ["doc", "own"]).groupBy("id").agg(F.min("text").alias("text")))
     release(pairs.sparkSession)
 
     def run(batches):
@@ -140,7 +142,7 @@ def compared(pairs: DataFrame, rows: DataFrame, names: DataFrame, words: int, ma
 
     joined = pairs.join(sized(texts.toDF("b", "t")), "b").join(sized(texts.toDF("a", "s")), "a").select("a", "b", "s", "t")
     out = cut(joined.mapInArrow(run, "a long, b long, na long, nb long, both long, more array<long>, less array<long>, pm long, pl long"))
-    discard(texts)
+    discard(texts, who)
     release(pairs.sparkSession)
     return out
 
