@@ -188,6 +188,20 @@ def test_passages_with_an_edit_in_the_middle_are_found(kind, n):
     assert found >= 0.95 * 150
 
 
+def test_equal_texts_that_repeat_themselves_are_confirmed_at_once(monkeypatch):
+    """All places of two equal texts lie in one passage: no run of words about any of them is followed further."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 2**62, 8).astype(np.uint64)[rng.integers(0, 8, 900)]
+    key, _, at = substring.posts([text])
+    first = {k: a for k, a in zip(key[::-1].tolist(), at[::-1].tolist(), strict=True)}
+    rat = np.array([first[k] for k in key.tolist()])
+    x, y = np.concatenate([at, at]) >> 36, np.concatenate([at, rat]) >> 36
+    chains, chain = [], substring.chain
+    monkeypatch.setattr(substring, "chain", lambda *a: chains.append(1) or chain(*a))
+    assert substring.passages(text, text.copy(), x, y) == [(0, 900, 0, 900, 1.0)]
+    assert not chains
+
+
 def brute_runs(texts, least=50):
     """(a, start in a, b, start in b, words) of the longest equal runs of `least` words or more of each two texts."""
     out = []
