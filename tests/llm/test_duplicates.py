@@ -264,6 +264,27 @@ def test_passages_of_which_earlier_documents_hold_parts(spark):
     assert got == want
 
 
+def test_near_passages_of_which_earlier_documents_hold_parts(spark):
+    """Two later documents share a passage with an edit; earlier ones, which hold its parts under 50 words, come first under all of its keys."""
+    rng = np.random.default_rng(9)
+    new = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    early, late = [], []
+    for parts, n in [([(0, 40), (30, 70)], 70), ([(0, 45), (35, 80)], 80), ([(0, 34), (30, 64)], 64)] * 6:
+        p = new(n)
+        q = p[: n // 2] + ["edit"] + p[n // 2 + 1 :]
+        early += [new(80) + x[y:z] + new(80) for y, z in parts for x in (p, q)]
+        late.append([new(30) + p + new(40), new(70) + q + new(20), n])
+    texts = early + [t for b, c, _ in late for t in (b, c)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.n_words, r.partner_id, r.partner_start) for r in substring.repeated_passages(df.repartition(5)).collect()}
+    assert got == {(r.doc_id, r.start, r.n_words, r.partner_id, r.partner_start) for r in substring.repeated_passages(df.repartition(2)).collect()}
+    want = set()
+    for k, (_, _, n) in enumerate(late):
+        b = len(early) + 2 * k
+        want |= {(b, 30, n, b + 1, 70), (b + 1, 70, n, b, 30)}
+    assert got == want
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
     vocab = [f"wort{i}" for i in range(400)]
