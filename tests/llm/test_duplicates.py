@@ -284,6 +284,60 @@ def test_near_passages_of_which_earlier_documents_hold_parts(spark):
         want |= {(b, 30, n, b + 1, 70), (b + 1, 70, n, b, 30)}
     assert got == want
 
+def test_texts_that_repeat_a_word_are_not_compared_in_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = [fresh(30) + ["the"] * int(rng.integers(18, 48)) + fresh(30) for _ in range(60)]
+    head, tail = fresh(12), fresh(14)  # equal runs of under 50 words, but a passage of 54 and 59
+    texts += [fresh(20) + head + ["the"] * n + tail + fresh(20) for n in (28, 33)]
+    compared, confirmed = [], substring.confirmed
+    monkeypatch.setattr(substring, "confirmed", lambda *a, **k: (out := confirmed(*a, **k), compared.append(out.count()))[0])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = {(r.doc_id, r.start, r.n_words, r.partner_id) for r in substring.repeated_passages(df).collect()}
+    assert out == {(60, 20, 54, 61), (61, 20, 59, 60)}
+    assert sum(compared) < 300  # all pairs: some 1,800
+
+
+def test_bounds_rule_out_no_pair_with_a_passage():
+    rng, some = np.random.default_rng(6), 0
+    for _ in range(400):
+        common = rng.integers(0, 10**6, 120).astype(np.uint64)
+        common[40 : 40 + rng.integers(5, 45)] = 7  # one word repeated
+        a, b = common.copy(), np.delete(common, rng.integers(0, 120, rng.integers(1, 9)))
+        for t in (a, b):
+            t[rng.integers(0, len(t), rng.integers(0, 6))] = rng.integers(0, 10**6)
+        sa, sb = (substring.shingles(t, 5) for t in (a, b))
+        x, y = np.nonzero(sa[:, None] == sb)
+        if substring.passages(a, b, x, y):
+            some += 1
+            sides = substring.may_hold(sa, substring.again(sa), np.sort(sb)), substring.may_hold(sb, substring.again(sb), np.sort(sa))
+            assert sides[0].any() or sides[1].any()
+    assert some > 50
+
+
+def test_centres_lose_no_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(substring, "CENTRES", 2)
+    rng = np.random.default_rng(8)
+    common = [f"c{i}" for i in range(90)]
+    texts = []
+    for _ in range(24):  # copies of which some pairs are similar enough and others are not
+        t = list(common)
+        for k in rng.choice(90, int(rng.integers(0, 3)), replace=False):
+            t[k] = f"x{rng.integers(0, 10**9)}"
+        texts.append([f"f{x}" for x in rng.integers(0, 10**9, 15)] + t + [f"f{x}" for x in rng.integers(0, 10**9, 15)])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    held = {i: np.zeros(120, bool) for i in range(24)}
+    for r in substring.repeated_passages(df).collect():
+        held[r.doc_id][r.start : r.start + r.n_words] = True
+    words = [np.array([hash(w) for w in t]).astype(np.uint64) for t in texts]
+    for i in range(24):
+        want = np.zeros(120, bool)
+        for j in range(24):
+            x, y = np.nonzero(substring.shingles(words[i], 5)[:, None] == substring.shingles(words[j], 5))
+            for p in substring.passages(words[i], words[j], x, y) if i != j else ():
+                want[p[0] : p[1]] = True
+        assert want.any() and not (want & ~held[i]).any()
+
 
 def test_pipeline_against_brute_force(spark, tmp_path):
     rng = np.random.default_rng(4)
