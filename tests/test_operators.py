@@ -146,3 +146,31 @@ def test_variance_components_are_registered_with_all_draws(monkeypatch):
     monkeypatch.setattr(graphs, "frame", lambda *a: None)
     graphs.variance_components(None, "")
     assert (seen["n_draws"], seen["block"]) == (250, 50)
+
+
+def test_wild_bootstrap_counts_the_draw_that_gives_the_statistic_again(spark):
+    # three clusters, all eight patterns, a small slope about a large mean: exact p by fractions
+    from fractions import Fraction
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    d = pd.DataFrame({"g": np.repeat([0, 1, 2], 100), "x": rng.integers(0, 50, 300) + 200_000, "y": rng.integers(0, 11, 300) + 5_000})
+    k = [tuple(Fraction(int(v)) for v in (len(q), q.x.sum(), (q.x**2).sum(), q.y.sum(), (q.x * q.y).sum())) for _, q in d.groupby("g")]
+    n, sx, xx, sy, xy = (sum(c) for c in zip(*k, strict=True))
+    det = n * xx - sx * sx
+
+    def square_t(scores):  # of the second coefficient, from clusters' scores
+        t1, t2 = (sum(c) for c in zip(*scores, strict=True))
+        d1, d2 = (xx * t1 - sx * t2) / det, (n * t2 - sx * t1) / det
+        return d2**2 / sum((-sx * (u - c[0] * d1 - c[1] * d2) + n * (v - c[1] * d1 - c[2] * d2)) ** 2 for (u, v), c in zip(scores, k, strict=True))
+
+    null = [(c[3] - c[0] * sy / n, c[4] - c[1] * sy / n) for c in k]
+    draws = [square_t([(z * u, z * v) for z, (u, v) in zip(signs, null, strict=True)]) for signs in product((1, -1), repeat=3)]
+    t = feols("y ~ x", spark.createDataFrame(d), vcov={"CRV1": "g"}).wildboottest("x", reps=999)
+    assert t["p_value"] == float(sum(q >= draws[0] for q in draws)) / 8
+
+
+def test_core_is_peeled_to_the_end(spark):
+    # a path of levels: each round takes one end off, more rounds than the twelve of degree_core's SQL
+    df = spark.createDataFrame([(i, i + j) for i in range(15) for j in (0, 1)] + [(x, y) for x in (100, 101) for y in (200, 201)], "a long, b long")
+    assert {tuple(r) for r in connected_components(df, ("a", "b"), min_degree=(2, 2)).pairs.select("a", "b").collect()} == {(x, y) for x in (100, 101) for y in (200, 201)}
