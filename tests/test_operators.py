@@ -174,3 +174,27 @@ def test_core_is_peeled_to_the_end(spark):
     # a path of levels: each round takes one end off, more rounds than the twelve of degree_core's SQL
     df = spark.createDataFrame([(i, i + j) for i in range(15) for j in (0, 1)] + [(x, y) for x in (100, 101) for y in (200, 201)], "a long, b long")
     assert {tuple(r) for r in connected_components(df, ("a", "b"), min_degree=(2, 2)).pairs.select("a", "b").collect()} == {(x, y) for x in (100, 101) for y in (200, 201)}
+
+
+def test_few_rows_decide_which_level_disconnects():
+    import pyarrow as pa
+
+    from ridgeline.operators.graph import ties
+
+    rng = np.random.default_rng(2)
+    for n, m in ((6, 5), (25, 12), (400, 30), (3000, 40)):
+        rows = [sorted(set(rng.choice(m, rng.integers(2, 4)).tolist()) | {int(k) % m}) for k in rng.integers(0, m, n)]
+        if n <= 25:
+            rows += [[m - 1, m], [m, m + 1]]
+        lists = [pa.record_batch({"a": pa.array(range(i, min(i + 7, len(rows)))), "b": pa.array(rows[i : i + 7])}) for i in range(0, len(rows), 7)]
+        half = len(lists) // 2
+        kept = list(ties(iter([*ties(iter(lists[:half])), *ties(iter(lists[half:]))])))  # in two parts, then what stays of both
+
+        def cuts(chosen):
+            names = sorted(chosen)
+            a = np.array([i for i, k in enumerate(names) for _ in rows[k]], int)
+            b = np.array([x for k in names for x in rows[k]], int)
+            return {names[i] for i in np.flatnonzero(cut_vertices(a, b, len(names), m + 2)[: len(names)])}
+
+        own = [k for t in kept for k in t.column(0).to_pylist()]
+        assert cuts(own) == cuts(range(len(rows))) and len(own) <= 2 * (m + 1)
