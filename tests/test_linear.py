@@ -123,3 +123,25 @@ def test_refusals(spark, panel):
             feols(bad, df)
     with pytest.raises(NotImplementedError):
         feols("y ~ x | w + f", df, cluster="cl").with_vcov({"CRV3": "cl"})
+
+
+def test_many_columns_over_cells_stay_off_the_driver(spark, monkeypatch):
+    from ridgeline.plans import absorb
+
+    rng = np.random.default_rng(4)
+    d = pd.DataFrame({"row_id": np.arange(900), "f0": rng.integers(0, 60, 900), "f1": rng.integers(0, 7, 900)} | {f"u{i}": rng.normal(size=900) for i in range(40)})
+    rows, names = spark.createDataFrame(d), [f"u{i}" for i in range(40)]
+    dense = np.column_stack([pd.get_dummies(d.f0), pd.get_dummies(d.f1)]).astype(float)
+    want = d[names].to_numpy() - dense @ (np.linalg.pinv(dense) @ d[names].to_numpy())
+    got, most = absorb.collected, []
+    monkeypatch.setattr(absorb, "collected", lambda df: (most.append(t.size), t)[1] if (t := got(df)) is not None else None)
+    for cells, bound in ((500, 8 * 500), (10, 7 * 41)):  # on the driver; as a table
+        a = absorb.Absorber(rows, ["f0", "f1"], most_cells=cells)
+        a.system(["u0"])
+        jobs = []
+        if cells == 10:
+            monkeypatch.setattr(a.s, "product", lambda p: jobs.append(1))
+        most.clear()
+        out = a.residualise(rows, names)[0].toPandas().set_index("row_id").sort_index()
+        assert np.abs(out[names].to_numpy() - want).max() < 1e-8
+        assert max(most) <= bound and not jobs
