@@ -38,10 +38,10 @@ def without_effects(v: np.ndarray, codes: list[np.ndarray], sizes: list[int], w:
     return v - means[codes[0]], gamma
 
 
-def on_cells(p: Panel, y: str, xs: list[str], family, weight, mean: float, tol: float, most: int, inner: float, fixed: dict | None, most_cells: int) -> tuple[DataFrame, list[float]] | None:
+def on_cells(p: Panel, y: str, xs: list[str], family, weight, mean: float, tol: float, most: int, inner: float, fixed: dict | None, most_cells: int) -> tuple[DataFrame, list[float], bool] | None:
     """The steps on cells: rows that agree in covariates, levels and offset share a linear predictor, and their weight and mean outcome are all that the steps need.
 
-    Returns the rows with their linear predictor eta, and the log-likelihoods of the steps; None if cells are too many for the driver (or slopes vary by level), and the
+    Returns the rows with their linear predictor eta, the log-likelihoods of the steps and whether these converged; None if cells are too many for the driver (or slopes vary by level), and the
     steps then run over the rows."""
     held = [*p.dims, *[p.variables[x] for x in xs], *(p.variables[n] for n in fixed or ()), *(["offset"] if "offset" in p.rows.columns else [])]
     held = list(dict.fromkeys(held))
@@ -100,14 +100,15 @@ def on_cells(p: Panel, y: str, xs: list[str], family, weight, mean: float, tol:
         for d, names, e in zip(p.dims, levels, own, strict=True):
             rows = rows.join(uploaded(rows.sparkSession, {"__l": names, f"__e_{d}": e}), F.col(d) == F.col("__l")).drop("__l")
             linear = linear + F.col(f"__e_{d}")
-    return cut(rows.select(*p.rows.columns, linear.alias("eta"))), path
+    return cut(rows.select(*p.rows.columns, linear.alias("eta"))), path, change < tol
 
 
 def irls(p: Panel, y: str, xs: list[str], family, weight, tol: float, most: int, inner: float, fixed: dict | None = None, most_cells: int = MOST_CELLS) -> dict:
     """The steps: each regresses the working response on the covariates and the fixed effects under the working weights.
 
-    Steps run on cells until they converge there, if the driver takes the cells; a step over the rows then finds little left to change. A step that
-    raises the deviance is halved. The rows are written out once a step, so that a lost executor costs one step."""
+    Steps run on cells until they converge there, if the driver takes the cells; then a single step over the rows is left, for what is asked of them later: sums of many rows differ by
+    rounding from run to run, so that their deviance says less of convergence than that of the cells. A step that raises the deviance is halved. The rows are written out once a step, so
+    that a lost executor costs one step."""
     yc = F.col(p.variables[y])
     mean = p.rows.agg(F.sum(weight * yc) / F.sum(weight)).first()[0]
     offset = F.col("offset") if "offset" in p.rows.columns else F.lit(0.0)
@@ -147,7 +148,8 @@ def irls(p: Panel, y: str, xs: list[str], family, weight, tol: float, most: int,
         out = cut(out.withColumn("e", e).withColumns({"eta_old": F.col("eta"), "eta": F.col("z") - F.col("e") + offset + known}))
         new, tries = loss(out), 0
         ok = lambda v: v is not None and math.isfinite(v) and (v < dev or abs(v - dev) / (0.1 + abs(dev)) < tol)  # noqa: B023, E731
-        while not ok(new) and math.isfinite(dev) and tries < 30:
+        done = begun is not None and begun[2]
+        while not done and not ok(new) and math.isfinite(dev) and tries < 30:
             out = cut(out.withColumn("eta", (F.col("eta") + F.col("eta_old")) / 2))
             new, tries = loss(out), tries + 1
         halvings += tries
@@ -157,7 +159,7 @@ def irls(p: Panel, y: str, xs: list[str], family, weight, tol: float, most: int,
         change = abs(new - dev) / (0.1 + abs(dev)) if math.isfinite(dev) else math.inf
         dev = new
         rows = out.select(*[c for c in p.rows.columns], "eta")
-        if change < tol:
+        if change < tol or done:
             converged = True
             break
     if not converged:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ridgeline.plans.cache import cut, discard
 
 MOST_LEVELS, MOST_CELLS = 5_000_000, 3_000_000
+FEW_GROUPS = 10_000  # groups up to which their means go to all tasks, so that rows stay where they are
 FEW_LEVELS = 200  # levels up to which S is multiplied out over a table of cells, once for all right-hand sides
 
 
@@ -143,7 +144,7 @@ class Absorber:
     def __init__(self, rows: DataFrame, dims: list[str], w: str | None = None, slopes: tuple[str, ...] = (), most_cells: int | None = None):
         self.dims, self.w, self.slopes, self.most_cells = dims, w, tuple(slopes), MOST_CELLS if most_cells is None else most_cells
         self.weight = F.col(w) if w else F.lit(1.0)
-        self.rows, self.basis = rows, []
+        self.rows, self.basis, self.few = rows, [], None
         if dims and slopes:
             self.orthogonalise()
 
@@ -171,10 +172,17 @@ class Absorber:
         sums += [F.sum(w * F.col(v)).alias(f"__m{i}") for i, v in enumerate(names)]
         sums += [F.sum(w * F.col(b) * F.col(v)).alias(f"__c{j}_{i}") for j, b in enumerate(basis) for i, v in enumerate(names)]
         means = rows.groupBy(F.col(g).alias("__g")).agg(*sums)
+        if self.few_groups():
+            means = F.broadcast(means)  # else rows are dealt by a few groups, each to one task
         fit = lambda i: sum((F.when(F.col(f"__q{j}") > 0, F.col(f"__c{j}_{i}") / F.col(f"__q{j}")).otherwise(0.0) * F.col(b) for j, b in enumerate(basis)), F.col(f"__m{i}") / F.col("__w"))
         out = rows.join(means, F.col(g) == F.col("__g"))
         return out.select(*[c for c in rows.columns if c not in names], *[(F.col(v) - fit(i)).alias(v) for i, v in enumerate(names)])
 
+    def few_groups(self) -> bool:
+        if self.few is None:
+            self.few = self.rows.agg(F.approx_count_distinct(self.dims[0])).first()[0] <= FEW_GROUPS
+        return self.few
+
     def index(self, rows: DataFrame) -> dict[str, np.ndarray]:
         """Sorted levels of each dimension that is solved for."""
         out = {}

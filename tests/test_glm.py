@@ -62,3 +62,34 @@ def test_bias_correction_and_refusals(spark, panel):
         feglm("yb ~ x", df, "gaussian")
     with pytest.raises(ValueError):
         fepois("y ~ x", df)
+
+
+def test_a_single_step_over_rows_follows_cells_that_converged(spark, panel, monkeypatch):
+    from ridgeline.operators import glm
+
+    # sums of many rows come out a little different each time: no step and no halving may hang on that
+    seen = []
+
+    class Family(type(glm.FAMILIES["poisson"])):
+        def deviance(self, y, eta):
+            seen.append(1)
+            return super().deviance(y, eta) * float(1 + 1e-9 * len(seen))
+
+    monkeypatch.setitem(glm.FAMILIES, "poisson", Family())
+    fit = fepois("yp ~ x | yr", spark.createDataFrame(panel.dropna()), iwls_tol=1e-12)
+    assert fit.parts["irls"]["converged"] and len(fit.parts["irls"]["path"]) == 1 and fit.parts["irls"]["halvings"] == 0
+
+
+def test_means_of_few_groups_leave_rows_where_they_are(spark):
+    from ridgeline.plans.absorb import Absorber
+
+    rows = spark.range(2000).selectExpr("id AS row_id", "id % 3 AS f0", "double(id) AS u0")
+    out = Absorber(rows, ["f0"]).residualise(rows, ["u0"])[0]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = Absorber(rows, ["f0"]).residualise(rows, ["u0"])[0]._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    t = out.toPandas()
+    assert np.allclose(t.groupby("f0").u0.mean(), 0)
