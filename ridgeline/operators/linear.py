@@ -265,7 +265,7 @@ def within_rows(p: Panel, tol: float) -> tuple[DataFrame, Absorber | None, objec
     names = [f"u{i}" for i in range(len(p.variables))]
     rows = p.rows.withColumns({u: F.col(v) for u, v in zip(names, p.variables.values(), strict=True)})
     if not p.dims:
-        return cut(rows), None, None
+        return rows, None, None  # the sample is a table already: nothing to write again
     # taking out means first keeps sums small
     center = {u: F.col(v) - F.lit(p.means[v]) for u, v in zip(names, p.variables.values(), strict=True)}
     a = Absorber(p.rows, p.dims, p.weights, tuple(p.slopes))

@@ -145,3 +145,14 @@ def test_many_columns_over_cells_stay_off_the_driver(spark, monkeypatch):
         out = a.residualise(rows, names)[0].toPandas().set_index("row_id").sort_index()
         assert np.abs(out[names].to_numpy() - want).max() < 1e-8
         assert max(most) <= bound and not jobs
+
+
+def test_sample_without_effects_is_written_once(spark, panel, monkeypatch):
+    from ridgeline.operators import linear
+
+    whole, written = linear.cut, []
+    monkeypatch.setattr(linear, "cut", lambda df: (written.append(df.columns), whole(df))[1])
+    d = panel[["y", "occ", "x"]].dropna()
+    fit = feols("y ~ i(occ) + x", spark.createDataFrame(d))
+    z = np.column_stack([np.ones(len(d)), d.occ == "k1", d.occ == "k2", d.x]).astype(float)
+    assert fit.beta == pytest.approx(np.linalg.lstsq(z, d.y, rcond=None)[0]) and len(written) == 1
